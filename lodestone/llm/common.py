@@ -61,3 +61,8 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: binds it as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what one Arrow batch holds where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
