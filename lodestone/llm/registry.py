@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import pieces, pii, quality, sharding
+from lodestone.llm import gif, packing, pieces, pii, quality, sharding
 
 QUERIES = {
     "op1_distinct_chunks": pieces.op1_distinct_chunks,
     "op3_quality_cascade": quality.op3_quality_cascade,
+    "op4_gif_frames": gif.op4_gif_frames,
+    "op6_grouping_genetic": packing.op6_grouping_genetic,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
     "op9_pii_spans": pii.op9_pii_spans,
 }
