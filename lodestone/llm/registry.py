@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import gif, langid, packing, pieces, pii, quality, sharding
+from lodestone.llm import extraction, gif, langid, packing, pieces, pii, quality, sharding
 
 QUERIES = {
     "op1_distinct_chunks": pieces.op1_distinct_chunks,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_gif_frames": gif.op4_gif_frames,
     "op6_grouping_genetic": packing.op6_grouping_genetic,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
+    "op8_min_cut": extraction.op8_min_cut,
     "op9_pii_spans": pii.op9_pii_spans,
     "op10_subword_softmax": langid.op10_subword_softmax,
 }
