@@ -5,8 +5,8 @@ character, so no merge crosses from a word into the marker that follows.  A
 text therefore falls apart into marked words (a run of markers and what follows
 up to the next marker) that can be segmented each by itself.  A task segments
 every distinct marked word once, keeps its ids in a table of bounded size and
-joins ids back by position.  Decoding does the same with the id sequences
-between markers.  ``check_model`` refuses a model for which this doesn't hold.
+joins ids back by position.  Decoding gathers the surfaces of the pieces.
+``check_model`` refuses a model for which this doesn't hold.
 
 Cases: null and empty texts have no pieces, only the end id if one is asked
 for; texts without white space are one chunk; an empty table gives an empty
@@ -86,34 +86,44 @@ class Encoder:
 
 
 class Decoder:
-    """Texts of id sequences, as the library's decode gives them."""
+    """Texts of id sequences, as the library's decode gives them.
+
+    The surfaces of all pieces lie end to end in one array that whole sequences
+    are gathered from; sequences with unknown pieces, or bytes that are no
+    UTF-8, are left to the library.
+    """
 
     def __init__(self, path: str) -> None:
-        self.sp, self.known = processor(path), {}
-        self.marked = np.array([self.sp.id_to_piece(i).startswith(MARK) for i in range(self.sp.get_piece_size())])
+        sp = self.sp = processor(path)
+        n = sp.get_piece_size()
+        surfaces = [self._surface(i) for i in range(n)]
+        self.unknown = sp.unk_id()
+        self.marked = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
+        self.lengths = np.array([len(x) for x in surfaces])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(surfaces), np.uint8)
+
+    def _surface(self, i: int) -> bytes:
+        if self.sp.is_control(i):
+            return b""
+        piece = self.sp.id_to_piece(i)
+        return bytes([int(piece[3:-1], 16)]) if self.sp.is_byte(i) else piece.replace(MARK, " ").encode()
 
     def __call__(self, ids: np.ndarray) -> str:
-        if len(self.known) > TABLE_ROWS:
-            self.known = {}
         if not len(ids):
             return ""
-        at = np.flatnonzero(self.marked[ids])
-        if not len(at):
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        # the library drops the marker that encoding put before the text
+        first = np.flatnonzero(lengths)[:1]
+        cut = int(len(first) and self.marked[ids[first[0]]])
+        raw = self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])]
+        try:
+            if (ids == self.unknown).any():
+                raise ValueError
+            return raw[cut:].tobytes().decode()
+        except ValueError:
             return self.sp.decode(ids.tolist())
-        raw = ids.astype("<i4").tobytes()
-        cuts = (at * 4).tolist() + [len(raw)]
-        out, known = [], self.known
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = raw[a:b]
-            word = known.get(key)
-            if word is None:
-                word = " " + self.sp.decode(np.frombuffer(key, "<i4").tolist())
-                if b - a <= 4 * KEPT_CHARS:
-                    known[key] = word
-            out.append(word)
-        head = self.sp.decode(ids[: at[0]].tolist()) if at[0] else ""
-        text = "".join(out)
-        return head + text if head else text[1:]
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
