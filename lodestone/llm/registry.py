@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import extraction, gif, langid, packing, pieces, pii, quality, sharding
+from lodestone.llm import extraction, gif, langid, packing, pieces, pii, quality, sharding, suffixes
 
 QUERIES = {
     "op1_distinct_chunks": pieces.op1_distinct_chunks,
     "op3_quality_cascade": quality.op3_quality_cascade,
     "op4_gif_frames": gif.op4_gif_frames,
+    "op5_suffix_array": suffixes.op5_suffix_array,
     "op6_grouping_genetic": packing.op6_grouping_genetic,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
     "op8_min_cut": extraction.op8_min_cut,
