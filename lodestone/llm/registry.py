@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import extraction, gif, langid, packing, pieces, pii, quality, sharding, suffixes
+from lodestone.llm import extraction, gif, langid, neardup, packing, pieces, pii, quality, sharding, suffixes
 
 QUERIES = {
     "op1_distinct_chunks": pieces.op1_distinct_chunks,
     "op3_quality_cascade": quality.op3_quality_cascade,
+    "op2_weighted_minhash": neardup.op2_weighted_minhash,
     "op4_gif_frames": gif.op4_gif_frames,
     "op5_suffix_array": suffixes.op5_suffix_array,
     "op6_grouping_genetic": packing.op6_grouping_genetic,
