@@ -41,7 +41,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,7 +236,8 @@ def multikey_groups(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
     return order, np.cumsum(start) - 1
 
 
-FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("open", pa.bool_())])
+#: Runs of repeated windows (slot -1), or windows that other buckets may have too: their tokens, hashes, documents and places, end to end.
+FOUND = pa.schema([("slot", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("raw", pa.binary())])
 
 
 def _suffixes(v: np.ndarray, k: np.ndarray, s: np.ndarray, raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -268,6 +268,8 @@ def _suffixes(v: np.ndarray, k: np.ndarray, s: np.ndarray, raw: list[bytes], len
 
 def _runs(k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows as runs of consecutive ones: document, first place, how many."""
+    if not len(k):
+        return k, s, np.zeros(0, np.int32)
     order = np.lexsort((s, k))
     k, s = k[order], s[order]
     new = np.append(True, (k[1:] != k[:-1]) | (s[1:] > s[:-1] + 1))
@@ -276,7 +278,13 @@ def _runs(k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return k[at], s[at], (s[end] - s[at] + 1).astype(np.int32)
 
 
-def _bucket(length: int):
+def _found(k: np.ndarray, s: np.ndarray, n: np.ndarray, slots: list[int] = [], raw: list[bytes] = []) -> pa.RecordBatch:  # noqa: B006
+    more = len(slots)
+    columns = [[-1] * len(k) + slots, np.append(k, [0] * more), np.append(s, [0] * more), np.append(n, [0] * more), [b""] * len(k) + raw]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+
+def _bucket(length: int, slots: int):
     """Sorts the suffixes of a bucket, whose rows come by token, document and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +294,16 @@ def _bucket(length: int):
         def settle(upto: int, last: bool) -> pa.RecordBatch:
             v, k, s = (np.array(c[:upto], np.int64) for c in rows[:3])
             v, k, s, h, repeated, leads = _suffixes(v, k, s, rows[3][:upto], length)
-            edge = (v == opening) | (last & (v == v[-1]))
-            over = leads & edge
-            rk, rs, rn = _runs(k[repeated], s[repeated]) if repeated.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+            over = np.flatnonzero(leads & ((v == opening) | (last & (v == v[-1]))))
             for c in rows:
                 del c[:upto]
-            joined = [np.concatenate(x) for x in ((rk, v[over]), (rs, h[over]), (rk, k[over]), (rs, s[over]), (rn, np.ones(over.sum(), np.int32)))]
-            return pa.RecordBatch.from_arrays([*map(pa.array, joined), pa.array(np.arange(len(joined[0])) >= len(rk))], schema=FOUND)
+            slot = (h[over].view(U) % U(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            over, slot = over[order], slot[order]
+            used, first = np.unique(slot, return_index=True)
+            grid = np.stack([v[over], h[over], k[over], s[over]], 1)
+            raw = [part.tobytes() for part in np.split(grid, first[1:])] if len(used) else []
+            return _found(*_runs(k[repeated], s[repeated]), used.tolist(), raw)
 
         held = 0
         for batch in batches:
@@ -314,6 +325,33 @@ def _bucket(length: int):
     return run
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the windows that several buckets have; runs pass. Rows come by slot."""
+    slot, held = None, []
+
+    def settle() -> pa.RecordBatch:
+        v, h, k, s = np.frombuffer(b"".join(held), np.int64).reshape(-1, 4).T
+        order = np.lexsort((s, k, h, v))
+        v, h, k, s = v[order], h[order], k[order], s[order]
+        lead = np.append(True, (v[1:] != v[:-1]) | (h[1:] != h[:-1]))
+        first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        repeated = (k != k[first]) | (s != s[first])
+        return _found(*_runs(k[repeated], s[repeated]))
+
+    for batch in batches:
+        own = batch.column(0).to_numpy() < 0
+        yield batch.filter(pa.array(own))
+        rest = batch.filter(pa.array(~own))
+        for at, raw in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist(), strict=True):
+            if at != slot and held:
+                yield settle()
+                held = []
+            slot = at
+            held.append(raw)
+    if held:
+        yield settle()
+
+
 def _spark_type(schema: pa.Schema) -> T.StructType:
     kinds = {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.bool_(): T.BooleanType(), pa.binary(): T.BinaryType()}
     return T.StructType([T.StructField(f.name, kinds[f.type]) for f in schema])
@@ -351,20 +389,21 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
     judged = segments.repartition(slot).sortWithinPartitions("v", "g", "k", "s").mapInArrow(judge, _spark_type(JUDGED))
     judged = materialize(judged, "segments")
 
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition(tasks, "_k")
     parts = judged.where("part").groupBy("k").agg(F.collect_list(F.struct("s", "n", "v")).alias("parts")).withColumnRenamed("k", "_k")
     with_parts = dealt.join(parts.hint("shuffle_hash"), "_k").select("_k", text, "parts")
     contexts = with_parts.mapInArrow(_contexts(length), _spark_type(CONTEXT))
-    buckets = contexts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v", "k", "s").sortWithinPartitions("v", "k", "s")
-    found = buckets.mapInArrow(_bucket(length), _spark_type(FOUND))
-    first = F.min(F.struct("k", "s")).over(W.partitionBy("a", "b", "open"))
-    found = found.withColumn("first", first).where(~F.col("open") | (F.struct("k", "s") != F.col("first")))
+    buckets = contexts.repartitionByRange(tasks, "v", "k", "s").sortWithinPartitions("v", "k", "s")
+    found = buckets.mapInArrow(_bucket(length, tasks), _spark_type(FOUND))
+    spread = F.when(F.col("slot") < 0, F.xxhash64("k", "s")).otherwise(F.col("slot"))
+    found = found.repartition(spread).sortWithinPartitions("slot").mapInArrow(_across, _spark_type(FOUND))
     runs = judged.where("NOT part").select("k", "s", "n").unionByName(found.select("k", "s", "n"))
     lists = runs.groupBy("k").agg(F.collect_list(F.struct("s", "n")).alias("_runs")).withColumnRenamed("k", "_k")
     return dealt, lists
 
 
-def _remove(columns: list[str], text: str, out: str, length: int):
+def _remove(columns: list[str], text: str, out: str, length: int, binary: bool):
     at, runs_at = columns.index(text), columns.index("_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,25 +418,29 @@ def _remove(columns: list[str], text: str, out: str, length: int):
                     elif a < b:
                         spans.append([a, b])
                 ends = [0, *(x for span in spans for x in span), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                parts = [raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+                kept = b"".join(parts) if binary else "".join(x.decode(errors="ignore") for x in parts)
                 made.append({"kept": kept, "spans": [{"start": a, "end": b} for a, b in spans]})
-            arrow = pa.struct([("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+            arrow = pa.struct([("kept", pa.binary() if binary else pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
             rest = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if i != runs_at]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(made, arrow)], names=[*(n for n, _ in rest), out])
 
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, out: str = "deduplicated") -> DataFrame:
-    """``df`` with struct ``out``: ``kept``, the bytes left of ``text``, and ``spans``, the removed (start, end)."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, out: str = "deduplicated", binary: bool = True) -> DataFrame:
+    """``df`` with struct ``out``: ``kept``, the bytes left of ``text``, and ``spans``, the removed (start, end).
+
+    If not ``binary``, ``kept`` is text, without characters of which only a part was removed.
+    """
     names = [f"c{i}" for i in range(len(df.columns))]  # no name of the input can clash
     plain = df.toDF(*names)
     key, text = names[df.columns.index(key)], names[df.columns.index(text)]
     dealt, lists = repeated_windows(plain, key, text, length)
     joined = dealt.join(lists.hint("shuffle_hash"), "_k", "left").select(*names, "_runs")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    kind = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span))])
-    done = joined.mapInArrow(_remove(joined.columns, text, out, length), T.StructType([*plain.schema.fields, T.StructField(out, kind)]))
+    kind = T.StructType([T.StructField("kept", T.BinaryType() if binary else T.StringType()), T.StructField("spans", T.ArrayType(span))])
+    done = joined.mapInArrow(_remove(joined.columns, text, out, length, binary), T.StructType([*plain.schema.fields, T.StructField(out, kind)]))
     return done.toDF(*df.columns, out)
 
 
