@@ -1,23 +1,68 @@
-"""The corpus pipeline: from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Every stage takes all documents that the one before it kept; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.llm.common import materialize
+from lodestone.llm.neardup import keep_first
+from lodestone.llm.packing import pack_documents
+from lodestone.llm.pii import mask_pii
 from lodestone.llm.quality import quality_filter
+from lodestone.llm.suffixes import remove_repeats
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Documents whose text changed, with ``n_chars`` of the new one."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
     return quality_filter(docs)
 
 
-STAGES = [("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return keep_first(docs)
+
+
+def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 100-byte strings that start earlier too; those with nothing left go."""
+    done = remove_repeats(docs, out="deduplicated", binary=False)
+    return _counted(done.withColumn("text", F.col("deduplicated.kept")).where("text != ''").select(*docs.columns))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return _counted(mask_pii(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("repeated strings", repeated_string_stage),
+    ("personal data", pii_stage),
+    ("packing", packing_stage),
+]
 
+#: Weighted similarities, byte strings and tokens are beyond SQL; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *filters, (_, last) = STAGES
+    for at, (_, stage) in enumerate(filters):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{at}")
+    return last(spark, docs, sf_dir)
