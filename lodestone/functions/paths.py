@@ -24,6 +24,13 @@ def parts(path: Column) -> Column:
     return F.split(path, "/")
 
 
+def relative_to(root: str, path: str = "path") -> Column:
+    """The path of a listed file relative to the folder that was listed."""
+    base = root.rstrip("/").split(":", 1)[-1]
+    behind = F.col(path).substr(F.instr(path, base) + len(base), F.length(path))
+    return F.regexp_replace(behind, "^/+", "")
+
+
 def basename(path: Column) -> Column:
     return F.element_at(parts(path), -1)
 

@@ -234,12 +234,13 @@ def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame) -> Dat
     return longest_prefix(keyed, known, "segments", "id").select("id.source", "id.ord", F.col("value").alias("target_file"), F.col("id.label").alias("module"))
 
 
-def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name: str = "") -> DataFrame:
-    """(source_file, target_file, module) of all files (path, content); ``manifests``: the Cargo.toml files, if there are any.
+def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name: str = "", only: DataFrame | None = None) -> DataFrame:
+    """(source_file, target_file, module) of all files (path, content), or of those in ``only`` (path); ``manifests``: the Cargo.toml files, if there are any.
 
     Several imports of one file are several edges.
     """
-    specs = files.select(F.col("path").alias("source"), "content").lateralJoin(ImportSpecs(F.col("source").outer(), F.col("content").outer(), F.lit(root_name))).drop("content")
+    sources = files if only is None else files.join(only.select("path"), "path", "left_semi")
+    specs = sources.select(F.col("path").alias("source"), "content").lateralJoin(ImportSpecs(F.col("source").outer(), F.col("content").outer(), F.lit(root_name))).drop("content")
     key = ("source", "ord", "label", "names", "basename")
     plain = specs.where(F.size("candidates") > 0)
     direct = first_existing(plain, files, keys=key)

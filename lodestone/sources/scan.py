@@ -7,7 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import EXTENSIONS, MAX_FILE_BYTES, is_source
+from lodestone.functions.paths import EXTENSIONS, MAX_FILE_BYTES, is_source, relative_to
+
+
+def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, length, content) of all files under ``root`` of at most ``max_bytes``, paths relative to it.
+
+    Spark's readers pass over empty files and names with a leading underscore,
+    such as ``__init__.py``: those are read here, one by one, by the driver.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    rows = read.load(root).where(F.col("length") <= max_bytes).select(relative_to(root).alias("path"), "length", "content")
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed, missed, hidden = fs.listFiles(top, True), [], []
+    while listed.hasNext():
+        status = listed.next()
+        path, size = status.getPath(), status.getLen()
+        if size > max_bytes:
+            continue
+        if "/.git/" in path.toString() or "/.lodestone/" in path.toString():
+            continue
+        inner = path.toString().split(":", 1)[-1].rsplit("/", 1)[0].removeprefix(root.split(":", 1)[-1].rstrip("/"))
+        if path.getName().startswith("_") or not size:
+            missed.append((path.toString(), size, _content(jvm, fs, path) if size else b""))
+        elif "/." in inner or "/_" in inner or path.getName().startswith("."):
+            hidden.append(path.toString())
+    if hidden:
+        known = rows.select("path")
+        more = read.load(hidden).select(relative_to(root).alias("path"), "length", "content")
+        rows = rows.unionByName(more.join(known, "path", "left_anti"))
+    if missed:
+        more = spark.createDataFrame(missed, "path string, length long, content binary")
+        rows = rows.unionByName(more.select(relative_to(root).alias("path"), "length", "content"))
+    return rows
+
+
+def _content(jvm, fs, path) -> bytes:
+    stream = fs.open(path)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def scan_tree(spark: SparkSession, root: str, extra_excluded: Sequence[str] = (), forced: Sequence[str] = (), extensions: Sequence[str] = EXTENSIONS, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -15,10 +57,6 @@ def scan_tree(spark: SparkSession, root: str, extra_excluded: Sequence[str] = ()
 
     The size limit reaches the scan, so larger files are never read.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split(":", 1)[-1]
-    start = F.instr("path", base) + len(base) + 1
-    relative = F.ltrim(F.substring("path", start, F.length("path")), F.lit("/"))
-    files = found.where(F.col("length") <= max_bytes).select(relative.alias("path"), "length", "content")
+    files = list_files(spark, root, max_bytes)
     kept = files.where(is_source(F.col("path"), F.col("length"), extra_excluded, forced, extensions, max_bytes))
-    return kept.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"))
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"))

@@ -1,0 +1,38 @@
+"""Following a source tree as a stream: every new or rewritten file is chunked as it arrives."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from lodestone.functions.paths import MAX_FILE_BYTES, is_source, relative_to
+from lodestone.operators.maintenance import latest_per_key
+from lodestone.sources.chunking import with_source_chunks
+
+
+def follow_tree(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Writes chunks of the files under ``root`` to Parquet in ``out``, one folder for each batch.
+
+    A file that comes again replaces its chunks: ``current_chunks`` takes each
+    file's last batch.  With ``once`` the stream ends when it has caught up.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = relative_to(root)
+    named = files.where(F.col("length") <= MAX_FILE_BYTES).select(relative.alias("path"), "length", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = latest_per_key(batch.where(is_source(F.col("path"), F.col("length"))), ["path"], ["modificationTime"])
+        # overwritten, so that a batch that is run again leaves no second copy
+        with_source_chunks(kept).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if once else query).start()
+
+
+def current_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks of each file's last batch."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["path", "batch"], "left_semi")
