@@ -10,16 +10,21 @@ share has one size however large the corpus.  The idf is scaled to 1..2:
 2. Consistent weighted sampling draws ``BANDS * ROWS`` samples a document; two
    documents agree on one with the probability of their weighted Jaccard
    similarity.  Documents that agree on all samples of a band share a bucket.
-3. In each bucket all members are verified against one leader, not against each
-   other: true links are those whose weighted Jaccard similarity reaches the
-   threshold.  Members that are not yet in the leader's class meet other leaders
-   in further rounds.
-4. What is still apart then is compared without leaders: signatures of a
-   bucket's members, dealt in blocks of bounded size, are compared in numpy, and
-   pairs of different classes whose samples agree often enough are verified.
+3. In each bucket all members meet one leader, not each other.  Pairs that agree
+   on half of all samples (by eight bits of each) are verified: links are those
+   whose weighted Jaccard similarity reaches the threshold.  Members that are not
+   yet in the leader's class meet other leaders in further rounds.
+4. What is still apart then is compared without leaders: the samples of members
+   outside a bucket's largest class with those of all, dealt in blocks of bounded
+   size.  Of documents with a partner there, shingles are counted: one that has
+   less than the threshold of its weight in shingles that another has too is in
+   no link and goes.  The rest meet in their blocks with their shingles: pairs
+   that agree often enough are verified there, until their classes are linked,
+   and only links leave the block.
 5. Linked documents form classes: connected components by alternating stars.
 
-A pair at the threshold shares no bucket with a probability under 5e-5.
+A pair at the threshold shares no bucket with a probability under 5e-5, and
+agrees on fewer than half of all samples with one under 1e-5.
 
 Cases: null texts count as empty; texts of fewer than five words have no
 shingles and match equal texts only; rows that share an id are one document;
@@ -45,9 +50,11 @@ BANDS, ROWS = 14, 3
 #: Buckets of document frequencies, and how many of them one row of counts has.
 FEATURES, CHUNK = 1 << 20, 1 << 14
 #: Bytes of text hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Rounds with leaders; members in a block of step 4; samples of BANDS * ROWS that must agree there.
 ROUNDS, MEMBERS, AGREE = 3, 512, 21
+#: Ids of eight bytes that are broadcast to pick texts where they are read; beyond it the texts are shuffled to them.
+BROADCAST_IDS = 200_000
 NULL_KEY = -(1 << 63)
 
 U = np.uint64
@@ -76,7 +83,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     known = _powers.get(str(base))
     if known is None or len(known) < n:
-        known = np.cumprod(np.concatenate([[U(1)], np.full(max(n, BLOCK), base, U)]))
+        known = np.cumprod(np.concatenate([[U(1)], np.full(max(n, 2 * BLOCK), base, U)]))
         if n <= 2 * BLOCK:
             _powers[str(base)] = known
     return known[:n]
@@ -131,18 +138,46 @@ def signatures(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarr
         return out
     log_w = np.log(weight)
     at = first[:-1][full]
-    twelve, low = U(4095), U(0xFFFFFFFF)
+    twelve, low, sign = U(4095), U(0xFFFFFFFF), np.uint32(1 << 31)
+    z, y = np.empty_like(h), np.empty_like(h)
+
+    def variate(shift: int) -> np.ndarray:
+        """Gamma variates of shape two, from twice twelve bits."""
+        np.right_shift(z, U(shift), out=y)
+        return _EXP[(y & twelve).view(np.int64)] + _EXP[((y >> U(12)) & twelve).view(np.int64)]
+
     for j, (a, b) in enumerate(_SEEDS):
-        z = _mix(_mix(h * a + b) + a)
-        r = _EXP[(z & twelve).astype(np.int32)] + _EXP[((z >> U(12)) & twelve).astype(np.int32)]
-        c = _EXP[((z >> U(24)) & twelve).astype(np.int32)] + _EXP[((z >> U(36)) & twelve).astype(np.int32)]
-        beta = ((z >> U(48)).astype(np.float32) + np.float32(0.5)) / np.float32(65536)
-        t = np.floor(log_w / r + beta)
-        log_a = np.log(c) - r * (t - beta + 1)
-        bits = log_a.view(np.uint32)
-        rank = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
-        name = _mix(z ^ (t.astype(np.int64).view(U) * _BASE)) & low
-        out[full, j] = (np.minimum.reduceat((rank.astype(U) << U(32)) | name, at) & low).astype(np.uint32)
+        np.multiply(h, a, out=z)
+        z += b
+        np.right_shift(z, U(32), out=y)
+        z ^= y
+        z *= U(0xD6E8FEB86659FD93)
+        np.right_shift(z, U(29), out=y)
+        z ^= y
+        r = variate(0)
+        rank = np.log(variate(24))
+        np.right_shift(z, U(48), out=y)
+        beta = y.astype(np.float32)
+        beta += np.float32(0.5)
+        beta *= np.float32(1 / 65536)
+        t = log_w / r
+        t += beta
+        np.floor(t, out=t)
+        # the name of a sample: its shingle and the step of its weight
+        np.multiply(t.astype(np.int64).view(U), _BASE, out=y)
+        y ^= z
+        y *= U(0xFF51AFD7ED558CCD)
+        y >>= U(32)
+        t -= beta
+        t += np.float32(1)
+        t *= r
+        rank -= t
+        bits = rank.view(np.uint32)
+        bits ^= np.where(bits & sign, ~np.uint32(0), sign)
+        key = bits.astype(U)
+        key <<= U(32)
+        key |= y
+        out[full, j] = (np.minimum.reduceat(key, at) & low).astype(np.uint32)
     return out
 
 
@@ -168,7 +203,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
             texts = batch.column(1).to_pylist()
             rows += len(texts)
             for a, b in _blocks(texts):
-                total += np.bincount((shingles(texts[a:b])[0] & U(FEATURES - 1)).astype(np.int64), minlength=FEATURES).astype(np.int32)
+                np.add.at(total, (shingles(texts[a:b])[0] & U(FEATURES - 1)).astype(np.int64), 1)
         chunks = [(i, total[i * CHUNK : (i + 1) * CHUNK]) for i in range(FEATURES // CHUNK)]
         chunks = [(i, c.tobytes(), 0) for i, c in chunks if c.any()] + [(-1, b"", rows)]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary()), pa.array([c[2] for c in chunks], pa.int64())], ["chunk", "data", "docs"])
@@ -220,7 +255,7 @@ def _sign(idf):
                     for j in range(ROWS):
                         keys = _mix(keys * _BASE + row[j::ROWS][:BANDS].astype(U))
                     bands.append(keys.view(np.int64))
-                    raw.append(row.tobytes())
+                    raw.append(row.astype(np.uint8).tobytes())
             text_hash = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_hash[:, 0]), pa.array(text_hash[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["k", "t1", "t2", "bands", "sig"])
 
@@ -254,11 +289,21 @@ def _verify(idf, threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``pairs`` (u, v) that are links; ``texts`` has (u, text)."""
-    other = texts.select(F.col("u").alias("v"), F.col("text").alias("other"))
-    joined = pairs.join(texts, "u").join(other, "v").select("u", "text", "v", "other")
-    return joined.mapInArrow(_verify(idf, threshold), "u long, v long, similarity double")
+def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``pairs`` (u, v) that are links, with their similarity; ``docs`` has (k, text)."""
+    pairs = materialize(pairs, "pairs")
+    ids = materialize(pairs.select(F.col("u").alias("k")).union(pairs.select("v")).distinct(), "ids")
+    texts = materialize(_texts_of(ids, docs), "texts")
+    joined = pairs.join(texts.withColumnRenamed("k", "u"), "u").join(texts.select(F.col("k").alias("v"), F.col("text").alias("other")), "v")
+    found = joined.select("u", "text", "v", "other").mapInArrow(_verify(idf, threshold), "u long, v long, similarity double")
+    return materialize(found, "links")
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (u, sig, v, other): the pairs whose samples agree often enough."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (1, 3))
+        yield batch.select([0, 2]).filter(pa.array((a == b).sum(1) >= AGREE))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,48 +322,142 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select("u", F.col("v").alias("class"))
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in one cell whose samples agree often enough; rows come by cell, ``side`` 0 before 1."""
-    names = ["cell", "side", "u", "class", "sig"]
-    held: dict[str, list] = {n: [] for n in names}
-
-    def pairs() -> tuple[list[int], list[int]]:
-        sides = np.array(held["side"])
-        u, c = np.array(held["u"]), np.array(held["class"])
-        sig = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(u), -1)
-        left = np.flatnonzero(sides == 0)
-        right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
-        out: tuple[list[int], list[int]] = ([], [])
-        for i in left:
-            near = right[((sig[right] == sig[i]).sum(1) >= AGREE) & (c[right] != c[i]) & ((u[right] > u[i]) | (right is not left))]
-            out[0].extend(np.maximum(u[near], u[i]).tolist())
-            out[1].extend(np.minimum(u[near], u[i]).tolist())
+def _by_cell(make, columns: list[str], kinds: list[pa.DataType]):
+    """Runs ``make(rows, split)`` on the rows of each cell, a list for each column behind the cell's name, of which the first ``split`` are of side 0; rows come by cell and side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def settle() -> pa.RecordBatch:
+            rows = list(map(list, zip(*held, strict=True)))
+            made = make(rows[1:], int(np.searchsorted(rows[0], 1)))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], columns)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != cell and held:
+                    yield settle()
+                    held = []
+                cell = row[0]
+                held.append(row[1:])
+        if held:
+            yield settle()
+
+    return run
+
+
+def _near(c: np.ndarray, sig: np.ndarray, split: int, i: int) -> np.ndarray:
+    """Members of side 1 that are of another class than member i of side 0 and agree with it often enough."""
+    return split + np.flatnonzero(((sig[split:] == sig[i]).sum(1) >= AGREE) & (c[split:] != c[i]))
+
+
+def _partnered(rows: list[list], split: int) -> tuple:
+    """The members (u, class, sig) of a cell that have a partner in it."""
+    u, c = np.array(rows[0]), np.array(rows[1])
+    sig = np.frombuffer(b"".join(rows[2]), np.uint8).reshape(len(u), -1)
+    has = np.zeros(len(u), bool)
+    for i in range(split):
+        near = _near(c, sig, split, i)
+        has[near] = True
+        has[i] |= len(near) > 0
+    return (np.unique(u[has]),)
+
+
+def _linked(threshold: float):
+    """Links that join the classes of a cell's members (u, class, sig, band, bands, hashes, weights)."""
+
+    def make(rows: list[list], split: int) -> tuple:
+        u, c = np.array(rows[0]), np.array(rows[1])
+        sig = np.frombuffer(b"".join(rows[2]), np.uint8).reshape(len(u), -1)
+        band, bands = rows[3][0], np.array(rows[4], np.int64)
+        sets = [(np.frombuffer(h, U), np.frombuffer(w, np.float32)) for h, w in zip(rows[5], rows[6], strict=True)]
+        total = np.array([float(w.sum(dtype=np.float64)) for _, w in sets])
+        out: tuple[list, list, list] = ([], [], [])
+        for i in range(split):
+            # a pair that shares an earlier band is compared there
+            first = (bands[split:] == bands[i]).argmax(1) == band
+            ratio = np.minimum(total[split:], total[i]) >= threshold * np.maximum(total[split:], total[i])
+            near = _near(c, sig, split, i)
+            for j in near[(first & ratio)[near - split]]:
+                if c[j] == c[i]:
+                    continue
+                s = similarity(sets[i], sets[j])
+                if s >= threshold:
+                    for o, x in zip(out, (max(u[i], u[j]), min(u[i], u[j]), s), strict=True):
+                        o.append(x)
+                    c[c == c[j]] = c[i]
         return out
 
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        out: tuple[list[int], list[int]] = ([], [])
-        for row in zip(*columns, strict=True):
-            if held["cell"] and row[0] != held["cell"][-1]:
-                for o, x in zip(out, pairs(), strict=True):
-                    o.extend(x)
-                held = {n: [] for n in names}
-            for n, x in zip(names, row, strict=True):
-                held[n].append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["u", "v"])
-    if held["cell"]:
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in pairs()], ["u", "v"])
-
-
-def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("class", F.col("u"))
-    return members.join(labels, "u", "left").withColumn("class", F.coalesce("class", "u"))
+    return make
+
+
+def _weighed(idf):
+    """A row (k, h, w) for each shingle of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in _blocks(texts):
+                h, count, first = shingles(texts[a:b])
+                k = np.repeat(keys[a:b], np.diff(first))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h.view(np.int64)), pa.array(weights(h, count, idf.value).astype(float))], ["k", "h", "w"])
+
+    return run
+
+
+def _packed(idf):
+    """A row (u, hashes, weights) for each document: its shingles in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            made: tuple[list, list] = ([], [])
+            for a, b in _blocks(texts):
+                h, count, first = shingles(texts[a:b])
+                w = weights(h, count, idf.value)
+                for x, y in zip(first, first[1:], strict=False):
+                    made[0].append(h[x:y].tobytes())
+                    made[1].append(w[x:y].tobytes())
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(m, pa.binary()) for m in made)], ["u", "hashes", "weights"])
 
+    return run
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents (k, text) of some ids (k): picked where they are read if the ids are few enough to be broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
+
+
+def linkable(ids: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of ``ids`` (k) that have at least the threshold of their weight in shingles that another of them has.
+
+    A document's similarity with any other is at most that share, so no link is lost.
+    """
+    rows = materialize(_texts_of(ids, docs).mapInArrow(_weighed(idf), "k long, h long, w double").dropDuplicates(["k", "h"]), "shingles")
+    several = rows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a != b").select("h", F.lit(1).alias("several"))
+    shared = rows.join(several, "h", "left").groupBy("k").agg(F.sum(F.when(F.col("several") == 1, F.col("w"))).alias("shared"), F.sum("w").alias("all"))
+    return shared.where(F.col("shared") >= F.col("all") * (threshold - 1e-6)).select("k")
 
-def _still_open(members: DataFrame) -> DataFrame:
-    """Buckets with members of different classes: (band, bucket, n)."""
-    return members.groupBy("band", "bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("band", "bucket", "n")
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Members (band, bucket, u, class, sig) of buckets that hold several classes, dealt into cells of bounded size: (cell, side, u, class, sig, band).
+
+    Side 0 has those outside the bucket's largest class, side 1 all.
+    """
+    key = ["band", "bucket"]
+    classes = members.groupBy(*key, "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = classes.groupBy(*key).agg(F.max(F.struct("n", F.col("class").alias("c"))).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = largest.select(*key, F.col("top.c").alias("c"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / MEMBERS).cast("int").alias("rests"))
+    wide = members.join(several, key)
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
+    left = wide.where("class <> c").withColumn("j", F.explode(numbers("blocks"))).withColumn("i", own("rests")).withColumn("side", F.lit(0))
+    right = wide.withColumn("i", F.explode(numbers("rests"))).withColumn("j", own("blocks")).withColumn("side", F.lit(1))
+    return left.unionByName(right).select(F.concat_ws(":", *key, "i", "j").alias("cell"), "side", "u", "class", "sig", "band")
+
+
+def _classed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "u", "left").withColumn("class", F.coalesce("class", "u"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -331,46 +470,37 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     groups = signed.groupBy("t1", "t2").agg(F.min("k").alias("u"))
     copies = signed.select("k", "t1", "t2").join(groups, ["t1", "t2"]).select("k", "u")
     first = signed.join(groups.withColumnRenamed("u", "k"), ["t1", "t2", "k"], "left_semi")
-    banded = first.select(F.col("k").alias("u"), F.posexplode("bands").alias("band", "bucket"))
-    leaders = banded.groupBy("band", "bucket").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v != w").select("band", "bucket", "v")
-    members = materialize(banded.join(leaders, ["band", "bucket"]), "buckets")
-    involved = members.select("u").distinct()
-    texts = materialize(docs.withColumnRenamed("k", "u").join(involved, "u"), "candidates")
-
-    pairs = members.where("u != v").select("u", "v").distinct()
-    links = materialize(verify(pairs, texts, idf, threshold), "links")
-    labels = components(links)
-    members = members.drop("v")
-    for number in range(1, ROUNDS):
-        classed = _classed(members, labels)
-        chosen = classed.groupBy("band", "bucket").agg(
-            F.min("class").alias("a"),
-            F.max("class").alias("b"),
-            F.min(F.struct(F.xxhash64("u", F.lit(number), "band").alias("r"), F.col("u").alias("v"), F.col("class").alias("c"))).alias("lead"),
-        )
-        chosen = chosen.where("a != b").select("band", "bucket", "lead.v", "lead.c")
-        pairs = classed.join(chosen, ["band", "bucket"]).where("class != c").select("u", "v").distinct()
-        found = materialize(verify(pairs, texts, idf, threshold), "links")
+    banded = first.select(F.col("k").alias("u"), "sig", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("band", "bucket").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v != w").select("band", "bucket")
+    members = materialize(banded.join(shared, ["band", "bucket"]), "buckets")
+
+    links, labels = None, spark.createDataFrame([], "u long, class long")
+    for number in range(ROUNDS):
+        classed = materialize(_classed(members, labels), "classed")
+        order = F.col("u") if number == 0 else F.xxhash64("u", F.lit(number), "band")
+        lead = F.min(F.struct(order.alias("r"), F.col("u").alias("v"), F.col("class").alias("c"), F.col("sig").alias("other")))
+        chosen = classed.groupBy("band", "bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"), lead.alias("lead")).where("a != b")
+        met = classed.join(chosen.select("band", "bucket", "lead.v", "lead.c", "lead.other"), ["band", "bucket"]).where("class != c")
+        found = verify(met.select("u", "sig", "v", "other").mapInArrow(_agreeing, "u long, v long").distinct(), docs, idf, threshold)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
-    # the rest without leaders, in cells of two blocks of members
+    # the rest without leaders
     classed = materialize(_classed(members, labels), "classed")
-    wide = classed.join(_still_open(classed), ["band", "bucket"])
-    wide = wide.withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-    cells = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(
-        F.concat_ws(":", "band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "u",
-        "class",
-    )
-    cells = cells.join(first.select(F.col("k").alias("u"), "sig"), "u").select("cell", "side", "u", "class", "sig")
-    apart = cells.repartition("cell").sortWithinPartitions("cell", "side", "u").mapInArrow(_apart, "u long, v long").distinct()
-    found = materialize(verify(apart, texts, idf, threshold), "links")
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
+    dealt = lambda rows: rows.repartition("cell").sortWithinPartitions("cell", "side", "u")
+    partnered = dealt(_cells(classed).drop("band")).mapInArrow(_by_cell(_partnered, ["k"], [pa.int64()]), "k long")
+    ids = materialize(partnered.distinct(), "partnered")
+    if not ids.isEmpty():
+        left = materialize(linkable(ids, docs, idf, threshold), "linkable")
+        sets = _texts_of(left, docs).mapInArrow(_packed(idf), "u long, hashes binary, weights binary").dropDuplicates(["u"])
+        sets = materialize(sets.join(first.select(F.col("k").alias("u"), "bands").dropDuplicates(["u"]), "u"), "sets")
+        cells = _cells(classed.join(left.withColumnRenamed("k", "u"), "u", "left_semi")).join(sets, "u")
+        cells = dealt(cells.select("cell", "side", "u", "class", "sig", "band", "bands", "hashes", "weights"))
+        found = cells.mapInArrow(_by_cell(_linked(threshold), ["u", "v", "similarity"], [pa.int64(), pa.int64(), pa.float64()]), "u long, v long, similarity double")
+        found = materialize(found, "links")
+        if not found.isEmpty():
+            labels = components(found if links is None else links.unionByName(found))
     return copies.join(labels, "u", "left").select("k", F.coalesce("class", "u").alias("class"))
 
 
