@@ -66,6 +66,13 @@ def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
+#: The edges of a word of ASCII letters, digits and underscores.
+_BEHIND, _AHEAD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_IBAN = "[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})"
+_SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
+_SSN_WORDS = "(?:ssn|social security)"
+_SECRET_WORDS = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("token", "secret", "password", "passwd")) + "|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]"
+_SECRET = rf'(?:{_SECRET_WORDS})[ \t]{{0,3}}[=:][ \t]{{0,3}}"[^" \t\r\n]{{8,200}}"'
 _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -92,9 +99,9 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: F.rlike(t, F.lit(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), lambda m: F.rlike(m, F.lit(rf"^{_IP_PART}(?:\.{_IP_PART}){{3}}$")), 0.7, r"(?:\bip\b|host|server|address)", 0.2),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", lambda t: F.rlike(t, F.lit(r"[0-9](?:[ -]?[0-9]){11}")), lambda m: let(F.length(_digits(m)), lambda n: F.when(_between(n, 12, 19), luhn(m)).otherwise(F.lit(False))), 0.8, r"(?:card|visa|karte|carte|tarjeta)", 0.2),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: _between(F.length(_digits(m)), 9, 15), 0.7, r"(?:phone|\btel|mobile|call|telefon)", 0.2),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])", lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")), mod97, 0.8, r"(?:iban|konto|account|cuenta|compte)", 0.2),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: F.rlike(t, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")), lambda m: ~F.rlike(m, F.lit(r"^(?:000|666|9..)-|-00-|-0000$")), 0.4, r"(?:\bssn\b|social security)", 0.4),
-    Kind("secret", r'(?i)\b(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}"[^"\s]{8,200}"', lambda t: F.rlike(t, F.lit(r'[=:]\s{0,3}"')), lambda m: F.lit(True), 0.7),
+    Kind("iban", rf"{_BEHIND}{_IBAN}{_AHEAD}", lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")), mod97, 0.8, r"(?:iban|konto|account|cuenta|compte)", 0.2),
+    Kind("ssn", rf"{_BEHIND}{_SSN}{_AHEAD}", lambda t: F.rlike(t, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")), lambda m: ~F.rlike(m, F.lit(r"^(?:000|666|9..)-|-00-|-0000$")), 0.4, _SSN_WORDS, 0.4),
+    Kind("secret", rf"{_BEHIND}{_SECRET}", lambda t: F.rlike(t, F.lit(r'[=:][ \t]{0,3}"')), lambda m: F.lit(True), 0.7),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -163,3 +170,31 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("pii")).alias("spans"),
     )
+
+
+#: DuckDB SQL for the rows of op9_pii_spans.
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+  (1, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'),
+  (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+  (4, 'iban', '\b{_IBAN}\b'),
+  (5, 'ssn', '\b{_SSN}\b'),
+  (6, 'secret', '\b{_SECRET}')) v(ord, kind, re)),
+m AS (SELECT rid, ord, kind, hits, string_split_regex(t, re) AS gaps FROM (SELECT rid, ord, kind, re, t, regexp_extract_all(t, re) AS hits FROM d, p) WHERE len(hits) > 0),
+u AS (SELECT rid, ord, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM m),
+s AS (SELECT *, (sum(length(hit) + length(gap)) OVER (PARTITION BY rid, ord ORDER BY i))::BIGINT AS e, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS iban FROM u),
+ok AS (SELECT rid, ord, kind, e - length(hit) AS b, e FROM s WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(right(x, 3) AS INT), 0) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN digits[-1 - j]::INT WHEN digits[-1 - j]::INT > 4 THEN digits[-1 - j]::INT * 2 - 9 ELSE digits[-1 - j]::INT * 2 END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+  WHEN 'iban' THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(iban[5:] || iban[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INT), lambda a, c: (a * 10 + c) % 97) = 1
+  WHEN 'ssn' THEN NOT regexp_matches(hit, '^(?:000|666|9..)-|-00-|-0000$') AND regexp_matches(lower(right(gap, {CONTEXT})), '{_SSN_WORDS}')
+  ELSE true END),
+a AS (SELECT rid, count(*) FILTER (ord = 0) AS n_email, count(*) FILTER (ord = 1) AS n_ip, count(*) FILTER (ord = 2) AS n_card, count(*) FILTER (ord = 3) AS n_phone,
+  coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) FILTER (ord < 4), '') AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) AS spans FROM ok GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality_cascade": quality.OP3_SQL,
+    "op9_pii_spans": pii.OP9_SQL,
 }

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestone.llm import pii
@@ -70,3 +71,15 @@ def test_mask(spark):
 
 def test_empty_table(spark):
     assert pii.find_pii(rows(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_query_equals_sql(spark, tmp_path):
+    texts = TEXTS + ['my SSN 123-45-6789 apiKey="abcdefgh12" xtoken = "abcdefghij" _DE89370400440532013000', "GB82 WEST 1234 5698 7654 32é 1.2.3.004 0256.1.1.1"]
+    rows(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        files = f"{folder}/documents.parquet" + ("/*.parquet" if folder == str(tmp_path) else "")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        want = con.sql(pii.OP9_SQL).df().sort_values("doc_id").reset_index(drop=True)
+        got = pii.op9_pii_spans(spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
+        assert len(got) == len(want) and got.astype(str).equals(want[list(got.columns)].astype(str)), got.astype(str).compare(want[list(got.columns)].astype(str))
