@@ -87,9 +87,8 @@ class Rule:
     failed: object
 
 
-def features(text: str, words: str) -> dict[str, Column]:
-    """Each feature as an expression over the text column and the column of its words."""
-    t, w = F.col(text), F.col(words)
+def features(t: Column, w: Column) -> dict[str, Column]:
+    """Each feature as an expression over a text and its words."""
     return {
         "n_words": F.size(w),
         "word_chars": F.length(F.array_join(w, "")),
@@ -117,7 +116,7 @@ def order_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     try:
         if not sample.count():
             return list(rules)
-        made = features(text, words)
+        made = features(F.col(text), F.col(words))
         scored = []
         for at, rule in enumerate(rules):
             began = time.perf_counter()
@@ -138,10 +137,10 @@ def cascade(rules, made: dict[str, Column]) -> Column:
 
 def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``df`` that no rule fails, all columns as they came."""
-    words, reason = fresh(df, "words", "reason")
     ordered = order_rules(df, text, rules, sample_rows)
-    judged = df.withColumn(words, words_of(F.col(text))).withColumn(reason, cascade(ordered, features(text, words)))
-    return judged.where(F.col(reason).isNull()).drop(words, reason)
+    # bound, not a column: a filter would put the splitting of the text in place of a column wherever it is used
+    reason = let(words_of(F.col(text)), lambda w: cascade(ordered, features(F.col(text), w)))
+    return df.where(reason.isNull())
 
 
 def quality_scores(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -149,8 +148,8 @@ def quality_scores(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     words, made, out = fresh(df, "words", "made", "quality")
     ordered = order_rules(df, text, rules, sample_rows)
     with_words = df.withColumn(words, words_of(F.col(text)))
-    with_made = with_words.withColumn(made, F.struct(*[v.cast("long").alias(k) for k, v in features(text, words).items()])).drop(words)
-    got = {k: F.col(f"{made}.{k}") for k in features(text, words)}
+    with_made = with_words.withColumn(made, F.struct(*[v.cast("long").alias(k) for k, v in features(F.col(text), F.col(words)).items()])).drop(words)
+    got = {k: F.col(f"{made}.{k}") for k in features(F.col(text), F.col(words))}
     return with_made.withColumn(out, F.struct(f"{made}.*", cascade(ordered, got).alias("failed"))).drop(made)
 
 
