@@ -145,12 +145,15 @@ def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 def quality_scores(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``df`` with struct ``quality``: every feature, and ``failed``, the first rule that fails in the sample's order (null: kept)."""
-    words, made, out = fresh(df, "words", "made", "quality")
     ordered = order_rules(df, text, rules, sample_rows)
-    with_words = df.withColumn(words, words_of(F.col(text)))
-    with_made = with_words.withColumn(made, F.struct(*[v.cast("long").alias(k) for k, v in features(F.col(text), F.col(words)).items()])).drop(words)
-    got = {k: F.col(f"{made}.{k}") for k in features(F.col(text), F.col(words))}
-    return with_made.withColumn(out, F.struct(f"{made}.*", cascade(ordered, got).alias("failed"))).drop(made)
+
+    def scored(w: Column) -> Column:
+        made = F.struct(*[v.cast("long").alias(k) for k, v in features(F.col(text), w).items()])
+        names = list(features(F.col(text), w))
+        return let(made, lambda m: F.struct(*[m[k].alias(k) for k in names], cascade(ordered, {k: m[k] for k in names}).alias("failed")))
+
+    (out,) = fresh(df, "quality")
+    return df.withColumn(out, let(words_of(F.col(text)), scored))
 
 
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
