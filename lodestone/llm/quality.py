@@ -31,7 +31,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOL_CLASS = r"[#*$%&|<>]"
 WINDOW = 5
 #: Rows of the sample that the rules are ordered by.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 200
 
 
 def words_of(text: Column) -> Column:
@@ -111,12 +111,14 @@ RULES = (
 
 def order_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample of at most ``sample_rows`` rows."""
-    (words,) = fresh(df.select(text), "words")
-    sample = df.select(text).limit(sample_rows).withColumn(words, words_of(F.col(text))).persist()
+    # taken by the driver, which reads no more partitions than it needs; a limit inside a plan would send rows of all of them to one task
+    rows = df.select(F.col(text).cast("string").alias("text")).take(sample_rows)
+    if not rows:
+        return list(rules)
+    sample = df.sparkSession.createDataFrame(rows, "text string").withColumn("words", words_of(F.col("text"))).persist()
     try:
-        if not sample.count():
-            return list(rules)
-        made = features(F.col(text), F.col(words))
+        sample.count()
+        made = features(F.col("text"), F.col("words"))
         scored = []
         for at, rule in enumerate(rules):
             began = time.perf_counter()
