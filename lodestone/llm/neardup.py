@@ -6,7 +6,8 @@ documents in 2^20 hash buckets (as hashed TF-IDF usually is), so what tasks
 share has one size however large the corpus.  The idf is scaled to 1..2:
 1 + log((1 + N) / (1 + df)) / log(1 + N).
 
-1. Equal texts form one group, of which the smallest id goes on.
+1. Equal texts form one group, which goes on under a name of its own, a hash of
+   the text: ids only choose and name the document of a class that stays.
 2. Consistent weighted sampling draws ``BANDS * ROWS`` samples a document; two
    documents agree on one with the probability of their weighted Jaccard
    similarity.  Documents that agree on all samples of a band share a bucket.
@@ -27,19 +28,20 @@ A pair at the threshold shares no bucket with a probability under 5e-5, and
 agrees on fewer than half of all samples with one under 1e-5.
 
 Cases: null texts count as empty; texts of fewer than five words have no
-shingles and match equal texts only; rows that share an id are one document;
-repeated rows get one class; null ids come before all others; an empty table
-gives an empty result; other columns are not read.
+shingles and match equal texts only; different texts that share an id, or have
+none, are different documents; repeated rows get one class; null ids come before
+all others; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, small_batches, table
@@ -240,7 +242,7 @@ def idf_of(docs: int, frequencies: np.ndarray) -> np.ndarray:
 def _sign(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             digests = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
             bands, raw = [], []
             for a, b in _blocks(texts):
@@ -257,7 +259,7 @@ def _sign(idf):
                     bands.append(keys.view(np.int64))
                     raw.append(row.astype(np.uint8).tobytes())
             text_hash = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_hash[:, 0]), pa.array(text_hash[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["k", "t1", "t2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text_hash[:, 0]), pa.array(text_hash[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["k", "u", "t1", "t2", "bands", "sig"])
 
     return run
 
@@ -424,8 +426,8 @@ def _packed(idf):
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents (k, text) of some ids (k): picked where they are read if the ids are few enough to be broadcast."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
+    """The texts (k, text) of some names (k), each once: picked where they are read if the names are few enough to be broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi").dropDuplicates(["k"])
 
 
 def linkable(ids: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
@@ -433,7 +435,7 @@ def linkable(ids: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
 
     A document's similarity with any other is at most that share, so no link is lost.
     """
-    rows = materialize(_texts_of(ids, docs).mapInArrow(_weighed(idf), "k long, h long, w double").dropDuplicates(["k", "h"]), "shingles")
+    rows = materialize(_texts_of(ids, docs).mapInArrow(_weighed(idf), "k long, h long, w double"), "shingles")
     several = rows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a != b").select("h", F.lit(1).alias("several"))
     shared = rows.join(several, "h", "left").groupBy("k").agg(F.sum(F.when(F.col("several") == 1, F.col("w"))).alias("shared"), F.sum("w").alias("all"))
     return shared.where(F.col("shared") >= F.col("all") * (threshold - 1e-6)).select("k")
@@ -460,17 +462,41 @@ def _classed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "u", "left").withColumn("class", F.coalesce("class", "u"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``df``: long ``k`` (its key, NULL_KEY for null), long ``class`` (the smallest key of its class)."""
+def _name(text: Column, salt: int) -> Column:
+    """What a text is called in pairs and classes."""
+    return F.xxhash64(F.lit(salt), F.coalesce(text, F.lit("")))
+
+
+def _id(key: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.lit(NULL_KEY))
+
+
+def _classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (k, u, r) of ``df`` with their texts' names and numbers of their own; for each name u: ``label``, the name of its class, and ``stays``, the row (k, u, r) of the class that stays and how often (n) its id has that text; the salt of the names."""
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.col(text).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_of(*document_frequencies(docs)))
-    signed = materialize(docs.mapInArrow(_sign(idf), "k long, t1 long, t2 long, bands array<long>, sig binary"), "signatures")
-    groups = signed.groupBy("t1", "t2").agg(F.min("k").alias("u"))
-    copies = signed.select("k", "t1", "t2").join(groups, ["t1", "t2"]).select("k", "u")
-    first = signed.join(groups.withColumnRenamed("u", "k"), ["t1", "t2", "k"], "left_semi")
-    banded = first.select(F.col("k").alias("u"), "sig", F.posexplode("bands").alias("band", "bucket"))
+    idf = spark.sparkContext.broadcast(idf_of(*document_frequencies(df.select(F.lit(0).cast("long").alias("k"), F.col(text).alias("text")))))
+    for salt in count():
+        read = df.select(_id(F.col(key)).alias("k"), _name(F.col(text), salt).alias("u"), F.col(text).alias("text"))
+        signed = read.mapInArrow(_sign(idf), "k long, u long, t1 long, t2 long, bands array<long>, sig binary")
+        signed = materialize(signed.withColumn("r", F.monotonically_increasing_id()), "signatures")
+        # names are taken anew if two texts, by 128 bits, share one
+        ends = [f(t).alias(f"{n}{t}") for t in ("t1", "t2") for n, f in (("a", F.min), ("b", F.max))]
+        if signed.groupBy("u").agg(*ends).where("at1 <> bt1 OR at2 <> bt2").isEmpty():
+            break
+    docs = read.select(F.col("u").alias("k"), "text")
+    labels = _labels(signed.select("u", "bands", "sig").dropDuplicates(["u"]), docs, idf, threshold)
+    rows = signed.select("k", "u", "r")
+    ids = rows.groupBy("u", "k").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    texts = ids.groupBy("u").agg(F.min(F.struct("k", "u", "r", "n")).alias("least"))
+    texts = materialize(texts.join(labels, "u", "left").select("u", "least", F.coalesce("class", "u").alias("label")), "texts")
+    return rows, texts.join(texts.groupBy("label").agg(F.min("least").alias("stays")), "label").select("u", "label", "stays"), salt
+
+
+def _labels(first: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+    """(u, class) of the texts (u, bands, sig) that are linked to one of a smaller name; ``docs`` has (k, text), k being the name."""
+    spark = first.sparkSession
+    banded = first.select("u", "sig", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v != w").select("band", "bucket")
     members = materialize(banded.join(shared, ["band", "bucket"]), "buckets")
 
@@ -493,31 +519,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     ids = materialize(partnered.distinct(), "partnered")
     if not ids.isEmpty():
         left = materialize(linkable(ids, docs, idf, threshold), "linkable")
-        sets = _texts_of(left, docs).mapInArrow(_packed(idf), "u long, hashes binary, weights binary").dropDuplicates(["u"])
-        sets = materialize(sets.join(first.select(F.col("k").alias("u"), "bands").dropDuplicates(["u"]), "u"), "sets")
+        sets = _texts_of(left, docs).mapInArrow(_packed(idf), "u long, hashes binary, weights binary")
+        sets = materialize(sets.join(first.select("u", "bands"), "u"), "sets")
         cells = _cells(classed.join(left.withColumnRenamed("k", "u"), "u", "left_semi")).join(sets, "u")
         cells = dealt(cells.select("cell", "side", "u", "class", "sig", "band", "bands", "hashes", "weights"))
         found = cells.mapInArrow(_by_cell(_linked(threshold), ["u", "v", "similarity"], [pa.int64(), pa.int64(), pa.float64()]), "u long, v long, similarity double")
         found = materialize(found, "links")
         if not found.isEmpty():
             labels = components(found if links is None else links.unionByName(found))
-    return copies.join(labels, "u", "left").select("k", F.coalesce("class", "u").alias("class"))
+    return labels
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each row of ``df``: long ``k`` (its key, NULL_KEY for null), long ``class`` (the smallest key of its class), long ``label`` (the class's own: keys may be null or shared by several classes), ``kept`` (true for one row of each class)."""
+    rows, classes, _ = _classes(df, key, text, threshold)
+    return rows.join(classes, "u").select("k", F.col("stays.k").alias("class"), "label", (F.col("r") == F.col("stays.r")).alias("kept"))
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` but one document of each class stays, the one with the smallest key."""
-    kept = materialize(near_duplicates(df, key, text, threshold).where("k = class").groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    _, classes, salt = _classes(df, key, text, threshold)
+    kept = materialize(classes.where("u = stays.u").select("stays.k", "u", "stays.n"), "kept")
     names = [f"c{i}" for i in range(len(df.columns))]  # no name of the input can clash
-    own = names[df.columns.index(key)]
-    rows = df.toDF(*names).withColumn("k", F.coalesce(F.col(own).cast("long"), F.lit(NULL_KEY)))
-    stay = rows.join(kept, "k")
-    if not kept.where("rows > 1").isEmpty():  # repeated rows
-        stay = stay.dropDuplicates(["k"])
+    own, words = names[df.columns.index(key)], names[df.columns.index(text)]
+    rows = df.toDF(*names).withColumn("k", _id(F.col(own))).withColumn("u", _name(F.col(words), salt))
+    stay = rows.join(kept, ["k", "u"])
+    if not kept.where("n > 1").isEmpty():  # repeated rows
+        stay = stay.dropDuplicates(["k", "u"])
     return stay.select(*names).toDF(*df.columns)
 
 
 def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every document, and whether it is the one of its class that stays."""
+    """The class of every document, by its smallest id and by a label of its own, and whether it is the one of its class that stays."""
     classes = near_duplicates(table(spark, sf_dir, "documents"))
     own = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
-    return classes.select(own("k").alias("doc_id"), own("class").alias("class_id"), (F.col("k") == F.col("class")).alias("kept"))
+    return classes.select(own("k").alias("doc_id"), own("class").alias("class_id"), "kept", F.col("label").alias("class_label"))

@@ -119,3 +119,23 @@ def test_cases(spark):
     assert sorted((r.k, r["class"]) for r in nd.near_duplicates(docs).collect()) == [(nd.NULL_KEY, nd.NULL_KEY), (1, 1), (1, 1), (2, 1)]
     assert sorted(str(r.doc_id) for r in nd.keep_first(docs).collect()) == ["1", "None"]
     assert nd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_without_an_id_of_their_own(spark, tmp_path):
+    one, other = " ".join(words(120)), " ".join(words(120))
+    near = one.rsplit(" ", 1)[0] + " end"
+    rows = [(None, one), (None, other), (None, other), (None, None), (5, "a b c d e f g"), (5, "h i j k l m n"), (7, near), (8, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, None), (None, one), (None, other), (5, "a b c d e f g"), (5, "h i j k l m n")]
+    assert sorted(map(str, map(tuple, nd.keep_first(docs).collect()))) == sorted(map(str, want))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = nd.op2_weighted_minhash(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len({r.class_label for r in got}) == len(want)
+    assert [sorted(str(r.doc_id) for r in got if r.class_label == c) for c in sorted({r.class_label for r in got}, key=lambda c: sorted(str(r.doc_id) for r in got if r.class_label == c))] == [["5"], ["5"], ["7", "None"], ["8", "None", "None"], ["None"]]
+
+
+def test_names_that_two_texts_share_are_taken_anew(spark, monkeypatch):
+    name = nd._name
+    monkeypatch.setattr(nd, "_name", lambda text, salt: name(text, salt) if salt else name(nd.F.substring(text, 1, 1), salt))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a h i j k l"), (3, "a b c d e f")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in nd.keep_first(docs).collect()) == [1, 2]
