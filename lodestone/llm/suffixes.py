@@ -28,10 +28,10 @@ independent hashes agree.
 
 Cases: null and empty texts, and those shorter than ``length``, keep all they
 have; texts of any size are read in slices; of equal texts the one with the
-smallest id stays; rows that share an id are versions of one document, so equal
-strings at equal places are one string, and repeated rows get one result; null
-ids come before all others; an empty table gives an empty result; other columns
-stay as they are.
+smallest id stays; different texts that share an id, or have none, are different
+documents, in the order of their hashes; rows that share id and text are one
+document and get one result; null ids come before all others; an empty table
+gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ BLOCK = 1 << 20
 COMMON = 16
 #: Windows of one row in step 2, and suffixes sorted at once.
 ROW_WINDOWS, SORT_WINDOWS = 256, 200_000
+#: Documents whose numbers are broadcast, if ids don't tell them apart; beyond it the texts are shuffled to them.
+BROADCAST_IDS = 200_000
 
 U = np.uint64
 _STEPS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -379,11 +381,28 @@ def _contexts(length: int):
     return run
 
 
+def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with a long ``_k`` for each document, in their order: its id if ids tell all texts apart, else the number of its id and text."""
+    keyed = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
+    words = F.coalesce(F.col(text), F.lit(""))
+    hashes = {"_a": F.xxhash64(words), "_b": F.xxhash64(F.lit(1), words)}
+    ends = [f(h).alias(n + h) for h in hashes for n, f in (("least", F.min), ("most", F.max))]
+    if keyed.select("_k", *(c.alias(h) for h, c in hashes.items())).groupBy("_k").agg(*ends).where("least_a <> most_a OR least_b <> most_b").isEmpty():
+        return keyed
+    named = keyed.withColumnRenamed("_k", "_id").withColumns(hashes)
+    name = ["_id", *hashes]
+    # partitions come in the order of the sort, and so do the numbers
+    numbers = materialize(named.select(*name).distinct().sort(*name).withColumn("_k", F.monotonically_increasing_id()), "numbers")
+    if numbers.count() <= BROADCAST_IDS:
+        return named.join(F.broadcast(numbers), name).select(*df.columns, "_k")
+    return materialize(named.join(numbers.hint("shuffle_hash"), name).select(*df.columns, "_k"), "numbered")
+
+
 def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """``df`` dealt by document, with its key in ``_k``, and for each ``_k`` the list ``_runs`` of (s, n): n windows from place s repeat earlier ones."""
+    """``df`` dealt by document, with the document's number in ``_k``, and for each ``_k`` the list ``_runs`` of (s, n): n windows from place s repeat earlier ones."""
     spark = df.sparkSession
     small_batches(spark)
-    keyed = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
+    keyed = _numbered(df, key, text)
     segments = keyed.select("_k", text).mapInArrow(_segments(length), _spark_type(SEGMENT))
     slot = F.when(F.col("route") < PART, F.col("v")).otherwise(F.xxhash64("k", "s"))
     judged = segments.repartition(slot).sortWithinPartitions("v", "g", "k", "s").mapInArrow(judge, _spark_type(JUDGED))

@@ -83,3 +83,18 @@ def test_cases(spark):
     left = len(t.encode()) - len(t[:150].encode())
     assert rows == [(5, left, 1), (5, left, 1), (6, 0, 1), (7, len(t[:150].encode()), 0)]
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_texts_without_an_id_of_their_own(spark, monkeypatch, broadcast):
+    """Nothing is cut out of texts because another text of their id has it, and strings at equal places of them are repeats."""
+    monkeypatch.setattr(suffixes, "BROADCAST_IDS", broadcast)
+    shared, start, own = words(200), words(150), [words(300) for _ in range(6)]
+    docs = [(None, own[0] + shared), (None, own[1] + own[2]), (None, start + own[3]), (None, start + own[4]), (5, own[5] + shared), (5, shared), (9, own[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    left = {(r.doc_id, r.text): bytes(r.deduplicated.kept) for r in suffixes.remove_repeats(df).collect()}
+    assert len(left) == len(docs)
+    size = lambda i: len(docs[i][1].encode()) - len(left[docs[i]])
+    assert [size(0), size(1)] == [0, 0] and left[docs[5]] == left[docs[6]] == b""
+    assert min(size(2), size(3)) == 0 and len(start.encode()) <= max(size(2), size(3)) < len(start.encode()) + 8
+    assert len(shared.encode()) <= size(4) < len(shared.encode()) + 8
