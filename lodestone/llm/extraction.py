@@ -7,6 +7,9 @@ Neighbouring blocks, and blocks of the same container, are tied by edges that
 weaken with their distance in the DOM.  The minimum cut, found by max-flow,
 labels all blocks at once.
 
+A name or a form around the whole page, or around its main part, says nothing
+about the text in it: what they say counts only where enough text lies outside.
+
 Blocks whose own costs outweigh all their ties keep their label in some minimum
 cut; they are settled first and their ties handed on to their neighbours as
 costs, so that max-flow runs on what is left only.
@@ -37,6 +40,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Names of a state or a topic, not of what an element is: has-sidebar, comments-open, tag-ads.
+_STATE = re.compile(r"(?:has|no|with|without|is|not|tag|category)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible)")
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style title noscript template svg math iframe object canvas textarea select option video audio".split())
@@ -50,6 +55,10 @@ NAMES = {
     **dict.fromkeys("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommend recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert discussion respond feedback complementary contentinfo".split(), -11.0),
     **dict.fromkeys("article content entry main post story body text".split(), 1.5),
 }
+#: Elements that may lie around a whole page: what they say is taken back there, as names are.
+FORMS = frozenset(("form", "fieldset"))
+#: Characters outside a container in blocks of so many that keep what the container's names say, or this share of those inside.
+OUTSIDE, PROSE, OUTSIDE_SHARE = 200, 40, 0.5
 #: Ties: of blocks next to each other, of blocks in one container.
 ADJACENT, SIBLING = 0.6, 0.8
 
@@ -68,23 +77,71 @@ class Block:
     cost_boilerplate: float = field(default=0.0)
 
 
-def _evidence(tag: str, attributes: str, inside: bool) -> float:
+def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
+    """What an element says about the text in it, and the part of it that is taken back if it holds the page's main part."""
     said = ELEMENTS.get(tag, 0.0)
     if tag == "header" and inside:
         said = 0.0
+    back = said if tag in FORMS else 0.0
     if attributes and ("=" in attributes or "hidden" in attributes):
-        words = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        found = [NAMES[w] for w in words if w in NAMES]
+        names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+        found = [NAMES[w] for x in names if not _STATE.fullmatch(x) for w in _WORD.findall(x) if w in NAMES]
+        if tag in ("body", "main"):
+            found = [x for x in found if x > 0]
         if found:
             said += min(found) if min(found) < 0 else max(found)
+            back += min(0.0, *found)
         if _HIDDEN.search(attributes):
             said -= 12.0
-    return said
+    return said, back
+
+
+def _take_back(blocks: list[Block], own: dict[int, tuple[str, float, float]]) -> None:
+    """Takes back what names and forms say that lie around the page's main part; ``own``: tag and evidence of each container."""
+    held: dict[int, int] = {}
+    under: dict[int, set[int]] = {}
+    size = [len(b.text) - b.linked if len(b.text) >= PROSE else 0 for b in blocks]
+    parents: dict[int, int] = {}
+    for b, n in zip(blocks, size, strict=True):
+        for a, x in zip((0, *b.path), b.path, strict=False):
+            held[x] = held.get(x, 0) + n
+            if x not in parents and x:
+                parents[x] = a
+                under.setdefault(a, set()).add(x)
+    changed = False
+    for tag in ("article", "main", ""):
+        top = max((x for x in held if own[x][0] == tag), key=held.__getitem__, default=None)
+        if top is None or not held[top]:
+            continue
+        # from the page down to the main part, and on to what holds most of it
+        chain = [top]
+        while chain[0]:
+            chain.insert(0, parents[chain[0]])
+        while (below := max(under.get(chain[-1], ()), key=held.__getitem__, default=None)) is not None and 2 * held[below] > held[chain[-1]]:
+            chain.append(below)
+        if not any(own[x][2] < 0 for x in chain):
+            continue
+        level = {x: i for i, x in enumerate(chain)}
+        beside = [0] * len(chain)  # text that leaves the chain at each of its containers
+        for b, n in zip(blocks, size, strict=True):
+            i = max(level.get(x, 0) for x in b.path)
+            if n and all(own[x][1] >= 0 for x in b.path[i + 1 :]):
+                beside[i] += n
+        for i, x in enumerate(chain):
+            kind, said, back = own[x]
+            outside, within = sum(beside[:i]), sum(beside[i:])
+            if back < 0 and outside < min(OUTSIDE, OUTSIDE_SHARE * within):
+                own[x] = kind, said - back, 0.0
+                changed = True
+    if changed:
+        for b in blocks:
+            b.said = max(-60.0, sum(own[x][1] for x in b.path))
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page, white space and character references resolved, empty ones left out."""
     out: list[Block] = []
+    own: dict[int, tuple[str, float, float]] = {0: ("", 0.0, 0.0)}
     # containers around the place reached: tag, number, evidence of all so far, whether in an article or main
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
     parts: list[str] = []
@@ -131,7 +188,8 @@ def blocks_of(html: str) -> list[Block]:
                         stack.pop()
                 number += 1
                 _, _, said, inside = stack[-1]
-                said = max(-60.0, said + _evidence(tag, attributes, inside))
+                own[number] = tag, *_evidence(tag, attributes, inside)
+                said = max(-60.0, said + own[number][1])
                 stack.append((tag, number, said, inside or tag in ("article", "main")))
         elif tag == "br":
             parts.append(" ")
@@ -151,10 +209,13 @@ def blocks_of(html: str) -> list[Block]:
                     stack.pop()
             elif tag != "input":
                 number += 1
+                own[number] = tag, -12.0, 0.0
                 stack.append((tag, number, stack[-1][2] - 12.0, stack[-1][3]))
     if at < len(html):
         parts.append(html[at:])
     flush()
+    if any(back < 0 for _, _, back in own.values()):
+        _take_back(out, own)
     return out
 
 

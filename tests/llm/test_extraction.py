@@ -55,3 +55,22 @@ def test_cases(spark):
     df = spark.createDataFrame([(1, "<p>Some words of a text.</p>", 2)] * 2 + [(2, None, 3)], "page_id int, html string, url int")
     assert [r.text for r in ex.extract_text(df).orderBy("page_id").collect()] == ["Some words of a text."] * 2 + [""]
     assert ex.extract_text(df.limit(0)).count() == 0
+
+
+def test_names_and_forms_around_the_whole_page():
+    text = [f"Paragraph {i} of the article is long enough to be one, and has a second half." for i in range(6)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in text)
+    nav, foot = "<nav><a href=a>One</a> <a href=b>Two</a></nav>", "<footer>All rights reserved, in every country of the world.</footer>"
+    comments = "<div class='comments'>" + "<p>A reader says that this was a good article indeed, and goes on.</p>" * 30 + "</div>"
+    for page in (
+        f"<body class='single-post has-sidebar'>{nav}<article>{paragraphs}</article>{comments}{foot}</body>",
+        f"<body class='comments-open'>{nav}<article>{paragraphs}</article>{foot}</body>",
+        f"<body class='login menu'>{nav}<article>{paragraphs}</article>{foot}</body>",
+        f"<body>{nav}<article class='post comments-open tag-ads'>{paragraphs}</article>{comments}{foot}</body>",
+        f"<body>{nav}<div class='sidebar layout'><article class='share'>{paragraphs}</article>{comments}</div>{foot}</body>",
+        f"<body><form action=x>{nav}<article>{paragraphs}</article>{comments}{foot}</form></body>",
+        f"<body><form action=x>{nav}<div class='content'>{paragraphs}</div>{comments}{foot}</form></body>",
+        f"<body>{nav}<div class='main'>{paragraphs}</div>{comments}{foot}</body>",
+        f"<body class='widget'><main class='no-sidebar search'>{nav}<div class='text'>{paragraphs}</div>{comments}</main>{foot}</body>",
+    ):
+        assert ex.main_text(page) == " ".join(text), page[:80]
