@@ -1,19 +1,21 @@
 """GIF media columns: timed frames with colour histograms.
 
-``decode_gif`` reads any GIF87a/89a stream: LZW code streams with early or late
-clear codes, global and local palettes, interlacing, transparency, the disposal
-rules (keep, to background, to previous) and delays.  ``encode_gif`` writes
-grey samples losslessly; it clears the code table before it would grow, so
-every sample is one nine-bit code and whole frames are packed by numpy.
+``decode_gif`` reads any GIF87a/89a stream: LZW code streams with early, late,
+deferred or no clear codes, global and local palettes, interlacing, transparency,
+the disposal rules (keep, to background, to previous) and delays.
+``encode_gif`` writes grey samples losslessly as dictionary codes, each frame by
+a table of its own that is cleared when it is full.
 
-Decoding is vectorised by runs between clear codes: since a code's width
-depends only on its place after the last clear code, all codes of a run are cut
-out of the bit stream at once; runs of plain samples are copied, and others
-are expanded code by code, each entry being a slice of what is already out.
+Decoding is vectorised where it can be: a code's width depends only on its place
+after the last clear code, so stretches of codes are cut out of the bit stream at
+once; they are expanded code by code, each entry being a slice of what is
+already out.
 
 Cases: null media give null frames' columns; null and empty texts are stored
 as 64 zero samples; broken streams give the frames before the break; an empty
-table gives an empty result; repeated rows and extra columns are left alone.
+table gives an empty result; repeated rows are stored alike; texts of any size
+are stored whole; other columns stay, and a new one whose name is taken gets
+underscores.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import small_batches, table
+from lodestone.llm.common import fresh, sliced, table
 
 #: Samples in a row and rows in a frame of stored payloads; hundredths of a second that a frame is shown.
 WIDTH, HEIGHT, DELAY = 64, 64, 4
@@ -36,8 +38,10 @@ WIDTH, HEIGHT, DELAY = 64, 64, 4
 BLOCK = 64
 #: Bins of a colour histogram, for each of red, green and blue.
 BINS = 8
-#: Codes after a clear code for which the width stays nine bits: the table then reaches 512 entries.
-RUN = 254
+#: Bytes of texts or media that a worker turns into rows at once.
+SLICE = 2 << 20
+#: Codes have twelve bits at most; codes cut out of a stream at once, at first.
+TABLE, STRETCH = 4096, 512
 
 
 @dataclass
@@ -59,10 +63,51 @@ def _blocks(data: bytes) -> bytes:
     return whole.tobytes() + tail + b"\0"
 
 
-def _pack(codes: np.ndarray, width: int) -> bytes:
-    """Codes of one width as a bit stream, least significant bit first."""
-    bits = ((codes[:, None] >> np.arange(width)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+def _widths(entries: np.ndarray) -> np.ndarray:
+    """Bits of a code when the table has so many entries."""
+    return np.frexp(np.minimum(entries, TABLE - 1).astype(float))[1]
+
+
+def lzw_encode(samples: bytes, least: int = 8, defer: bool = False) -> bytes:
+    """The code stream of some samples of ``least`` bits; a full table is cleared at once or, if ``defer``, kept to the end."""
+    clear = 1 << least
+    codes, runs = [], []  # codes after a clear code, the clear code that ends them included
+    known: dict[int, int] = {}
+    free = clear + 2
+    emit, find = codes.append, known.get
+    at = iter(samples)
+    word = next(at, None)
+    for c in at:
+        key = word << 8 | c
+        entry = find(key)
+        if entry is not None:
+            word = entry
+            continue
+        emit(word)
+        word = c
+        if free < TABLE:
+            known[key] = free
+            free += 1
+        elif not defer:
+            emit(clear)
+            runs.append(len(codes))
+            known.clear()
+            free = clear + 2
+    if word is not None:
+        emit(word)
+    emit(clear + 1)
+    bounds = [0, *runs, len(codes)]
+    # code k after a clear code was written when the table had clear + 2 + k entries
+    place = np.concatenate([np.arange(b - a) for a, b in zip(bounds, bounds[1:], strict=False)])
+    widths = np.append(least + 1, _widths(clear + 1 + place))
+    widths = np.maximum(widths, least + 1)
+    return _pack(np.append(clear, codes).astype(np.uint16), widths)
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes as a bit stream, least significant bit first."""
+    bits = ((codes[:, None] >> np.arange(12, dtype=np.uint16)) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
 
 
 def encode_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay: int = DELAY) -> bytes:
@@ -71,22 +116,16 @@ def encode_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay:
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
     out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, height), 0xF7, 0, 0), grey]
     for top in range(0, rows, height):
-        part = np.frombuffer(samples, np.uint8, min(height, rows - top) * width, top * width).astype(np.uint16)
-        full, rest = divmod(len(part), RUN)
-        runs = np.empty((full, RUN + 1), np.uint16)
-        runs[:, 0] = 256
-        runs[:, 1:] = part[: full * RUN].reshape(full, RUN)
-        codes = np.concatenate([runs.ravel(), [256], part[full * RUN :], [257]]).astype(np.uint16)
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 0, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(_pack(codes, 9))]
+        part = samples[top * width : (top + height) * width]
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", 0, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(lzw_encode(part))]
     return b"".join([*out, b"\x3b"])
 
 
-def _run_codes(bits: np.ndarray, at: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from bit ``at``, as if none of them were a clear code, and where each ends."""
-    # code k after a clear code finds a table of clear + 2 + max(0, k - 1) entries
-    ks = np.arange(4097)
-    entries = np.minimum((1 << (least - 1)) + 2 + np.maximum(0, ks - 1), 4095)
-    widths = np.maximum(least, np.floor(np.log2(entries)).astype(int) + 1)
+def _stretch(bits: np.ndarray, at: int, least: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes ``first`` to ``first + count`` after a clear code, from bit ``at``, as if none of them were one, and where each ends."""
+    # a decoder's table has one entry less than the encoder's
+    entries = (1 << (least - 1)) + 1 + np.arange(first, first + count)
+    widths = np.maximum(least, _widths(entries))
     ends = at + np.cumsum(widths)
     n = int(np.searchsorted(ends, len(bits), "right"))
     widths, ends = widths[:n], ends[:n]
@@ -101,50 +140,52 @@ def lzw_decode(data: bytes, least: int, size: int) -> np.ndarray:
     """Up to ``size`` colour indexes of a GIF code stream whose samples have ``least`` bits."""
     clear, stop = 1 << least, (1 << least) + 1
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    out, at, done = bytearray(), 0, False
-    while not done and len(out) < size and at < len(bits):
-        if least == 8 and len(bits) - at >= 9 * 3:
-            # runs of plain samples, all of one width
-            n = min((len(bits) - at) // 9, RUN + 1)
-            codes = bits[at : at + 9 * n].reshape(n, 9).astype(np.int32) @ (1 << np.arange(9))
-            special = np.flatnonzero(codes >= clear)
-            k = special[0] if len(special) else n
-            if k < n and codes[k] in (clear, stop):
-                out += codes[:k].astype(np.uint8).tobytes()
-                at, done = at + 9 * (k + 1), codes[k] == stop
-                continue
-        codes, ends = _run_codes(bits, at, least + 1)
+    out, at, place = bytearray(), 0, 0
+    starts: list[int] = []
+    lengths: list[int] = []
+    while len(out) < size:
+        # longer stretches the longer no clear code came, so that little is cut out in vain
+        codes, ends = _stretch(bits, at, least + 1, place, max(STRETCH, place))
+        if not len(codes):
+            break
         special = np.flatnonzero((codes == clear) | (codes == stop))
-        if len(special):
-            k = special[0]
-            done, at = codes[k] == stop, int(ends[k])
-        else:
-            k, done = len(codes), True
-        done |= not _expand(codes[:k].tolist(), clear, out)
+        k = special[0] if len(special) else len(codes)
+        if not _expand(codes[:k].tolist(), clear, out, starts, lengths):
+            break
+        if not len(special):
+            at, place = int(ends[-1]), place + len(codes)
+            continue
+        if codes[k] == stop:
+            break
+        at, place = int(ends[k]), 0
+        starts.clear()
+        lengths.clear()
     return np.frombuffer(bytes(out[:size]), np.uint8)
 
 
-def _expand(codes: list[int], clear: int, out: bytearray) -> bool:
-    """Appends what a run of codes stands for; whether all were known."""
-    starts: list[int] = []
-    lengths: list[int] = []
+def _expand(codes: list[int], clear: int, out: bytearray, starts: list[int], lengths: list[int]) -> bool:
+    """Appends what codes stand for; ``starts`` and ``lengths``: where that of each code since the last clear code lies. Whether all were known."""
+    here, last, base = len(out), len(starts) - 1, clear + 2
+    start, length = starts.append, lengths.append
     for code in codes:
-        here = len(out)
+        e = code - base
         if code < clear:
             out.append(code)
-        elif code - clear - 2 < len(starts) - 1:
+            n = 1
+        elif e < last:
             # entry e is what code e stood for and the sample after it
-            e = code - clear - 2
             s, n = starts[e], lengths[e] + 1
             out += out[s : s + n]
-        elif code - clear - 2 == len(starts) - 1:
-            s, n = starts[-1], lengths[-1]
-            out += out[s : s + n]
+        elif e == last and e >= 0:
+            s, n = starts[e], lengths[e] + 1
+            out += out[s : s + n - 1]
             out.append(out[s])
         else:
             return False
-        starts.append(here)
-        lengths.append(len(out) - here)
+        start(here)
+        length(n)
+        here += n
+        last += 1
     return True
 
 
@@ -222,9 +263,10 @@ def _frames(data: bytes) -> Iterator[Frame]:
 
 
 def histogram(pixels: np.ndarray, bins: int = BINS) -> list[list[int]]:
-    """Visible pixels by value, for each of red, green and blue."""
-    seen = pixels[..., :3][pixels[..., 3] > 0]
-    return [np.bincount(seen[:, c].astype(int) * bins // 256, minlength=bins).tolist() for c in range(3)]
+    """Visible pixels by value, for each of red, green and blue; ``bins`` divides 256."""
+    alpha = pixels[..., 3].ravel()
+    seen = pixels.reshape(-1, 4) if alpha.all() else pixels.reshape(-1, 4)[alpha > 0]
+    return [np.bincount(seen[:, c], minlength=256).reshape(bins, -1).sum(1).tolist() for c in range(3)]
 
 
 FRAME_TYPE = T.ArrayType(
@@ -236,7 +278,6 @@ FRAME_TYPE = T.ArrayType(
             T.StructField("top", T.IntegerType()),
             T.StructField("width", T.IntegerType()),
             T.StructField("height", T.IntegerType()),
-            T.StructField("samples", T.BinaryType()),
             T.StructField("red", T.ArrayType(T.LongType())),
             T.StructField("green", T.ArrayType(T.LongType())),
             T.StructField("blue", T.ArrayType(T.LongType())),
@@ -247,10 +288,10 @@ FRAME_TYPE = T.ArrayType(
 
 def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
     at = df.columns.index(column)
-    small_batches(df.sparkSession, 200)
+    (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at, SLICE):
             made = pa.array([make(x) for x in batch.column(at).to_pylist()], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
@@ -267,23 +308,25 @@ def store_texts(df: DataFrame, text: str = "text", out: str = "media") -> DataFr
     return _mapped(df, text, out, T.BinaryType(), pa.binary(), make)
 
 
-def with_frames(df: DataFrame, media: str = "media", out: str = "frames") -> DataFrame:
-    """``df`` with ``out``: the timed frames of the GIF in ``media``, with the red samples of what each drew and colour histograms of the composed picture."""
+def with_frames(df: DataFrame, media: str = "media", out: str = "pictures") -> DataFrame:
+    """``df`` with struct ``out``: ``frames``, the timed frames of the GIF in ``media`` with colour histograms of the composed picture, and ``samples``, the red samples of what they drew, end to end."""
 
-    def make(data: bytes | None) -> list[dict] | None:
+    def make(data: bytes | None) -> dict | None:
         if data is None:
             return None
-        found, at = [], 0
+        found, samples, at = [], [], 0
         for frame in decode_gif(data):
             left, top, w, h = frame.box
             red, green, blue = histogram(frame.pixels)
-            found.append({"at": at, "delay": frame.delay, "left": left, "top": top, "width": w, "height": h, "samples": frame.pixels[top : top + h, left : left + w, 0].tobytes(), "red": red, "green": green, "blue": blue})
+            samples.append(frame.pixels[top : top + h, left : left + w, 0].tobytes())
+            found.append({"at": at, "delay": frame.delay, "left": left, "top": top, "width": w, "height": h, "red": red, "green": green, "blue": blue})
             at += frame.delay
-        return found
+        return {"frames": found, "samples": b"".join(samples)}
 
     ints = pa.list_(pa.int64())
-    arrow = pa.list_(pa.struct([("at", pa.int32()), ("delay", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.binary()), ("red", ints), ("green", ints), ("blue", ints)]))
-    return _mapped(df, media, out, FRAME_TYPE, arrow, make)
+    frame = pa.struct([(n, pa.int32()) for n in ("at", "delay", "left", "top", "width", "height")] + [(n, ints) for n in ("red", "green", "blue")])
+    arrow = pa.struct([("frames", pa.list_(frame)), ("samples", pa.binary())])
+    return _mapped(df, media, out, T.StructType([T.StructField("frames", FRAME_TYPE), T.StructField("samples", T.BinaryType())]), arrow, make)
 
 
 def op4_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,9 +334,8 @@ def op4_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = store_texts(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
     read = with_frames(stored)
-    joined = F.aggregate("frames", F.lit(b""), lambda acc, f: F.concat(acc, f["samples"]))
-    listed = F.array_join(F.transform("frames", lambda f: F.concat_ws(":", f["at"], F.array_join(f["red"].cast("array<string>"), "."))), ",")
-    return read.select("doc_id", "n_bytes", "media", joined.alias("payload"), listed.alias("feature")).select(
+    listed = F.array_join(F.transform("pictures.frames", lambda f: F.concat_ws(":", f["at"], F.array_join(f["red"].cast("array<string>"), "."))), ",")
+    return read.select("doc_id", "n_bytes", "media", F.col("pictures.samples").alias("payload"), listed.alias("feature")).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),

@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import small_batches, table
+from lodestone.llm.common import fresh, sliced, table
 
-#: The training sample: rows of each language, bytes of a text, languages.
-SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGS = 400, 50_000, 200
+#: The training sample: texts of each language, and how many bytes of a text are learned from.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 50_000
 BUCKETS, DIM = 1 << 15, 16
 EPOCHS, RATE, BATCH = 12, 20.0, 16
 #: Share of accepted predictions that must be right on the validation part.
@@ -192,16 +192,21 @@ def held_out(key: str) -> Column:
 
 
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model | None:
-    """A model of the rows that aren't held out, from at most ``rows`` texts a language of at most ``size`` bytes."""
+    """A model of the rows that aren't held out, from at most ``rows`` texts a language; of longer texts the first ``size`` bytes are learned from.
+
+    Prediction reads whole texts.
+    """
     spark = df.sparkSession
     open_rows = df.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = open_rows.groupBy("lang").count().collect()
     if not counts:
         return None
     # by a hash of the key, somewhat more than asked for; the rest is cut below
     shares = spark.createDataFrame([(r.lang, min(1.0, 1.5 * rows / r["count"])) for r in counts], "lang string, share double")
     drawn = F.pmod(F.xxhash64("k", F.octet_length("text")), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = open_rows.where(F.octet_length("text") <= size).join(F.broadcast(shares), "lang").withColumn("draw", drawn).where("draw < share")
+    sample = open_rows.join(F.broadcast(shares), "lang").withColumn("draw", drawn).where("draw < share")
+    # a code point has four bytes at most
+    sample = sample.withColumn("text", F.when(F.octet_length("text") > size, F.substring("text", 1, size // 4)).otherwise(F.col("text")))
     by_lang: dict[str, list] = {}
     for r in sample.select("lang", "draw", "k", "text").collect():
         by_lang.setdefault(r.lang, []).append((r.draw, str(r.k), r.text))
@@ -214,12 +219,12 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", out: str =
     at = df.columns.index(text)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
-    small_batches(df.sparkSession)
+    (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         words = Words(known) if known else None
-        for batch in batches:
+        for batch in sliced(batches, at):
             texts = batch.column(at).to_pylist()
             made = [{"lang": "und", "score": 0.0, "accepted": False} for _ in texts]
             seen = [i for i, t in enumerate(texts) if words and t and _LETTER.search(t)]

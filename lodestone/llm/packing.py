@@ -39,15 +39,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialize, small_batches, table, tokenizer_path
+from lodestone.llm.common import fresh, materialize, sliced, table, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Islands, epochs between migrations, generations in an epoch, packings on an island.
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 5, 4
-#: Pieces of one length that are ranked in one group, on average.
-RANK_ROWS = 256
+#: Pieces of one length that are ranked in one group, on average, unless that makes more groups of a length than the second number.
+RANK_ROWS, RANK_GROUPS = 256, 100_000
 #: The byte-level pre-tokenization pattern, a fixed value of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 RANKS = "byte_bpe_50k.tiktoken"
@@ -96,16 +96,14 @@ def cut_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capaci
     """Pieces of all documents: key, int ``piece``, long ``start``, long ``length``, long ``ids_crc32`` and, if asked for, array ``ids``.
 
     Only the first piece of a longer document may be shorter than ``capacity``.
+    If the key has one of these names, the new column gets an underscore before it.
     """
-    path = model or tokenizer_path(TOKENIZER)
-    ranks = "" if model else tokenizer_path(RANKS)
     tail = np.array([end_id], "<u4").tobytes()
-    small_batches(df.sparkSession)
-    names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    names = [key, *fresh(df.select(key), "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path, ranks)
-        for batch in batches:
+        tokens = Tokens(model or tokenizer_path(TOKENIZER), "" if model else tokenizer_path(RANKS))
+        for batch in sliced(batches, 1):
             rows, at, number, starts, crcs, ids = batch.column(0), [], [], [], [], []
             lengths = []
             for i, text_ in enumerate(batch.column(1).to_pylist()):
@@ -282,34 +280,33 @@ def slots(packing: Packing) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, **ga) -> DataFrame:
-    """``pieces`` (with long column ``length``) with long ``sequence_id`` and long ``offset``."""
+def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", **ga) -> DataFrame:
+    """``pieces``, whose long column ``length`` has each one's tokens, with long ``sequence_id`` and long ``offset`` (with underscores before them if their names are taken)."""
     spark = pieces.sparkSession
-    columns = pieces.columns
-    salted = materialize(pieces.withColumn("_r", F.xxhash64(F.monotonically_increasing_id(), F.col("length"))), "pieces")
-    counts = {r.length: r.n for r in salted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns = [f"c{i}" for i in range(len(pieces.columns))]  # no name of the input can clash
+    plain = pieces.toDF(*columns).withColumn("size", F.col(columns[pieces.columns.index(length)]))
+    salted = materialize(plain.withColumn("draw", F.xxhash64(F.monotonically_increasing_id(), F.col("size"))), "pieces")
+    counts = {r["size"]: r.n for r in salted.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     packing = pack_histogram(spark, counts, capacity, **ga)
     # both have a row for each length and pattern: the capacity bounds them
-    lengths = spark.createDataFrame([(s, max(1, n // RANK_ROWS)) for s, n in counts.items()], "length long, _groups long")
-    places = spark.createDataFrame(slots(packing), "length long, _lo long, _hi long, _each long, _first long, _base long")
-
-    grouped = salted.join(F.broadcast(lengths), "length").withColumn("_g", F.pmod("_r", F.col("_groups"))).drop("_groups")
-    sizes = grouped.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("length", "_g", (F.sum("_n").over(W.partitionBy("length").orderBy("_g")) - F.col("_n")).alias("_before"))
-    ranked = grouped.withColumn("_k", F.row_number().over(W.partitionBy("length", "_g").orderBy("_r")))
-    ranked = ranked.join(before, ["length", "_g"]).withColumn("_k", F.col("_k") - 1 + F.col("_before"))
-    found = ranked.join(F.broadcast(places), "length").where("_k >= _lo AND _k < _hi")
-    at = F.expr("_k - _lo")
-    return found.select(
-        *[F.col(f"`{c}`") for c in columns],
-        (F.col("_first") + F.expr("(_k - _lo) div _each")).alias("sequence_id"),
-        (F.col("_base") + F.pmod(at, F.col("_each")) * F.col("length")).alias("offset"),
-    )
+    lengths = spark.createDataFrame([(s, max(1, min(n // RANK_ROWS, RANK_GROUPS))) for s, n in counts.items()], "size long, groups long")
+    places = spark.createDataFrame(slots(packing), "size long, lo long, hi long, each long, first long, base long")
+
+    grouped = salted.join(F.broadcast(lengths), "size").withColumn("g", F.pmod("draw", F.col("groups"))).drop("groups")
+    sizes = grouped.groupBy("size", "g").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("size", "g", (F.sum("n").over(W.partitionBy("size").orderBy("g")) - F.col("n")).alias("before"))
+    ranked = grouped.withColumn("rank", F.row_number().over(W.partitionBy("size", "g").orderBy("draw")))
+    ranked = ranked.join(before, ["size", "g"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    found = ranked.join(F.broadcast(places), "size").where("rank >= lo AND rank < hi").withColumn("at", F.expr("rank - lo"))
+    sequence = F.col("first") + F.expr("at div each")
+    offset = F.col("base") + F.pmod("at", F.col("each")) * F.col("size")
+    return found.select(*columns, sequence.alias("sequence"), offset.alias("offset")).toDF(*pieces.columns, *fresh(pieces, "sequence_id", "offset"))
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, model: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of ``df``'s documents with their places in sequences."""
-    return place_pieces(cut_documents(df, key, text, capacity, end_id, model, with_ids), capacity)
+    pieces = cut_documents(df, key, text, capacity, end_id, model, with_ids)
+    return place_pieces(pieces, capacity, pieces.columns[3])
 
 
 def op6_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:

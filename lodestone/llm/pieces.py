@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import small_batches, table, tokenizer_path
+from lodestone.llm.common import fresh, sliced, table, tokenizer_path
 
 MARK = "▁"
 #: Entries that a task's table holds before it starts anew, and the length up to which a chunk is kept.
@@ -136,13 +136,13 @@ def _texts(column: pa.Array) -> list[str]:
 
 def encode_texts(df: DataFrame, text: str = "text", model: str | None = None, end: bool = False, out: str = "ids") -> DataFrame:
     """``df`` with ``out``: the ids of ``text`` as array<int>, closed by the end id if ``end``."""
-    path, at = model or tokenizer_path(MODEL), df.columns.index(text)
-    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+    (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(model or tokenizer_path(MODEL))
         tail = np.array([encoder.sp.eos_id()], "<i4").tobytes() if end else b""
-        for batch in batches:
+        for batch in sliced(batches, at):
             raw = [x + tail for x in encoder(_texts(batch.column(at)))]
             offsets = np.zeros(len(raw) + 1, "<i4")
             np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
@@ -155,12 +155,12 @@ def encode_texts(df: DataFrame, text: str = "text", model: str | None = None, en
 
 def decode_ids(df: DataFrame, ids: str = "ids", model: str | None = None, out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: the text of the id sequences in ``ids``; null counts as no ids."""
-    path, at = model or tokenizer_path(MODEL), df.columns.index(ids)
-    small_batches(df.sparkSession)
+    at = df.columns.index(ids)
+    (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
-        for batch in batches:
+        decoder = Decoder(model or tokenizer_path(MODEL))
+        for batch in sliced(batches, at):
             column = batch.column(at)
             values = column.values.to_numpy(zero_copy_only=False)
             ends = column.offsets.to_numpy()

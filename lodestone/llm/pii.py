@@ -131,6 +131,7 @@ def _spans(text: Column, kind: Kind, order: int, threshold: float) -> Column:
 def find_pii(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kinds: tuple[Kind, ...] = KINDS, out: str = "pii") -> DataFrame:
     """``df`` with ``out``: its spans by start, then kind: array of (start, ord, end, kind, score)."""
     spans = F.array_sort(F.concat(*[_spans(F.col(text), k, i, threshold) for i, k in enumerate(kinds)]))
+    (out,) = fresh(df, out)
     return df.withColumn(out, spans)
 
 

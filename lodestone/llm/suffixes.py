@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialize, small_batches, table
+from lodestone.llm.common import materialize, sliced, table
 
 LENGTH = 100
 GRAM = 32
@@ -167,7 +167,7 @@ def _slices(keys: list[int], texts: list[str | None], length: int) -> Iterator[l
 
 def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for block in _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in segments_of(block, length)], schema=SEGMENT)
 
@@ -366,7 +366,7 @@ def _contexts(length: int):
     """The bytes of the segments in a document's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out: list[list] = [[], [], [], []]
             for k, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode()
@@ -401,7 +401,6 @@ def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
 def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """``df`` dealt by document, with the document's number in ``_k``, and for each ``_k`` the list ``_runs`` of (s, n): n windows from place s repeat earlier ones."""
     spark = df.sparkSession
-    small_batches(spark)
     keyed = _numbered(df, key, text)
     segments = keyed.select("_k", text).mapInArrow(_segments(length), _spark_type(SEGMENT))
     slot = F.when(F.col("route") < PART, F.col("v")).otherwise(F.xxhash64("k", "s"))
@@ -426,7 +425,7 @@ def _remove(columns: list[str], text: str, out: str, length: int, binary: bool):
     at, runs_at = columns.index(text), columns.index("_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             made = []
             for t, runs in zip(batch.column(at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True):
                 raw = (t or "").encode()

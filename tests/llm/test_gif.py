@@ -42,6 +42,24 @@ def test_growing_tables():
                 assert gif.lzw_decode(lzw_encode(samples, least), least, n).tolist() == samples, (least, n, top)
 
 
+def test_deferred_and_missing_clear_codes():
+    random.seed(2)
+    for n in (4097, 20_000, 60_000, 200_000):
+        for top in (2, 256):
+            samples = bytes(random.randrange(top) for _ in range(n))
+            for defer in (False, True):
+                made = gif.lzw_encode(samples, defer=defer)
+                assert gif.lzw_decode(made, 8, n).tobytes() == samples, (n, top, defer)
+    # the table of both encoders is the same while it is not full, and it compresses
+    samples = bytes(b"some words of a text " * 150)
+    assert gif.lzw_encode(samples) == lzw_encode(list(samples), 8) and len(gif.lzw_encode(samples)) < len(samples) / 3
+    # without a first clear code, cut off, or with a code that is not yet known
+    bits = np.unpackbits(np.frombuffer(gif.lzw_encode(b"abcabcabc"), np.uint8), bitorder="little")
+    assert gif.lzw_decode(np.packbits(bits[9:], bitorder="little").tobytes(), 8, 9).tobytes() == b"abcabcabc"
+    assert gif.lzw_decode(gif.lzw_encode(bytes(5000))[:20], 8, 5000).tobytes() == bytes(gif.lzw_decode(gif.lzw_encode(bytes(5000))[:20], 8, 5000).size)
+    assert gif.lzw_decode(b"\xff\xff", 8, 9).size == 0
+
+
 def test_round_trip():
     for n in (1, 63, 64, 65, 254, 1000):
         raw = random.randbytes(64 * n)
@@ -82,9 +100,32 @@ def test_query(spark, tmp_path):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
         assert r.media_sha256 == hashlib.sha256(gif.encode_gif(pay)).hexdigest() and r.feature
+        assert r.feature == feature(pay)
     assert got[2].feature == got[6].feature
 
 
+def feature(pay):
+    """The red histograms of frames of 64 rows of 64, each drawn over the one before, by counting."""
+    out, canvas = [], b""
+    for i in range(0, len(pay), 4096):
+        canvas = pay[i : i + 4096] + canvas[len(pay[i : i + 4096]) :]
+        counts = [0] * 8
+        for x in canvas:
+            counts[x // 32] += 1
+        out.append(f"{i // 4096 * gif.DELAY}:" + ".".join(map(str, counts)))
+    return ",".join(out)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6)] * 3, "i int, text string, media int, pictures int")
+    stored = gif.store_texts(df)
+    assert stored.columns == ["i", "text", "media", "pictures", "_media"]
+    read = gif.with_frames(stored, "_media")
+    assert read.columns[-1] == "_pictures" and [bytes(r._pictures.samples) for r in read.collect()] == [b"a" + bytes(63)] * 3
+    assert [r.pictures for r in read.collect()] == [6] * 3
+    assert gif.with_frames(gif.store_texts(df.limit(0)), "_media").count() == 0
+
+
 def test_broken_and_null(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"no gif")), (3, bytearray(gif.encode_gif(bytes(64))[:-20]))], "i int, media binary")
-    assert [None if r.frames is None else len(r.frames) for r in gif.with_frames(df).orderBy("i").collect()] == [None, 0, 0]
+    assert [None if r.pictures is None else len(r.pictures.frames) for r in gif.with_frames(df).orderBy("i").collect()] == [None, 0, 0]
