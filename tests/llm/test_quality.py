@@ -63,3 +63,36 @@ def test_rules_are_ordered_by_rejections(spark):
 @pytest.mark.parametrize("texts", [[], ["aaa bbb ccc ddd eee fff ggg hhh iii jjj kkk"] * 3])
 def test_empty_and_repeated(spark, texts):
     assert quality.quality_filter(docs(spark, texts) if texts else docs(spark, ["a"]).limit(0)).count() == len(texts)
+
+
+def test_rules_behind_a_rejection_are_not_computed(spark):
+    """A rule that raises where an earlier one rejects: it is never computed there."""
+    df = docs(spark, ["short"] * 5 + ["aaa bbb ccc ddd eee fff ggg hhh iii jjj kkk lll %d" % i for i in range(20)])
+    short = lambda f: f["n_words"] < 10
+    first = quality.Rule("short", ("n_words",), short)
+    quality.FEATURES["trap"] = lambda t, w: F.when(F.size(w) < 10, F.raise_error(F.lit("computed"))).otherwise(F.size(w)).cast("int")
+    try:
+        trap = quality.Rule("trap", ("trap",), lambda f: f["trap"] < 0)
+        made = lambda ordered: df.where(quality.let(quality.words_of(F.col("text")), lambda w: quality.cascade(ordered, quality.Features(F.col("text"), w))).isNull())
+        assert made([first, trap]).count() == 20
+        with pytest.raises(Exception, match="computed"):
+            made([trap, first]).count()
+        # in the query's scores too, whose base features are known
+        order = quality.order_rules
+        quality.order_rules = lambda *a, **k: [first, trap]
+        try:
+            assert quality.quality_scores(df).where("quality.failed IS NULL").count() == 20
+        finally:
+            quality.order_rules = order
+    finally:
+        del quality.FEATURES["trap"]
+
+
+def test_order_is_stable_and_by_cost(spark):
+    texts = ["word%d and others that go on for a while " % i * 200 for i in range(60)]
+    dear = quality.Rule("dear", ("n_words", "n_repeat_words"), lambda f: f["n_repeat_words"] >= 0)
+    cheap = quality.Rule("cheap", ("n_words",), lambda f: f["n_words"] >= 0)
+    for _ in range(3):
+        assert [r.name for r in quality.order_rules(docs(spark, texts), rules=(dear, cheap))] == ["cheap", "dear"]
+    # a feature that is computed anyway costs nothing
+    assert [r.name for r in quality.order_rules(docs(spark, TEXTS), known=quality.BASE)][0] in ("few_words", "repeated_words", "word_length", "symbols")
