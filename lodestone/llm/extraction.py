@@ -1,11 +1,17 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page falls into text blocks.  A linear classifier over markup, class names,
-link density and length gives each block a cost of being called content and one
-of being called boilerplate: the capacities of its edges to the two terminals.
-Neighbouring blocks, and blocks of the same container, are tied by edges that
-weaken with their distance in the DOM.  The minimum cut, found by max-flow,
-labels all blocks at once.
+link density and length gives each block a bounded score, and so a cost of being
+called content and one of being called boilerplate: the capacities of its edges
+to the two terminals.  Neighbouring blocks, and blocks of the same container, are
+tied by edges that weaken with their distance in the DOM and between blocks of
+different kinds.  The minimum cut, found by max-flow, labels all blocks at once:
+names and elements that say what they are decide by themselves, while short
+lines, half-linked ones and others without a name go with their neighbours.
+
+A class, id or role counts by its whole name or its head word (comment-list:
+comment; post-footer: footer); inline elements with the name of boilerplate are
+blocks of their own.
 
 A name or a form around the whole page, or around its main part, says nothing
 about the text in it: what they say counts only where enough text lies outside.
@@ -17,7 +23,8 @@ costs, so that max-flow runs on what is left only.
 Cases: null, empty and markup-free pages (the latter are one block) have
 defined texts; unclosed tags, comments and quotes are taken as browsers mostly
 do; very long pages are read whole; an empty table gives an empty result;
-repeated rows and further columns stay as they are.
+repeated rows and further columns stay as they are, and a new column whose name
+is taken gets underscores; blocks whose costs tie are boilerplate.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import small_batches, table
+from lodestone.llm.common import fresh, sliced, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -59,8 +66,16 @@ NAMES = {
 FORMS = frozenset(("form", "fieldset"))
 #: Characters outside a container in blocks of so many that keep what the container's names say, or this share of those inside.
 OUTSIDE, PROSE, OUTSIDE_SHARE = 200, 40, 0.5
-#: Ties: of blocks next to each other, of blocks in one container.
-ADJACENT, SIBLING = 0.6, 0.8
+#: Words of a name that say nothing about what an element is.
+GENERIC = frozenset("area block box bar body button buttons col column container content inner item items layout line link links list outer page panel row section slot unit wrap wrapper zone".split())
+#: Inline elements that are taken for blocks if they have the name of boilerplate.
+INLINE = frozenset("span small em strong b i u font ins del mark sup sub cite q abbr time data bdi bdo".split())
+#: Scores end at this; what a block without a name must be worth on a page that has prose: PROSE_CHARS characters in one block.
+LIMIT, BIAS, PROSE_CHARS = 4.0, 0.8, 140
+#: Ties: of blocks next to each other, of blocks in one container; their share between blocks of different kinds.
+ADJACENT, SIBLING, UNLIKE = 1.5, 1.2, 0.25
+#: Containers that say this or less are boilerplate by name.
+NAMED = -2.0
 
 
 @dataclass
@@ -77,6 +92,18 @@ class Block:
     cost_boilerplate: float = field(default=0.0)
 
 
+def _said_by(name: str) -> float:
+    """What one class, id or role says: as a whole, or by its last word that means something; a content word behind one of boilerplate says nothing."""
+    if name in NAMES:
+        return NAMES[name]
+    if _STATE.fullmatch(name):
+        return 0.0
+    words = _WORD.findall(name)
+    telling = [w for w in words if w not in GENERIC] or words
+    head, first = (NAMES.get(telling[-1], 0.0), NAMES.get(telling[0], 0.0)) if telling else (0.0, 0.0)
+    return 0.0 if head >= 0 > first and len(telling) > 1 and head else head or min(first, 0.0)
+
+
 def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
     """What an element says about the text in it, and the part of it that is taken back if it holds the page's main part."""
     said = ELEMENTS.get(tag, 0.0)
@@ -85,7 +112,7 @@ def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
     back = said if tag in FORMS else 0.0
     if attributes and ("=" in attributes or "hidden" in attributes):
         names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
-        found = [NAMES[w] for x in names if not _STATE.fullmatch(x) for w in _WORD.findall(x) if w in NAMES]
+        found = [x for x in map(_said_by, names) if x]
         if tag in ("body", "main"):
             found = [x for x in found if x > 0]
         if found:
@@ -146,6 +173,7 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
     parts: list[str] = []
     number, linked, link_from, at = 0, 0, -1, 0
+    nested: dict[int, int] = {}  # inline elements of the same kind open in one that is a block
 
     def flush() -> None:
         nonlocal linked, link_from
@@ -211,6 +239,21 @@ def blocks_of(html: str) -> list[Block]:
                 number += 1
                 own[number] = tag, -12.0, 0.0
                 stack.append((tag, number, stack[-1][2] - 12.0, stack[-1][3]))
+        elif tag in INLINE:
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0) if nested else 0
+            if closing:
+                if k and nested[stack[k][1]]:
+                    nested[stack[k][1]] -= 1
+                elif k:
+                    flush()
+                    del stack[k:]
+            elif attributes and (found := _evidence(tag, attributes, stack[-1][3]))[0] < 0:
+                flush()
+                number += 1
+                own[number], nested[number] = (tag, *found), 0
+                stack.append((tag, number, max(-60.0, stack[-1][2] + found[0]), stack[-1][3]))
+            elif k:
+                nested[stack[k][1]] += 1
     if at < len(html):
         parts.append(html[at:])
     flush()
@@ -230,12 +273,14 @@ def _end_of(html: str, tag: str, at: int) -> int:
 def classify(blocks: list[Block]) -> None:
     """Sets both costs of every block: the negative log likelihoods of a logistic model."""
     framed = any(b.inside and b.said > 0 for b in blocks)
+    bias = BIAS if any(b.said > NAMED and len(b.text) - b.linked >= PROSE_CHARS for b in blocks) else 0.0
     for b in blocks:
         n = len(b.text)
-        score = b.said + min(n, 240) / 80 - 4.0 * min(1.0, b.linked / n) + (0.5 if b.text[-1] in ".!?…:" else 0.0)
+        score = b.said - bias + min(n, 240) / 80 - 4.0 * min(1.0, b.linked / n) + (0.5 if b.text[-1] in ".!?…:" else 0.0)
         if framed and not b.inside:
             score -= 6.0
-        score = max(-30.0, min(30.0, score))
+        # no evidence outweighs all neighbours together however much there is of it
+        score = LIMIT * math.tanh(score / LIMIT)
         b.cost_content = math.log1p(math.exp(-score))
         b.cost_boilerplate = math.log1p(math.exp(score))
 
@@ -244,15 +289,16 @@ def ties_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     """Edges between blocks: (earlier, later) to weight."""
     ties: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
+    like = lambda a, b: UNLIKE if a.inside != b.inside or (a.said <= NAMED) != (b.said <= NAMED) else 1.0
     for i, b in enumerate(blocks):
         if i:
             p, q = blocks[i - 1].path, b.path
             common = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
-            ties[i - 1, i] = ADJACENT / (1 + len(p) + len(q) - 2 * common)
+            ties[i - 1, i] = ADJACENT / (1 + len(p) + len(q) - 2 * common) * like(blocks[i - 1], b)
         parent = b.path[-2] if len(b.path) > 1 else b.path[-1]
         if parent in last:
             pair = last[parent], i
-            ties[pair] = ties.get(pair, 0.0) + SIBLING / (1 + i - pair[0])
+            ties[pair] = ties.get(pair, 0.0) + SIBLING / (1 + i - pair[0]) * like(blocks[pair[0]], b)
         last[parent] = i
     return ties
 
@@ -346,10 +392,10 @@ def main_text(html: str | None) -> str:
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``df`` with ``out``: the main text of the page in ``html``, empty if there is none."""
     at = df.columns.index(html)
-    small_batches(df.sparkSession)
+    (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             made = pa.array([main_text(x) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 

@@ -74,3 +74,52 @@ def test_names_and_forms_around_the_whole_page():
         f"<body class='widget'><main class='no-sidebar search'>{nav}<div class='text'>{paragraphs}</div>{comments}</main>{foot}</body>",
     ):
         assert ex.main_text(page) == " ".join(text), page[:80]
+
+
+LONG = "This paragraph of the article is long enough to be prose, and it goes on for a while with commas, as articles do, until it ends properly after all."
+
+
+def cut_changes(html):
+    """Blocks whose label the cut changes, with their new one."""
+    blocks = ex.blocks_of(html)
+    ex.classify(blocks)
+    alone = [b.cost_boilerplate > b.cost_content for b in blocks]
+    cut = ex.min_cut([b.cost_boilerplate for b in blocks], [b.cost_content for b in blocks], ex.ties_of(blocks))
+    return [(b.text, new) for b, old, new in zip(blocks, alone, cut, strict=True) if old != new]
+
+
+def test_neighbours_decide_what_has_no_name():
+    menu = "<div><div><a href=a>Home</a></div><div><a href=b>About us</a></div><div><a href=c>Contact</a></div></div>"
+    body = f"<div><div>{LONG}</div><div>A short line</div><div>{LONG}</div><div>See <a href=x>this</a> too</div><div>{LONG}</div></div>"
+    page = f"<html><body>{menu}{body}<div><div><a href=d>Next page</a></div><div>Page 3</div><div><a href=e>Last page</a></div></div></body></html>"
+    assert ex.main_text(page) == f"{LONG} A short line {LONG} See this too {LONG}"
+    changed = cut_changes(page)
+    assert {("A short line", True), ("See this too", True)} <= set(changed)
+
+
+def test_names_count_by_their_head():
+    content = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = f"{LONG} {LONG}"
+    nav = "<ul class='site-nav'><li><a href=a>Home</a></li></ul>"
+    for body in (
+        f"<body class='has-sidebar'><article>{content}</article></body>",
+        f"<body class='single-post no-sidebar'>{nav}<article>{content}</article></body>",
+        f"<body>{nav}<div class='main-content with-sidebar'>{content}</div></body>",
+        f"<body>{nav}<div id='search-results-page'><main>{content}</main></div></body>",
+        f"<body>{nav}<div class='post-body'>{content}</div><div class='comment-list'><p>{LONG}</p></div></body>",
+        f"<body>{nav}<div class='entry'>{content}<div class='post-footer'>Filed under: things and others, as they were found.</div></div></body>",
+        f"<body>{nav}<div>{content}</div><div class='ad-slot'>{LONG}</div><div class='cookie-banner-container'><p>{LONG}</p></div></body>",
+    ):
+        assert ex.main_text(body) == want, body[:90]
+
+
+def test_inline_elements_with_names():
+    page = f"<body><article><p>{LONG} <span class='ad'>Buy <span>it</span> now</span> And it goes on.</p><p><b class=x>Bold</b> words {LONG}</p></article></body>"
+    assert ex.main_text(page) == f"{LONG} And it goes on. Bold words {LONG}"
+    ex.main_text("<span class=ad>" * 2000 + "x" + "</span>" * 3000 + "</div><p class=ad><span>")
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>Some words of a text.</p>", 2)], "page_id int, html string, text int")
+    found = ex.extract_text(df)
+    assert found.columns == ["page_id", "html", "text", "_text"] and tuple(found.first())[2:] == (2, "Some words of a text.")
