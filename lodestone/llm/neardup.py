@@ -44,13 +44,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, small_batches, table
+from lodestone.llm.common import HOT_ROWS, drop, materialize, salted_join, sliced, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 3
-#: Buckets of document frequencies, and how many of them one row of counts has.
-FEATURES, CHUNK = 1 << 20, 1 << 14
+#: Buckets of document frequencies, and how many of them one row of counts has; how many rows are summed at a time.
+FEATURES, CHUNK, MERGE = 1 << 20, 1 << 14, 64
 #: Bytes of text hashed at once.
 BLOCK = 1 << 18
 #: Rounds with leaders; members in a block of step 4; samples of BANDS * ROWS that must agree there.
@@ -201,30 +201,42 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(FEATURES, np.int32), 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).to_pylist()
             rows += len(texts)
             for a, b in _blocks(texts):
                 np.add.at(total, (shingles(texts[a:b])[0] & U(FEATURES - 1)).astype(np.int64), 1)
-        chunks = [(i, total[i * CHUNK : (i + 1) * CHUNK]) for i in range(FEATURES // CHUNK)]
+        chunks = [(i, total[i * CHUNK : (i + 1) * CHUNK].astype(np.int64)) for i in range(FEATURES // CHUNK)]
         chunks = [(i, c.tobytes(), 0) for i, c in chunks if c.any()] + [(-1, b"", rows)]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary()), pa.array([c[2] for c in chunks], pa.int64())], ["chunk", "data", "docs"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        rows = 0
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int32()]
+        row = lambda at, total, n: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((at[0], total.tobytes(), n, at[1]), kinds, strict=True)], ["chunk", "data", "docs", "part"])
+        at, total, docs = None, np.zeros(0, np.int64), 0
         for batch in batches:
-            for chunk, data, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += n
-                if chunk >= 0:
-                    sums[chunk] = sums.get(chunk, 0) + np.frombuffer(data, np.int32).astype(np.int64)
-        made = [(i, c.tobytes(), 0) for i, c in sums.items()] + [(-1, b"", rows)]
-        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in made], pa.int32()), pa.array([c[1] for c in made], pa.binary()), pa.array([c[2] for c in made], pa.int64())], ["chunk", "data", "docs"])
+            for chunk, data, n, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (chunk, part // MERGE):
+                    if at:
+                        yield row(at, total, docs)
+                    at, total, docs = (chunk, part // MERGE), np.zeros(CHUNK if chunk >= 0 else 0, np.int64), 0
+                total += np.frombuffer(data, np.int64)
+                docs += n
+        if at:
+            yield row(at, total, docs)
 
     schema = "chunk int, data binary, docs long"
-    parts = docs.select("k", "text").mapInArrow(count, schema)
+    parts = materialize(docs.select("k", "text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id()), "counts")
+    # a tree: MERGE tasks' counts meet in one, then those of MERGE such tasks, so no task ever reads more however many there are
+    groups = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while groups > 1:
+        groups = -(-groups // MERGE)
+        summed = parts.repartition("chunk", F.expr(f"part div {MERGE}")).sortWithinPartitions("chunk", "part").mapInArrow(add, schema + ", part int")
+        parts, merged = materialize(summed, "counts"), parts
+        drop(merged)
     # one row of sums for each chunk: 8 MB in all
-    found = parts.repartition("chunk").mapInArrow(add, schema).collect()
+    found = parts.drop("part").collect()
+    drop(parts)
     total = np.zeros(FEATURES, np.int64)
     for r in found:
         if r.chunk >= 0:
@@ -241,7 +253,7 @@ def idf_of(docs: int, frequencies: np.ndarray) -> np.ndarray:
 
 def _sign(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             texts = batch.column(2).to_pylist()
             digests = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
             bands, raw = [], []
@@ -268,7 +280,7 @@ def _verify(idf, threshold: float):
     """Of rows (u, text, v, other): the pairs whose similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             us, texts, vs, others = (c.to_pylist() for c in batch.columns)
             links: tuple[list[int], list[int], list[float]] = ([], [], [])
             sets: dict[int, tuple] = {}
@@ -296,9 +308,13 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.col("u").alias("k")).union(pairs.select("v")).distinct(), "ids")
     texts = materialize(_texts_of(ids, docs), "texts")
-    joined = pairs.join(texts.withColumnRenamed("k", "u"), "u").join(texts.select(F.col("k").alias("v"), F.col("text").alias("other")), "v")
-    found = joined.select("u", "text", "v", "other").mapInArrow(_verify(idf, threshold), "u long, v long, similarity double")
-    return materialize(found, "links")
+    # a leader may have any number of pairs
+    joined = salted_join(pairs, texts.select(F.col("k").alias("v"), F.col("text").alias("other")), ["v"], "u").join(texts.withColumnRenamed("k", "u"), "u")
+    # a task that gets the pairs of one leader end to end hashes it once
+    joined = joined.select("u", "text", "v", "other")
+    found = materialize(joined.mapInArrow(_verify(idf, threshold), "u long, v long, similarity double"), "links")
+    drop(pairs, ids, texts)
+    return found
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +326,19 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, class) for all ends of the links (u, v) but the smallest of each component, which is the class: alternating large and small stars."""
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+    edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "stars")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a node may have any number of neighbours; where no node can be hot, nothing need be written to find out
+        kept, join = (lambda df: df, lambda a, b: a.join(b.drop("n"), "u")) if edges.count() <= HOT_ROWS else (lambda df: materialize(df, "stars"), lambda a, b: salted_join(a, b, ["u"], "v", "n"))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         # every larger neighbour of a node, to the node's least neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = kept(join(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join(large, low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        read = [edges, *(t for t in (least, large, low) if hasattr(t, "_written_to"))]
         edges = materialize(small, "stars")
+        drop(*read)
         # done when no class is itself in another
         if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return edges.select("u", F.col("v").alias("class"))
@@ -397,7 +417,7 @@ def _weighed(idf):
     """A row (k, h, w) for each shingle of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in _blocks(texts):
                 h, count, first = shingles(texts[a:b])
@@ -411,7 +431,7 @@ def _packed(idf):
     """A row (u, hashes, weights) for each document: its shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             made: tuple[list, list] = ([], [])
             for a, b in _blocks(texts):
@@ -436,8 +456,10 @@ def linkable(ids: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
     A document's similarity with any other is at most that share, so no link is lost.
     """
     rows = materialize(_texts_of(ids, docs).mapInArrow(_weighed(idf), "k long, h long, w double"), "shingles")
-    several = rows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a != b").select("h", F.lit(1).alias("several"))
-    shared = rows.join(several, "h", "left").groupBy("k").agg(F.sum(F.when(F.col("several") == 1, F.col("w"))).alias("shared"), F.sum("w").alias("all"))
+    several = rows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b")
+    several = materialize(several.select("h", F.lit(1).alias("several"), "n"), "shared")
+    # a shingle may be in any number of documents
+    shared = salted_join(rows, several, ["h"], "k", "n", "left").groupBy("k").agg(F.sum(F.when(F.col("several") == 1, F.col("w"))).alias("shared"), F.sum("w").alias("all"))
     return shared.where(F.col("shared") >= F.col("all") * (threshold - 1e-6)).select("k")
 
 
@@ -449,8 +471,8 @@ def _cells(members: DataFrame) -> DataFrame:
     key = ["band", "bucket"]
     classes = members.groupBy(*key, "class").agg(F.count(F.lit(1)).alias("n"))
     largest = classes.groupBy(*key).agg(F.max(F.struct("n", F.col("class").alias("c"))).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    several = largest.select(*key, F.col("top.c").alias("c"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / MEMBERS).cast("int").alias("rests"))
-    wide = members.join(several, key)
+    several = largest.select(*key, F.col("top.c").alias("c"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / MEMBERS).cast("int").alias("rests"), F.col("all").alias("n"))
+    wide = salted_join(members, materialize(several, "mixed"), key, "u", "n")
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
     left = wide.where("class <> c").withColumn("j", F.explode(numbers("blocks"))).withColumn("i", own("rests")).withColumn("side", F.lit(0))
@@ -474,7 +496,6 @@ def _id(key: Column) -> Column:
 def _classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, int]:
     """The rows (k, u, r) of ``df`` with their texts' names and numbers of their own; for each name u: ``label``, the name of its class, and ``stays``, the row (k, u, r) of the class that stays and how often (n) its id has that text; the salt of the names."""
     spark = df.sparkSession
-    small_batches(spark)
     idf = spark.sparkContext.broadcast(idf_of(*document_frequencies(df.select(F.lit(0).cast("long").alias("k"), F.col(text).alias("text")))))
     for salt in count():
         read = df.select(_id(F.col(key)).alias("k"), _name(F.col(text), salt).alias("u"), F.col(text).alias("text"))
@@ -497,17 +518,21 @@ def _labels(first: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
     """(u, class) of the texts (u, bands, sig) that are linked to one of a smaller name; ``docs`` has (k, text), k being the name."""
     spark = first.sparkSession
     banded = first.select("u", "sig", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v != w").select("band", "bucket")
-    members = materialize(banded.join(shared, ["band", "bucket"]), "buckets")
+    shared = banded.groupBy("band", "bucket").agg(F.min("u").alias("v"), F.max("u").alias("w"), F.count(F.lit(1)).alias("n")).where("v != w").select("band", "bucket", "n")
+    shared = materialize(shared, "shared")
+    members = materialize(salted_join(banded, shared, ["band", "bucket"], "u", "n"), "buckets")
+    drop(shared)
 
     links, labels = None, spark.createDataFrame([], "u long, class long")
     for number in range(ROUNDS):
         classed = materialize(_classed(members, labels), "classed")
         order = F.col("u") if number == 0 else F.xxhash64("u", F.lit(number), "band")
         lead = F.min(F.struct(order.alias("r"), F.col("u").alias("v"), F.col("class").alias("c"), F.col("sig").alias("other")))
-        chosen = classed.groupBy("band", "bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"), lead.alias("lead")).where("a != b")
-        met = classed.join(chosen.select("band", "bucket", "lead.v", "lead.c", "lead.other"), ["band", "bucket"]).where("class != c")
+        chosen = classed.groupBy("band", "bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"), lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("a != b")
+        chosen = materialize(chosen.select("band", "bucket", "lead.v", "lead.c", "lead.other", "n"), "leaders")
+        met = salted_join(classed, chosen, ["band", "bucket"], "u", "n").where("class != c")
         found = verify(met.select("u", "sig", "v", "other").mapInArrow(_agreeing, "u long, v long").distinct(), docs, idf, threshold)
+        drop(classed, chosen)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
