@@ -2,13 +2,23 @@
 
 Key order matters, so the text is parsed in a Python UDTF; each row is parsed
 by itself, so any number of files streams through.
+
+A tree is flattened once, into its leaves in order and its containers with the
+range of leaves each holds.  Running sums over the leaves give every container's
+size by a subtraction; what becomes a chunk is then decided for each leaf by
+itself: all leaves of the outermost container that fits the budgets go together,
+and the others are runs under one container, cut where a budget is full.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,86 +29,109 @@ LEAF_BUDGET, CHAR_BUDGET = 25, 1200
 Leaf = tuple[str, str]
 
 
-def leaves(node: object, path: str = "") -> Iterator[Leaf]:
-    """(path, value) of all scalars in order: ``a.b``, ``a[0]``; null is empty, other values as Python prints them."""
-    stack: list[tuple[str, object]] = [(path, node)]
-    while stack:
-        at, x = stack.pop()
-        if isinstance(x, (dict, list)):
-            stack.extend(reversed(list(children(x, at))))
+@dataclass
+class Container:
+    """``path``: of the container; ``joint``: characters between its path and those of its members; ``first``, ``end``: the leaves in it; ``parent``: its number, -1 for none."""
+
+    path: str
+    joint: int
+    parent: int
+    first: int
+    end: int = 0
+
+
+def flatten(tree: object) -> tuple[list[Leaf], list[int], list[Container]]:
+    """All scalars in order as (path, value): ``a.b``, ``a[0]``, null being empty and others as Python prints them; the container of each; all containers, outer ones first."""
+    found: list[Leaf] = []
+    homes: list[int] = []
+    boxes: list[Container] = []
+    todo: list[tuple[str, object, int]] = [("", tree, -1)]
+    while todo:
+        path, node, home = todo.pop()
+        if home >= 0 and node is boxes[home]:  # all in it is done
+            node.end = len(found)
+        elif isinstance(node, (dict, list)):
+            named = isinstance(node, dict)
+            dot = "." if path and named else ""
+            box = Container(path, len(dot), home, len(found))
+            boxes.append(box)
+            me = len(boxes) - 1
+            todo.append((path, box, me))
+            members = [(f"{path}{dot}{k}", v, me) for k, v in node.items()] if named else [(f"{path}[{i}]", v, me) for i, v in enumerate(node)]
+            todo.extend(members[::-1])
         else:
-            yield at, "" if x is None else str(x)
-
+            found.append((path, "" if node is None else str(node)))
+            homes.append(home)
+    return found, homes, boxes
 
-def children(node: dict | list, path: str) -> Iterator[tuple[str, object]]:
-    if isinstance(node, dict):
-        for key, value in node.items():
-            yield f"{path}.{key}" if path else key, value
-    else:
-        for i, value in enumerate(node):
-            yield f"{path}[{i}]", value
 
+def leaves(tree: object) -> Iterator[Leaf]:
+    yield from flatten(tree)[0]
 
-class Budgeted:
-    """Cuts one JSON tree into chunks (name, leaves) within the budgets.
 
-    A subtree within both is one chunk.  A larger one is gone through in order:
-    containers in it are cut by themselves, scalars between them are batched.
-    """
+def _filled(run: list[Leaf], leaf_budget: int, char_budget: int) -> Iterator[list[Leaf]]:
+    """A run of leaves in parts within both budgets, one leaf at least."""
+    part: list[Leaf] = []
+    room = char_budget
+    for leaf in run:
+        size = len(leaf[0]) + len(leaf[1])
+        if part and (len(part) == leaf_budget or size > room):
+            yield part
+            part, room = [], char_budget
+        part.append(leaf)
+        room -= size
+    yield part
 
-    def __init__(self, stem: str, leaf_budget: int = LEAF_BUDGET, char_budget: int = CHAR_BUDGET) -> None:
-        self.stem, self.leaf_budget, self.char_budget = stem, leaf_budget, char_budget
-        self.chunks: list[tuple[str, list[Leaf]]] = []
 
-    def _fits(self, count: int, chars: int) -> bool:
-        return count <= self.leaf_budget and chars <= self.char_budget
+def cut_tree(tree: object, stem: str, leaf_budget: int = LEAF_BUDGET, char_budget: int = CHAR_BUDGET) -> list[tuple[str, list[Leaf]]]:
+    """Chunks (name, leaves) within the budgets.
 
-    def cut(self, node: object, path: str = "") -> None:
-        # sizes are taken without the path that leads to the subtree
-        inner = list(leaves(node))
-        if not inner:
-            return
-        if not isinstance(node, (dict, list)) or self._fits(len(inner), sum(len(p) + len(v) for p, v in inner)):
-            self.chunks.append((path or self.stem, list(leaves(node, path))))
-            return
-        batch: list[Leaf] = []
-        number = 0
-
-        def flush() -> None:
-            nonlocal batch, number
-            if batch:
-                number += 1
-                self.chunks.append((f"{path or self.stem}#{number}", batch))
-                batch = []
-
-        for at, value in children(node, path):
-            if isinstance(value, (dict, list)):
-                if next(leaves(value), None) is not None:
-                    flush()
-                    self.cut(value, at)
-                continue
-            own = list(leaves(value, at))
-            if batch and not self._fits(len(batch) + 1, sum(len(p) + len(v) for p, v in batch + own)):
-                flush()
-            batch += own
-        flush()
+    A container is measured without the path that leads to it, a run of scalars
+    with its whole paths.
+    """
+    found, homes, boxes = flatten(tree)
+    upto = [0, *accumulate(len(p) + len(v) for p, v in found)]
+    whole: list[int] = []  # for each container the outermost one around it that fits, itself included; -1 for none
+    for number, box in enumerate(boxes):
+        outer = whole[box.parent] if box.parent >= 0 else -1
+        count = box.end - box.first
+        chars = upto[box.end] - upto[box.first] - count * (len(box.path) + box.joint)
+        fits = count <= leaf_budget and chars <= char_budget
+        whole.append(outer if outer >= 0 else number if fits else -1)
+    out: list[tuple[str, list[Leaf]]] = []
+    parts: Counter[int] = Counter()
+    for (home, outer), run in groupby(range(len(found)), lambda i: (-1, whole[homes[i]]) if homes[i] >= 0 and whole[homes[i]] >= 0 else (homes[i], -1)):
+        rows = [found[i] for i in run]
+        if outer >= 0 or home < 0:
+            out.append(((boxes[outer].path if outer >= 0 else "") or stem, rows))
+            continue
+        for part in _filled(rows, leaf_budget, char_budget):
+            parts[home] += 1
+            out.append((f"{boxes[home].path or stem}#{parts[home]}", part))
+    return out
+
+
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
 
 
 def chunk_rows(text: str, stem: str, leaf_budget: int = LEAF_BUDGET, char_budget: int = CHAR_BUDGET) -> Iterator[tuple[str, int, str]]:
     """(name, line, text) of each chunk.
 
-    The line is where the first leaf's last key is quoted next; the search only
-    goes forward, and line 1 stands for a key that isn't found.
+    The line is where the last key of the chunk's first leaf is quoted next;
+    places only go forward, and line 1 stands for a key that isn't there.
     """
-    cutter = Budgeted(stem, leaf_budget, char_budget)
-    cutter.cut(json.loads(text))
-    at = 0
-    for name, found in cutter.chunks:
-        key = re.sub(r"\[.*", "", found[0][0].rsplit(".", 1)[-1])
-        place = text.find(f'"{key}"', at)
+    places: dict[str, list[int]] = defaultdict(list)
+    for m in _QUOTED.finditer(text):
+        places[m[1]].append(m.start())
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    reached = 0
+    for name, found in cut_tree(json.loads(text), stem, leaf_budget, char_budget):
+        key = found[0][0].rpartition(".")[2].partition("[")[0]
+        i = bisect_left(places[key], reached)
         line = 1
-        if place >= 0:
-            at, line = place + 1, text.count("\n", 0, place) + 1
+        if i < len(places[key]):
+            at = places[key][i]
+            reached, line = at + 1, bisect_left(breaks, at) + 1
         yield name, line, "\n".join(f"{p}: {v}" for p, v in found)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths, text
 from lodestone.functions.vectors import MODELS, cosine_distance, dimension, embed, hashed_embedding, prefixes
 from lodestone.operators import calibration, graph, maintenance, retrieval
-from lodestone.sources.json_tree import Budgeted, chunk_rows, leaves
+from lodestone.sources.json_tree import chunk_rows, cut_tree, leaves
 
 
 def value(spark, column):
@@ -153,7 +153,7 @@ def test_json_leaves():
 
 def test_json_chunks():
     tree = {"big": {f"k{i}": "v" for i in range(30)}, "small": {"x": "1"}, "s": "t"}
-    names = [(n, len(x)) for n, x in (lambda b: (b.cut(tree), b.chunks)[1])(Budgeted("en"))]
+    names = [(n, len(x)) for n, x in cut_tree(tree, "en")]
     assert names == [("big#1", 25), ("big#2", 5), ("small", 1), ("en#1", 1)]
     rows = list(chunk_rows(json.dumps({f"k{i}": "x" * 500 for i in range(5)}, indent=1), "f"))
     assert [r[1] for r in rows] == [2, 4, 6] and rows[0][2].startswith("k0: xxx")
@@ -163,6 +163,6 @@ def test_json_chunks():
 @settings(max_examples=60, deadline=None)
 @given(st.recursive(st.one_of(st.none(), st.integers(), st.text(max_size=40)), lambda x: st.one_of(st.lists(x, max_size=6), st.dictionaries(st.text("abc", min_size=1, max_size=3), x, max_size=6)), max_leaves=80))
 def test_json_chunks_hold_every_leaf_once(tree):
-    b = Budgeted("f", 4, 60)
-    b.cut(tree)
-    assert [x for _, found in b.chunks for x in found] == list(leaves(tree))
+    cut = cut_tree(tree, "f", 4, 60)
+    assert [x for _, found in cut for x in found] == list(leaves(tree))
+    assert all(found and (len(found) <= 4 or not name) for name, found in cut)
