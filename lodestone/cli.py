@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shutil
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,9 @@ COMMANDS = ("index", "init-config", "calibrate-thresholds", "install-model", "se
 def session() -> SparkSession:
     spark = SparkSession.builder.appName("lodestone").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # workers need the package too, wherever this was started
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lodestone"), "zip", home, "lodestone"))
     return spark
 
 
@@ -35,8 +40,9 @@ def _opened(args: argparse.Namespace) -> Index:
     index = Index(session(), os.path.abspath(args.root), args.model)
     if not index.exists():
         sys.exit(f"no index in {index.home}: run `lodestone index` first")
-    if notice := index.notice():
-        print(f"warning: {notice}", file=sys.stderr)
+    notice = index.notice()
+    for line in [*([notice] if notice else []), *index.warnings(load_config(index.root))]:
+        print(f"warning: {line}", file=sys.stderr)
     return index
 
 
@@ -83,7 +89,7 @@ def _install_model(argv: list[str]) -> None:
     try:
         load_embedder(args.model)
     except ModelNotCachedError:
-        sys.exit(f"{args.model} is not on this machine; give Index.update a loader for it")
+        sys.exit(f"{args.model} is not on this machine: put its tokenizer.json and model.onnx into a folder of that name below LODESTONE_MODELS")
     print(f"{args.model} is ready")
 
 

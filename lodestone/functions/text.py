@@ -58,16 +58,3 @@ def snippet(text: Column, chars: int = SNIPPET_CHARS, lines: int = SNIPPET_LINES
 def escape_like(text: Column) -> Column:
     """``text`` as a LIKE pattern that matches itself only, backslash being the escape."""
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")
-
-
-def blank_export_macros(text: Column) -> Column:
-    """C++ export macros between ``class`` or ``struct`` and the name, replaced by as many spaces."""
-    pattern = r"\b(class|struct)(\s+)([A-Z_][A-Z0-9_]*_API)\b"
-
-    def blank(hit: Column) -> Column:
-        macro = F.regexp_extract(hit, r"([A-Z_][A-Z0-9_]*_API)$", 1)
-        return F.concat(F.substring(hit, F.lit(1), F.length(hit) - F.length(macro)), F.repeat(F.lit(" "), F.length(macro)))
-
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), blank)
-    gaps = F.split(text, pattern, -1)
-    return F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.concat(x["g"], F.coalesce(x["h"], F.lit("")))), "")

@@ -5,7 +5,9 @@ Distances are exact: products and sums in double precision in the JVM.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -39,8 +41,11 @@ def prefixes(model: str) -> tuple[str, str]:
     return MODELS.get(model, ("", "", 0))[:2]
 
 
-def dimension(model: str) -> int:
-    return MODELS[model][2] if model in MODELS else HASH_DIM
+def dimension(model: str, load: Callable | None = None) -> int:
+    """A known model's dimension, or that of what another one makes of a word."""
+    if model in MODELS:
+        return MODELS[model][2]
+    return HASH_DIM if model == HASH_MODEL else len((load or load_embedder)(model)(["a"])[0])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,11 +68,56 @@ def hashed_embedding(text: str, dim: int = HASH_DIM) -> np.ndarray:
     return out / norm if norm else out
 
 
+def model_folder(model: str) -> str | None:
+    """Where a model lies on this machine: a folder given as it is, or one below LODESTONE_MODELS, with a tokenizer and an ONNX graph."""
+    for folder in (model, os.path.join(os.environ.get("LODESTONE_MODELS", ""), model)):
+        if all(os.path.isfile(os.path.join(folder, f)) for f in ("tokenizer.json", "model.onnx")):
+            return folder
+    return None
+
+
+def pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors: the mean of each text's token states, padding left out."""
+    mean = (states * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
+@functools.cache
+def _loaded(folder: str, batch: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
+    tokenizer.enable_padding()
+    if tokenizer.truncation is None:
+        tokenizer.enable_truncation(512)
+    session = onnxruntime.InferenceSession(os.path.join(folder, "model.onnx"), providers=["CPUExecutionProvider"])
+    wanted = {x.name for x in session.get_inputs()}
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), batch):
+            coded = tokenizer.encode_batch(texts[at : at + batch])
+            feed = {"input_ids": [x.ids for x in coded], "attention_mask": [x.attention_mask for x in coded], "token_type_ids": [x.type_ids for x in coded]}
+            feed = {k: np.array(v, np.int64) for k, v in feed.items()}
+            states = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
+            out += list(pooled(states, feed["attention_mask"]).astype(np.float32))
+        return out
+
+    return encode
+
+
 def load_embedder(model: str = HASH_MODEL) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to unit vectors; only the hashed model is built in."""
-    if model != HASH_MODEL:
+    """A function from texts to unit vectors: the hashed model, or one in a local folder; nothing is downloaded.
+
+    A loaded model stays for the life of the process.
+    """
+    if model == HASH_MODEL:
+        return lambda texts: [hashed_embedding(t) for t in texts]
+    folder = model_folder(model)
+    if folder is None:
         raise ModelNotCachedError(model)
-    return lambda texts: [hashed_embedding(t) for t in texts]
+    return _loaded(folder)
 
 
 def embed(df: DataFrame, text: str = "text", model: str = HASH_MODEL, out: str = "embedding", load: Callable = load_embedder) -> DataFrame:

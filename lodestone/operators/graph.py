@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.paths import Rule, classify_module
+
 
 def module_stats(edges: DataFrame) -> DataFrame:
     """(module, role, imported_by, imports_from) of edges (source, target) between modules; lists are sorted.
@@ -22,3 +26,15 @@ def entry_unification(edges: DataFrame) -> DataFrame:
     """(entry, modules) of edges (entry, module): entry points that reach more than one module."""
     reached = edges.where("module <> ''").groupBy("entry").agg(F.array_sort(F.collect_set("module")).alias("modules"))
     return reached.where(F.size("modules") > 1)
+
+
+def module_graph(imports: DataFrame, depth: int = 1, rules: Sequence[Rule] = ()) -> DataFrame:
+    """``module_stats`` of import edges (source_file, target_file), files being classified to modules."""
+    module = lambda c: classify_module(F.col(c), depth, rules)
+    return module_stats(imports.select(module("source_file").alias("source"), module("target_file").alias("target")))
+
+
+def entry_points(imports: DataFrame, depth: int = 1, rules: Sequence[Rule] = ()) -> DataFrame:
+    """``entry_unification`` of the Python files at the project's root."""
+    at_root = imports.where(~F.contains("source_file", F.lit("/")) & F.endswith("source_file", F.lit(".py")))
+    return entry_unification(at_root.select(F.col("source_file").alias("entry"), classify_module(F.col("target_file"), depth, rules).alias("module")))

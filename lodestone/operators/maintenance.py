@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import suffix
+from lodestone.functions.paths import Rule, classify_layer, classify_module, suffix
 
 
 def diff(known: DataFrame, scanned: DataFrame, force: bool = False, scope: Column | None = None) -> DataFrame:
@@ -54,6 +54,13 @@ def without_suffixes(table: DataFrame, suffixes: Sequence[str], column: str = "p
     return table.where(~suffix(F.col(column)).isin(list(suffixes)))
 
 
+def reclassified(chunks: DataFrame, rules: Sequence[Rule], default_layer: str, depth: int = 1, module_rules: Sequence[Rule] = (), column: str = "file_path") -> DataFrame:
+    """``chunks`` with ``layer`` and ``module`` by these rules, whatever they were when stored: an expression on the path, nothing is rewritten."""
+    path = F.col(column)
+    made = {"layer": classify_layer(path, rules, default_layer), "module": classify_module(path, depth, module_rules)}
+    return chunks.withColumns(made).select(*chunks.columns)
+
+
 def warnings(chunks: DataFrame, rules: int, default_layer: str) -> list[str]:
     """What looks wrong with how chunks (layer, module) are classified."""
     row = chunks.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module").alias("modules"), F.count_if(F.col("layer") != default_layer).alias("layered")).first()

@@ -23,13 +23,13 @@ SCANNED_LITERALS = 512
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int = POOL, key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
-    """The ``k`` rows nearest to one query vector, with double ``distance``; ties by key.
+    """The ``k`` rows nearest to one query vector, with double ``distance``, not rounded; ties by key.
 
     The query is a literal, so there is no join: a scan, a projection and one
     top-k per task, merged.
     """
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q), 6)).orderBy("distance", key).limit(k)
+    return vectors.withColumn("distance", cosine_distance(F.col(embedding), q)).orderBy("distance", key).limit(k)
 
 
 def grouped_top_k(rows: DataFrame, k: int = PER_MODULE, margin: float = MARGIN, layers: Sequence[str] | None = None, key: str = "chunk_id") -> DataFrame:
@@ -88,26 +88,45 @@ def json_literal_search(entries: DataFrame, query: str) -> DataFrame:
     return entries.where(hit).orderBy(F.length("value"), "file_path", "key_path")
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters of a folded text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+def similarity_ranking(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, key, distance, rank): for each query (id, vector) all other rows from the nearest on; ties by key."""
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in q]).alias("q")) for i, q in queries])
+    each = vectors.withColumn("_q", F.explode(listed)).where(F.col(key) != F.col("_q.query_id"))
+    each = each.select("_q.query_id", key, cosine_distance(F.col(embedding), F.col("_q.q")).alias("distance"))
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", key)))
+
+
+def grams(text: Column, n: int = 3) -> Column:
+    """The distinct runs of ``n`` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def substring_join(texts: DataFrame, literals: DataFrame, text: str = "text", literal: str = "literal", scanned: int = SCANNED_LITERALS) -> DataFrame:
     """Pairs of rows whose ``text`` contains ``literal``, ASCII case aside.
 
     ``literals`` has distinct ones.  A few are tested in the scan of the texts;
-    many meet the texts by an equi-join on one trigram each, then the test.
+    many meet the texts by an equi-join on one trigram each (shorter ones on all
+    they have), then the test.
     """
-    few = literals.limit(scanned + 1).count() <= scanned
+    found = literals.limit(scanned + 1).agg(F.count(F.lit(1)).alias("n")).first()
     folded = texts.withColumn("_folded", ascii_lower(F.col(text)))
-    if few:
+    if found.n <= scanned:
         return folded.join(F.broadcast(literals), F.contains("_folded", ascii_lower(F.col(literal)))).drop("_folded")
-    keyed = literals.withColumn("_gram", F.array_min(F.transform(trigrams(ascii_lower(F.col(literal))), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    grams = keyed.select("_gram").distinct()
-    # only trigrams that some literal goes by leave the scan's stage
-    spread = folded.withColumn("_gram", F.explode(trigrams(F.col("_folded")))).join(grams, "_gram", "left_semi")
-    return spread.join(keyed, "_gram").where(F.contains("_folded", ascii_lower(F.col(literal)))).drop("_folded", "_gram")
+    short = ascii_lower(F.col(literal))
+    out = None
+    for (n,) in literals.select(F.least(F.length(literal), F.lit(3)).alias("n")).where("n IS NOT NULL").distinct().collect():
+        own = literals.where(F.least(F.length(literal), F.lit(3)) == n)
+        if n:
+            least = F.array_min(F.transform(grams(short, n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+            keyed = own.withColumn("_gram", least)
+            # only those that some literal goes by leave the scan's stage
+            spread = folded.withColumn("_gram", F.explode(grams(F.col("_folded"), n))).join(keyed.select("_gram").distinct(), "_gram", "left_semi")
+            pairs = spread.join(keyed, "_gram").where(F.contains("_folded", short)).drop("_folded", "_gram")
+        else:
+            # the empty literal, one row at most
+            pairs = folded.where("_folded IS NOT NULL").join(F.broadcast(own), F.lit(True)).drop("_folded")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def literal_counts(chunks: DataFrame, literals: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ SAMPLE, EACH = 500, 8
 
 def report(index: Index, config: ProjectConfig, sample: int = SAMPLE) -> str:
     """Both distributions; literals are sampled in the order of their chunks' files and lines."""
-    tables = index.open()
+    tables = index.open(config)
     chunks = tables["chunks"]
     found = chunks.select("file_path", "start_line", F.posexplode(chunk_literals(F.col("text"), EACH)).alias("pos", "literal"))
     first = found.groupBy("literal").agg(F.min(F.struct("file_path", "start_line", "pos")).alias("at"))

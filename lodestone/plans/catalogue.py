@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
@@ -42,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- vectors -------------------------------------------------------------------------------
 
 _DISTANCES = """q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-v AS (SELECT vec_id, 'layer' || (label % 3) AS layer, 'm' || label AS module, round(1 - list_dot_product(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q WHERE vec_id <> 0)"""
+v AS (SELECT vec_id, 'layer' || (label % 3) AS layer, 'm' || label AS module, 1 - list_dot_product(embedding::DOUBLE[], q) AS distance FROM embeddings, q WHERE vec_id <> 0)"""
 _POOL = f"{_DISTANCES},\npool AS (SELECT * FROM v ORDER BY distance, vec_id LIMIT 600)"
 _TOP = f"""{_POOL},
 w AS (SELECT *, min(distance) OVER (PARTITION BY layer) AS lb, min(distance) OVER (PARTITION BY layer, module) AS mb FROM pool),
@@ -58,22 +57,22 @@ def _query(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding
 
 
-@register(f"WITH {_POOL} SELECT vec_id, distance FROM pool")
+@register(f"WITH {_POOL} SELECT vec_id, round(distance, 6) AS distance FROM pool")
 def knn_topk(spark, sf_dir):
-    return retrieval.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), key="vec_id").select("vec_id", "distance")
+    return retrieval.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@register(f"WITH {_TOP} SELECT layer, module, vec_id, distance, rn::INT AS rn FROM top WHERE rn <= 3")
+@register(f"WITH {_TOP} SELECT layer, module, vec_id, round(distance, 6) AS distance, rn::INT AS rn FROM top WHERE rn <= 3")
 def layered_topk(spark, sf_dir):
     pool = retrieval.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), key="vec_id")
-    return retrieval.grouped_top_k(pool, key="vec_id").select("layer", "module", "vec_id", "distance", "rn")
+    return retrieval.grouped_top_k(pool, key="vec_id").select("layer", "module", "vec_id", F.round("distance", 6).alias("distance"), "rn")
 
 
-@register(f"WITH {_DISTANCES} SELECT layer, min(distance) AS best FROM v GROUP BY layer")
+@register(f"WITH {_DISTANCES} SELECT layer, round(min(distance), 6) AS best FROM v GROUP BY layer")
 def layer_best_distance(spark, sf_dir):
     q = F.array(*[F.lit(float(x)) for x in _query(spark, sf_dir)])
-    rows = _vectors(spark, sf_dir).withColumn("distance", F.round(cosine_distance(F.col("embedding"), q), 6))
-    return rows.groupBy("layer").agg(F.min("distance").alias("best"))
+    rows = _vectors(spark, sf_dir).withColumn("distance", cosine_distance(F.col("embedding"), q))
+    return rows.groupBy("layer").agg(F.round(F.min("distance"), 6).alias("best"))
 
 
 @register(f"""WITH {_TOP}, l AS (SELECT unnest(['layer0', 'layer1', 'layer2', 'layer3']) AS layer)
@@ -84,13 +83,11 @@ def layers_with_empty(spark, sf_dir):
 
 
 @register("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (0, 1)),
-d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q WHERE vec_id <> query_id)
-SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d""")
+d AS (SELECT query_id, vec_id, 1 - list_dot_product(embedding::DOUBLE[], q) AS distance FROM embeddings, q WHERE vec_id <> query_id)
+SELECT query_id, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d""")
 def similarity_ranking(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings")
-    q = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in _query(spark, sf_dir, i)]).alias("q")) for i in (0, 1)])
-    each = rows.withColumn("_q", F.explode(q)).where("vec_id <> _q.query_id").select("_q.query_id", "vec_id", F.round(cosine_distance(F.col("embedding"), F.col("_q.q")), 6).alias("distance"))
-    return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id")))
+    found = retrieval.similarity_ranking(read(spark, sf_dir, "embeddings"), [(i, _query(spark, sf_dir, i)) for i in (0, 1)])
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 # ---- literals ------------------------------------------------------------------------------
@@ -176,6 +173,14 @@ def literal_match_counts(spark, sf_dir):
     return both.groupBy("literal").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(ORACLE_SQL["literal_match_counts"])
+def literal_match_counts_many(spark, sf_dir):
+    """The same by trigrams, as for more literals than are tested in a scan."""
+    pages = read(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    literals = pages.select(F.explode(chunk_literals(F.col("text"), 8)).alias("literal")).distinct()
+    return retrieval.substring_join(pages, literals, scanned=0).groupBy("literal").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(f"""WITH p AS (SELECT page_id, regexp_extract(url, '/([a-z][a-z])/', 1) AS layer, html FROM pages),
 s AS ({_literals('pages', 'page_id', 'html', 4)}),
 m AS (SELECT l.literal, page_id AS match_id, layer AS match_layer, length(html) AS n FROM (SELECT DISTINCT literal FROM s) l JOIN p ON contains({_FOLD.format('html')}, {_FOLD.format('l.literal')})),
@@ -360,6 +365,14 @@ def snippets(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", snippet(F.col("text")).alias("snippet"))
 
 
+@register(r"""WITH s AS (SELECT doc_id, string_split(lower(source || '/' || lang || '/' || doc_id || '.txt'), '/') AS a, source FROM documents)
+SELECT doc_id, CASE WHEN list_contains(a, 'de') THEN 'german' WHEN a[-1] IN ('7.txt', '8.txt') THEN 'some' ELSE 'rest' END AS layer, source || '/' || a[2] AS module FROM s""")
+def reclassified_layers(spark, sf_dir):
+    """Stored chunks under changed rules: layers and modules follow from the rules, not from what was stored."""
+    rules = [("german", ["DE"], []), ("some", [], ["7.txt", "8.txt"])]
+    return maintenance.reclassified(_chunks(spark, sf_dir), rules, "rest", 2).select("doc_id", "layer", "module")
+
+
 @register("SELECT lang AS layer, source AS module, count(*) AS chunks, count(DISTINCT sha256(coalesce(text, ''))) AS texts FROM documents GROUP BY ALL")
 def layer_statistics(spark, sf_dir):
     return _chunks(spark, sf_dir).groupBy("layer", "module").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct(F.sha2("text", 256)).alias("texts"))

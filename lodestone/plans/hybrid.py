@@ -17,7 +17,7 @@ _HEAD = ("chunk_id", "file_path", "start_line", "end_line", "node_type", "name",
 
 def search_hybrid(index: Index, query: str, config: ProjectConfig, k: int = retrieval.PER_MODULE, literal_limit: int = 10, expand: bool = True, load: Callable = load_embedder) -> dict[str, list]:
     """Five sections of rows, each bounded by the search's own limits."""
-    spark, tables = index.spark, index.open()
+    spark, tables = index.spark, index.open(config)
     chunks = tables["chunks"]
     vector = load(index.model)([prefixes(index.model)[0] + query])[0].tolist()
     tokens = spark.range(1).select(query_tokens(F.lit(query)).alias("t")).first().t

@@ -26,6 +26,7 @@ def chunk_text(path: str, text: str) -> list[Chunk]:
     language = LANGUAGES.get(suffix)
     if language is None:
         raise ValueError(f"unsupported file extension: {suffix or path}")
+    text = text.removeprefix("\ufeff")
     if language == "python":
         text = text.replace("\r\n", "\n")
         return chunks(text, scan_python.items_of(text), stem)

@@ -51,9 +51,32 @@ def _runtime(node: ast.AST) -> Iterator[ast.AST]:
         yield from _runtime(child)
 
 
+_IMPORT_LINE = re.compile(r"^([ \t]*)((?:import|from)\b(?:[^\n(#\\]|\\\n|\([^()]*\))*)", re.M)
+_TYPING_LINE = re.compile(r"^([ \t]*)(?:if\s+(?:\w+\.)*TYPE_CHECKING\s*:|\S)", re.M)
+
+
+def _imports_of_broken(text: str) -> Iterator[ast.AST]:
+    """Imports of a file that doesn't parse: statements that do by themselves, but for those under ``if TYPE_CHECKING``."""
+    for m in _IMPORT_LINE.finditer(text):
+        # the nearest line before it that is less indented holds it
+        depth = len(m[1])
+        if depth:
+            around = [x for x in _TYPING_LINE.finditer(text, 0, m.start()) if len(x[1]) < depth]
+            if around and around[-1][0].rstrip().endswith(":"):
+                continue
+        try:
+            yield ast.parse(m[2].strip()).body[0]
+        except (SyntaxError, IndexError):
+            continue
+
+
 def python_specs(path: str, text: str, root_name: str = "") -> Iterator[Spec]:
     """``root_name``: the name of the project's directory, which may be the package's own."""
-    for node in _runtime(ast.parse(text)):
+    try:
+        nodes = _runtime(ast.parse(text))
+    except (SyntaxError, ValueError):
+        nodes = _imports_of_broken(text)
+    for node in nodes:
         if isinstance(node, ast.Import):
             for alias in node.names:
                 parts = alias.name.split(".")
@@ -147,7 +170,7 @@ def rust_mods(text: str) -> Iterator[tuple[list[str], bool]]:
 
 
 def specs_of(path: str, text: str, root_name: str = "") -> Iterator[Spec]:
-    suffix = posixpath.splitext(path)[1].lower()
+    suffix, text = posixpath.splitext(path)[1].lower(), text.removeprefix("\ufeff")
     if suffix == ".py":
         yield from python_specs(path, text, root_name)
     elif suffix in JS_ENDINGS:
@@ -195,13 +218,13 @@ class CrateRoots:
             yield crate, _joined(base, b), False
 
 
-def rust_modules(files: DataFrame, manifests: DataFrame, depth: int = 32) -> DataFrame:
-    """(tree, crate, lib, module, file): the modules of all crates, each level of declarations found by one join."""
+def rust_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(tree, crate, lib, module, file): the modules of all crates, each level of declarations found by one join until a level finds no new file."""
     roots = manifests.lateralJoin(CrateRoots(F.col("path").outer(), F.col("content").outer())).join(files.select(F.col("path").alias("root")), "root")
     mods = files.where(F.endswith("path", F.lit(".rs"))).select(F.col("path").alias("file"), "content").lateralJoin(RustMods(F.col("content").outer())).drop("content")
     level = roots.select(F.col("root").alias("tree"), "crate", "lib", F.array().cast("array<string>").alias("module"), F.col("root").alias("file"), F.lit(True).alias("is_root")).distinct()
     found = level
-    for _ in range(depth):
+    while True:
         inside = level.join(mods, "file").withColumn("child", F.concat("module", "inner"))
         here = inside.where("NOT elsewhere").select("tree", "crate", "lib", F.col("child").alias("module"), "file", F.lit(False).alias("is_root"))
         host = F.regexp_replace("file", r"/?[^/]*$", "")

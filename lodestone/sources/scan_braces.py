@@ -18,6 +18,7 @@ _TOKENS = {
     C: re.compile(r"(?P<comment>//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z))|(?P<string>R\"(?P<d>[^(\s]*)\(.*?\)(?P=d)\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+')", re.S),
 }
 _TOKENS[CPP] = _TOKENS[C]
+#: A fixed value: macros that mark exported classes.
 _EXPORT = re.compile(r"\b(class|struct)(\s+)([A-Z_][A-Z0-9_]*_API)\b")
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w+)(?:\\\n|[^\n])*")
 _WORD = r"[A-Za-z_$][\w$]*"
@@ -32,26 +33,62 @@ _JS_FIELD = re.compile(rf"(?:(?:public|private|protected|static|readonly|overrid
 _JS_PLAIN = re.compile(r"(?:if|for|while|do|switch|try|return|throw|break|continue|debugger|interface|type|enum|namespace|module|declare|export|label)\b")
 _C_NAME = re.compile(r"((?:[A-Za-z_]\w*\s*(?:<[^<>()]*>)?\s*::\s*)*(?:~\s*[A-Za-z_]\w*|operator\s*(?:\(\s*\)|\[\s*\]|[^\s\w(]+|\s\w+)|[A-Za-z_]\w*))\s*\(")
 _C_AGGREGATE = re.compile(r"(?P<typedef>typedef\s+)?(?:(?:static|const|extern|inline)\s+)*(?P<word>class|struct|union|enum(?:\s+(?:class|struct))?|namespace)\b\s*(?:\[\[[^\]]*\]\]|alignas\([^)]*\))?\s*(?P<name>[A-Za-z_]\w*(?:::\w+)*)?")
+#: A definition whose parameters are declared between its head and its body.
+_OLD_STYLE = re.compile(r"(?!(?:if|for|while|switch|return|else|do|typedef)\b)[A-Za-z_][\w\s*]*\(\s*\w+(?:\s*,\s*\w+)*\s*\)\s*(?:[A-Za-z_][\w\s*,\[\]]*+;\s*+)++\{")
 _ACCESS = re.compile(r"(?:public|private|protected|signals|slots)\s*(?:slots\s*)?:(?!:)")
 
 
+def _nested_end(text: str, at: int) -> int:
+    """The offset behind a comment that may hold others of its kind."""
+    depth = 0
+    for m in re.compile(r"/\*|\*/").finditer(text, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return len(text)
+
+
+def _one_head(mask: str) -> str:
+    """``mask`` with one branch of each conditional whose branches all open (or close) the same braces: they are heads of one body."""
+    open_: list[list[tuple[int, int]]] = []  # for each conditional its branches, the last one unfinished
+    for m in _DIRECTIVE.finditer(mask):
+        word = m[1]
+        if word in ("if", "ifdef", "ifndef"):
+            open_.append([(m.end(), m.end())])
+        elif open_ and word in ("elif", "elifdef", "elifndef", "else", "endif"):
+            branches = open_[-1]
+            branches[-1] = branches[-1][0], m.start()
+            if word != "endif":
+                branches.append((m.end(), m.end()))
+                continue
+            open_.pop()
+            nets = {mask.count("{", a, b) - mask.count("}", a, b) for a, b in branches}
+            if len(branches) > 1 and len(nets) == 1 and nets != {0}:
+                for a, b in branches[1:]:
+                    mask = mask[:a] + re.sub(r"[^\n]", " ", mask[a:b]) + mask[b:]
+    return mask
+
+
 class Scanner:
     def __init__(self, text: str, language: str) -> None:
         self.language = language
         self.text = _EXPORT.sub(lambda m: m[1] + m[2] + " " * len(m[3]), text) if language in (C, CPP) else text
         self.comments: list[Item] = []
         masked, at = [], 0
-        for m in _TOKENS[language].finditer(self.text):
+        while m := _TOKENS[language].search(self.text, at):
+            end = _nested_end(self.text, m.start()) if language == RUST and m[0].startswith("/*") else m.end()
             masked.append(self.text[at : m.start()])
-            blank = re.sub(r"[^\n]", " ", m[0])
+            blank = re.sub(r"[^\n]", " ", self.text[m.start() : end])
             if m["comment"]:
-                self.comments.append(Item(COMMENT, m.start(), m.end()))
+                self.comments.append(Item(COMMENT, m.start(), end))
             else:
                 # a string stays recognisable as a value
                 blank = '"' + blank[1:-1] + '"' if len(blank) > 1 else blank
             masked.append(blank)
-            at = m.end()
+            at = end
         self.mask = "".join([*masked, self.text[at:]])
+        if language in (C, CPP):
+            self.mask = _one_head(self.mask)
 
     # -- structure ---------------------------------------------------------------------------
 
@@ -100,6 +137,10 @@ class Scanner:
         """The item that begins at ``start`` (or those a transparent one holds), and where the next may begin."""
         mask, at, body = self.mask, start, None
         equals = paren = False
+        old = _OLD_STYLE.match(mask, start, end) if self.language == C and not inside else None
+        if old:
+            stop = min(end, self.close(old.end() - 1))
+            return self.name(start, stop, old.end() - 1, False, True, inside), stop
         while at < end:
             c = mask[at]
             if c == ";":
@@ -219,6 +260,7 @@ class Scanner:
     @staticmethod
     def _several(value: str) -> bool:
         """Whether a further binding follows a function value."""
+        value = re.sub(r"^(?:async\s+)?<[^()]*>(?=\s*\()", "", value)  # type parameters have commas too
         depth = 0
         for c in value:
             depth += (c in "([{") - (c in ")]}")

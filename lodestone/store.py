@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.config import ProjectConfig
 from lodestone.functions import paths
 from lodestone.functions.vectors import HASH_MODEL, embed, load_embedder
-from lodestone.operators import maintenance
+from lodestone.operators import graph, maintenance
 from lodestone.sources.chunking import with_source_chunks
 from lodestone.sources.import_specs import C_FAMILY, JS_ENDINGS, import_edges
 from lodestone.sources.json_tree import with_chunks, with_leaves
@@ -79,8 +79,11 @@ class Index:
         stream = self._fs.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self._fs.delete(path, False)
-        self._fs.rename(beside, path)
+        # one rename over what is there: a reader, or a crash, never finds neither
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(beside), self._fs.makeQualified(path), over)
 
     @property
     def version(self) -> str | None:
@@ -99,8 +102,29 @@ class Index:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.home}/{at}/{name}")
 
-    def open(self) -> dict[str, DataFrame]:
-        """All tables, without rows that another version of the program wrote."""
+    def open(self, config: ProjectConfig | None = None) -> dict[str, DataFrame]:
+        """All tables, without rows that another version of the program wrote.
+
+        With ``config`` layers and modules follow its rules, which may have changed since the rows were written.
+        """
+        tables = self._usable()
+        if config is not None:
+            tables["chunks"] = maintenance.reclassified(tables["chunks"], config.layer_rules, config.default_layer, config.module_depth, config.module_rules)
+        return tables
+
+    def module_graph(self, config: ProjectConfig) -> DataFrame:
+        """Roles of the project's modules in its imports."""
+        return graph.module_graph(self.open()["imports"], config.module_depth, config.module_rules)
+
+    def entry_points(self, config: ProjectConfig) -> DataFrame:
+        """Files at the root that import more than one module."""
+        return graph.entry_points(self.open()["imports"], config.module_depth, config.module_rules)
+
+    def warnings(self, config: ProjectConfig) -> list[str]:
+        """What looks wrong with the configuration, given the chunks there are."""
+        return maintenance.warnings(self.open(config)["chunks"], len(config.layer_rules), config.default_layer)
+
+    def _usable(self) -> dict[str, DataFrame]:
         facts = self.facts()
         if facts and facts["model"] != self.model:
             raise WrongModelError(f"index of {facts['model']}, asked for {self.model}")
@@ -120,9 +144,12 @@ class Index:
         return tables
 
     def notice(self) -> str | None:
-        """What to tell a reader if rows are missing until the next run."""
+        """What to tell a reader if rows are missing until the next run; nothing if there were none to leave out."""
         facts = self.facts()
-        return NOTICE if facts and (facts["chunks"], facts["json"], facts["imports"]) != (CHUNKS, JSON, IMPORTS) else None
+        if not facts or (facts["chunks"], facts["json"], facts["imports"]) == (CHUNKS, JSON, IMPORTS):
+            return None
+        usable = self._usable()
+        return NOTICE if any(self.table(n).count() > usable[n].count() for n in ("chunks", "json_entries", "imports", "files")) else None
 
     def _commit(self, tables: dict[str, DataFrame]) -> None:
         at = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
@@ -130,7 +157,12 @@ class Index:
             writer = df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write
             (writer.partitionBy("layer") if name == "chunks" else writer).parquet(f"{self.home}/{at}/{name}")
         self._write(f"{at}/facts.json", json.dumps({"model": self.model, "chunks": CHUNKS, "json": JSON, "imports": IMPORTS}))
+        before = self.version
         self._write("CURRENT", at)
+        # the version before stays for those who are reading it
+        for status in self._fs.listStatus(self._path(self.home)):
+            if status.isDirectory() and status.getPath().getName() not in (at, before):
+                self._fs.delete(status.getPath(), True)
 
     # -- indexing ----------------------------------------------------------------------------
 
@@ -157,7 +189,7 @@ class Index:
     def update(self, config: ProjectConfig, subdir: str = "", force: bool = False, load: Callable = load_embedder) -> Run:
         """Brings the index up to date with the tree, or with a part of it; only new and changed files are parsed."""
         load(self.model)
-        tables = self.open()
+        tables = self.open(config)
         every = scan_tree(self.spark, self.root, sorted(config.extra_excluded_dirs), sorted(config.forced_add)).persist()
         inside = F.startswith("path", F.lit(subdir.strip("/") + "/")) if subdir else F.lit(True)
         code = maintenance.diff(tables["files"], every.where(inside), force, paths.suffix(F.col("path")).isin(list(paths.EXTENSIONS)) & inside)

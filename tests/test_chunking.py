@@ -33,6 +33,11 @@ CASES = [
     ("m.cpp", "template <typename T>\nT max_value(T a, T b) {\n    return a;\n}\ntemplate <typename T>\nclass Box {\npublic:\n    T get() const { return v; }\n};\n", [("function", "max_value"), ("class", "Box"), ("method", "Box.get")]),
     ("m.cpp", "using namespace std;\nusing MyInt = int;\nvoid Widget::run()\n{\n    x = 1;\n}\n", [("block", "MyInt"), ("function", "Widget::run")]),
     ("m.cpp", "// c\n\nclass MYLIB_API Widget : public Base\n{\npublic:\n    void run() {}\n};\n", [("class", "Widget"), ("method", "Widget.run")]),
+    ("m.js", "const f = async <T,>(x) => {\n  return x;\n};\nlet a = () => 1, b = 2;\n", [("function", "f"), ("block", "a")]),
+    ("m.rs", "/* a /* b */ c */\nfn next() {}\n", [("function", "next")]),
+    ("m.py", "\ufeffdef f(): pass\n", [("function", "f")]),
+    ("m.c", "int old(a, b)\n  int a;\n  char *b;\n{\n  return a;\n}\nint next(void) { return 1; }\n", [("function", "old"), ("function", "next")]),
+    ("m.c", "#if A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n  return a;\n}\nint g(void) { return 2; }\n", [("function", "f"), ("function", "g")]),
 ]
 
 

@@ -1,12 +1,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.functions import paths, text
+from lodestone.functions import paths, text, vectors
 from lodestone.functions.vectors import MODELS, cosine_distance, dimension, embed, hashed_embedding, prefixes
 from lodestone.operators import calibration, graph, maintenance, retrieval
 from lodestone.sources.json_tree import chunk_rows, cut_tree, leaves
@@ -40,7 +41,6 @@ def test_folding_and_escaping(spark):
     assert value(spark, text.contains_folded(F.lit("Ünïcode HELLO 50%"), F.lit("hello 50%")))
     assert not value(spark, text.contains_folded(F.lit("ПРИВЕТ"), F.lit("привет")))
     assert value(spark, text.escape_like(F.lit(r"50%_\x"))) == r"50\%\_\\x"
-    assert value(spark, text.blank_export_macros(F.lit("class A_API B; struct\nX_API C; class D"))) == "class       B; struct\n      C; class D"
 
 
 def test_snippet(spark):
@@ -166,3 +166,54 @@ def test_json_chunks_hold_every_leaf_once(tree):
     cut = cut_tree(tree, "f", 4, 60)
     assert [x for _, found in cut for x in found] == list(leaves(tree))
     assert all(found and (len(found) <= 4 or not name) for name, found in cut)
+
+
+def test_grams_and_joins_by_them(spark):
+    texts = spark.createDataFrame([(1, "Abc def"), (2, "xy"), (3, ""), (4, None), (5, "z😀y abcabc")], "i int, text string")
+    literals = spark.createDataFrame([(x,) for x in ("bc", "ABC", "y", "", "😀y", "no such", "c d")], "literal string")
+    pairs = {s: {(r.i, r.literal) for r in retrieval.substring_join(texts, literals, scanned=s).collect()} for s in (0, 512)}
+    assert pairs[0] == pairs[512] and (5, "😀y") in pairs[0] and (1, "c d") in pairs[0] and (3, "") in pairs[0]
+    assert sorted(value(spark, retrieval.grams(F.lit("abcab")))) == ["abc", "bca", "cab"]
+
+
+def test_nearest_ranks_by_the_exact_distance(spark):
+    rows = spark.createDataFrame([(1, [1.0 - 2e-9, 0.0]), (2, [1.0, 0.0])], "chunk_id long, embedding array<double>")
+    assert [r.chunk_id for r in retrieval.nearest(rows, [1.0, 0.0]).collect()] == [2, 1]
+
+
+def test_module_graph(spark):
+    edges = spark.createDataFrame([("main.py", "a/x.py"), ("main.py", "b/y.py"), ("a/x.py", "b/y.py"), ("a/x.py", "a/z.py"), ("sub/main.py", "a/x.py"), ("one.py", "a/x.py")], "source_file string, target_file string")
+    assert {(r.module, r.role) for r in graph.module_graph(edges).collect()} == {("a", "application"), ("b", "foundation"), ("main.py", "extension"), ("sub", "extension"), ("one.py", "extension")}
+    assert [tuple(r) for r in graph.entry_points(edges).collect()] == [("main.py", ["a", "b"])]
+
+
+def test_local_models(tmp_path, monkeypatch):
+    import onnxruntime
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"[UNK]": 0, "one": 1, "two": 2}, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    (tmp_path / "org" / "small").mkdir(parents=True)
+    made.save(str(tmp_path / "org" / "small" / "tokenizer.json"))
+    (tmp_path / "org" / "small" / "model.onnx").write_bytes(b"")
+
+    class Session:
+        """States that are the one-hot vectors of the ids."""
+
+        def __init__(self, path, providers):
+            pass
+
+        def get_inputs(self):
+            return [type("Input", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, names, feed):
+            assert set(feed) == {"input_ids", "attention_mask"}
+            return [np.eye(3)[feed["input_ids"]]]
+
+    monkeypatch.setattr(onnxruntime, "InferenceSession", Session)
+    monkeypatch.setenv("LODESTONE_MODELS", str(tmp_path))
+    encode = vectors.load_embedder("org/small")
+    found = np.array(encode(["one", "one two", "other"]))
+    assert np.allclose(found, [[0, 1, 0], [0, 0.5**0.5, 0.5**0.5], [1, 0, 0]]) and vectors.dimension("org/small") == 3
+    with pytest.raises(vectors.ModelNotCachedError):
+        vectors.load_embedder("org/none")

@@ -1,4 +1,4 @@
-from lodestone.sources.import_specs import import_edges, rust_mods, use_paths
+from lodestone.sources.import_specs import import_edges, python_specs, rust_mods, use_paths
 
 FILES = {
     "pkg/__init__.py": "", "pkg/a.py": "import pkg.b.c as x\nfrom . import b, nothing\nfrom .b import c\nfrom ..other import thing\nimport os\nfrom pkg import a\n",
@@ -31,3 +31,8 @@ def test_edges(spark):
 def test_parsing():
     assert use_paths("a::{b::{c, d as e}, self, f::*}") == [["a", "b", "c"], ["a", "b", "d"], ["a"], ["a", "f"]]
     assert list(rust_mods("mod a; mod b { mod c; fn f() { mod no; } } fn g() { mod no; }")) == [(["a"], True), (["b"], False), (["b", "c"], True)]
+
+
+def test_files_that_do_not_parse():
+    text = "\ufeffimport a.b\nfrom . import (x,\n  y)  # c\ndef broken(:\nif TYPE_CHECKING:\n    import no\ndef g():\n    import inside\nimport more of it\n"
+    assert [x[0] for x in python_specs("p/a.py", text.removeprefix("\ufeff"))] == ["a.b", ".", "inside"]

@@ -56,6 +56,14 @@ def test_index_search_and_changes(spark, project):
     assert hybrid.search_hybrid(index, "Order status", config, expand=False)["json_literal"][0].key_path == "order.status"
     assert "currently configured: 30" in calibrate.report(index, config)
 
+    # changed rules take effect without another run, and no chunk is lost
+    changed = parse_config(CONFIG | {"layers": [{"name": "store", "dirs": ["models"]}, {"name": "web", "dirs": ["web"]}]})
+    again = {(r.layer, r.name) for r in index.open(changed)["chunks"].collect()}
+    assert {("rest", "update_order_status"), ("store", "Order.save"), ("web", "send")} <= again and len(again) == index.table("chunks").select("name").distinct().count()
+    assert "update_order_status" in {r.name for r in hybrid.search_hybrid(index, "update_order_status", changed)["by_layer"]}
+    assert index.warnings(config) == [] and len(index.warnings(parse_config({"layers": [{"name": "x", "dirs": ["nowhere"]}]}))) == 1
+    assert index.module_graph(config).count() >= 0 and index.entry_points(config).count() == 0
+
     (project / "web/app.tsx").write_text("export const other = () => 1;\n")
     shutil.rmtree(project / "shop/api")
     run = index.update(config)
@@ -65,6 +73,10 @@ def test_index_search_and_changes(spark, project):
 
     with pytest.raises(ModelNotCachedError):
         Index(spark, str(project), "no/model").update(config)
+    assert len([x for x in (project / ".lodestone" / "hashed-words").iterdir() if x.is_dir()]) == 2
+    # no notice where another version of the program left no rows
+    index._write(f"{index.version}/facts.json", json.dumps(index.facts() | {"imports": index.facts()["imports"] | {"rust": 0}}))
+    assert index.notice() is None
     index._write(f"{index.version}/facts.json", json.dumps(index.facts() | {"chunks": 0}))
     assert index.notice() and index.open()["chunks"].count() == 0
     assert index.update(config).changed_files == 4 and index.notice() is None
