@@ -5,7 +5,7 @@ character, so no merge crosses from a word into the marker that follows.  A
 text therefore falls apart into marked words (a run of markers and what follows
 up to the next marker) that can be segmented each by itself.  A task segments
 every distinct marked word once, keeps its ids in a table of bounded size and
-joins ids back by position.  Decoding gathers the surfaces of the pieces.
+joins ids back by position.  Decoding is the library's.
 ``check_model`` refuses a model for which this doesn't hold.
 
 Cases: null and empty texts have no pieces, only the end id if one is asked
@@ -85,47 +85,6 @@ class Encoder:
         return [b"".join([known[c] for c in cs]) for cs in cut]
 
 
-class Decoder:
-    """Texts of id sequences, as the library's decode gives them.
-
-    The surfaces of all pieces lie end to end in one array that whole sequences
-    are gathered from; sequences with unknown pieces, or bytes that are no
-    UTF-8, are left to the library.
-    """
-
-    def __init__(self, path: str) -> None:
-        sp = self.sp = processor(path)
-        n = sp.get_piece_size()
-        surfaces = [self._surface(i) for i in range(n)]
-        self.unknown = sp.unk_id()
-        self.marked = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
-        self.lengths = np.array([len(x) for x in surfaces])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(surfaces), np.uint8)
-
-    def _surface(self, i: int) -> bytes:
-        if self.sp.is_control(i):
-            return b""
-        piece = self.sp.id_to_piece(i)
-        return bytes([int(piece[3:-1], 16)]) if self.sp.is_byte(i) else piece.replace(MARK, " ").encode()
-
-    def __call__(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        # the library drops the marker that encoding put before the text
-        first = np.flatnonzero(lengths)[:1]
-        cut = int(len(first) and self.marked[ids[first[0]]])
-        raw = self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])]
-        try:
-            if (ids == self.unknown).any():
-                raise ValueError
-            return raw[cut:].tobytes().decode()
-        except ValueError:
-            return self.sp.decode(ids.tolist())
-
-
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
@@ -154,18 +113,14 @@ def encode_texts(df: DataFrame, text: str = "text", model: str | None = None, en
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", model: str | None = None, out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the text of the id sequences in ``ids``; null counts as no ids."""
+    """``df`` with ``out``: the text that the library makes of the ids in ``ids``; null counts as no ids."""
     at = df.columns.index(ids)
     (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model or tokenizer_path(MODEL))
+        sp = processor(model or tokenizer_path(MODEL))
         for batch in sliced(batches, at):
-            column = batch.column(at)
-            values = column.values.to_numpy(zero_copy_only=False)
-            ends = column.offsets.to_numpy()
-            spans = zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)
-            texts = [decoder(values[a:b]) if ok else "" for a, b, ok in spans]
+            texts = sp.decode([ids or [] for ids in batch.column(at).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, _with(df, out, T.StringType()))

@@ -26,12 +26,19 @@ def test_whole_texts_equal_the_library(spark, tmp_path):
 
 
 def test_decoding_any_ids(spark):
-    decoder = pieces.Decoder(tokenizer_path(pieces.MODEL))
-    import numpy as np
+    rows = [(i, random.choices([1, 2, 28705, 259, 264, 287, 13, 200, 230, 241, 28708, 1000, 5000], k=random.randint(0, 12))) for i in range(200)] + [(200, None)]
+    found = pieces.decode_ids(spark.createDataFrame(rows, "i int, ids array<int>")).collect()
+    assert [r.decoded for r in sorted(found)] == [SP.decode(ids or []) for _, ids in rows]
 
-    for _ in range(300):
-        ids = random.choices([1, 2, 28705, 259, 264, 287, 13, 200, 230, 241, 28708, 1000, 5000], k=random.randint(0, 12))
-        assert decoder(np.array(ids, "int32")) == SP.decode(ids), ids
+
+def test_clashing_columns_and_slices(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS[:60])], "doc_id long, text string, ids string, decoded int")
+    coded = pieces.encode_texts(docs)
+    assert coded.columns == [*docs.columns, "_ids"] and pieces.decode_ids(coded, "_ids").columns[-1] == "_decoded"
+    assert [r._decoded for r in pieces.decode_ids(coded, "_ids").orderBy("doc_id").collect()] == [SP.decode(SP.encode(t or "")) for t in TEXTS[:60]]
 
 
 def test_empty_table_and_repeated_rows(spark):
