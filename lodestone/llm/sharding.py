@@ -1,8 +1,10 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
 Pass 1 scatters the records by a seeded hash into buckets of about
-``bucket_bytes``; each bucket is then permuted in memory by Fisher-Yates
-(Spark's ``shuffle`` is one) and written to the shared folder.  Pass 2 reads
+``bucket_bytes``; the number of tasks follows from the size of the input.  Each
+bucket is sorted by that hash, so that its order doesn't depend on the order in
+which blocks arrive, permuted in memory by Fisher-Yates (Spark's ``shuffle`` is
+one) and written to the shared folder.  Pass 2 reads
 the buckets back in order of number and deals the resulting sequence of rows
 round robin into shards, which makes shard counts differ by one row at most
 (law ``rows``).
@@ -28,6 +30,8 @@ from lodestone.llm.common import fresh, materialize, table
 
 #: Bytes of records that one bucket holds on average.
 BUCKET_BYTES = 8 << 20
+#: Bytes of records that one task permutes, in as many buckets as that makes.
+TASK_BYTES = 128 << 20
 #: Bucket counts are summed in groups of this many, so that no task sees all.
 GROUP = 1024
 #: The offsets are one row of 16 bytes for each bucket; up to this many they are broadcast, beyond it they are joined by a shuffle.
@@ -38,16 +42,18 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", see
     """All rows of ``df`` with their place in a random order.
 
     Returns struct column ``rec`` (the row as it came) and long ``position``,
-    gapless from 0.  The order depends on the seed and on the number of shuffle
-    partitions.
+    gapless from 0.  The order depends on the seed, on the number of shuffle
+    partitions and on how Spark splits the input; another run gives it again.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)
     total = df.agg(F.sum(size.cast("long")).alias("b")).first().b or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket"),
+    tasks = max(math.ceil(total / TASK_BYTES), min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    drawn = df.select(
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.monotonically_increasing_id()).alias("draw"),
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rec"),
-    ).repartition("bucket")
+    )
+    scattered = drawn.withColumn("bucket", F.pmod("draw", F.lit(buckets))).repartition(tasks, "bucket").sortWithinPartitions("bucket", "draw")
     shuffled = scattered.groupBy("bucket").agg(F.shuffle(F.collect_list("rec"), seed).alias("recs"))
     written = materialize(shuffled.select("bucket", F.posexplode("recs").alias("place", "rec")), "shard-buckets")
 

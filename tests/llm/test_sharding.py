@@ -38,3 +38,11 @@ def test_files_and_empty_table(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 6)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60 and len(list((tmp_path / "out").glob("_shard=*"))) == 6
     assert sharding.shard_rows(df.limit(0)).count() == 0
+
+
+def test_another_run_gives_the_same_order(spark):
+    df = docs(spark, [(i % 50, f"t{i}", 0, "") for i in range(3000)]).repartition(7).cache()
+    df.count()
+    runs = [{(r.doc_id, r.text): (r._shard, r.slot) for r in sharding.shard_rows(df, bucket_bytes=2000).collect()} for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 3000
+    df.unpersist()
