@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pytest
 
 from lodestone.llm import langid
@@ -40,3 +42,49 @@ def test_cases(spark):
     assert langid.learn(docs.limit(0)) is None
     assert langid.identify(docs, None, out="found").where("found.lang = 'und' and found.score = 0").count() == 6
     assert langid.identify(docs.limit(0), model, out="found").count() == 0
+
+
+def by_definition(model, text):
+    """Probabilities from one n-gram after the other, in plain Python."""
+    total, n = [0.0] * len(model.langs), 0
+    for word in text.lower().split():
+        raw = f"<{word}>".encode()
+        for size in (3, 4):
+            for i in range(len(raw) - size + 1):
+                h = size
+                for c in raw[i : i + size]:
+                    h = ((h ^ c) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+                    h ^= h >> 29
+                n += 1
+                for j in range(len(total)):
+                    total[j] += float(model.table[h % langid.BUCKETS, j])
+    z = [(t / max(1, n) + float(b)) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_query_equals_the_definition(spark, tmp_path):
+    source = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = spark.createDataFrame([(100_000 + i, t, None, "s", 1) for i, t in enumerate(["É è 中文 words", "", "x" * 3000, "tie", "tie"])], source.schema)
+    source.limit(300).unionByName(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.op10_subword_softmax(spark, str(tmp_path)).collect()}
+    for r in docs.collect():
+        found = got[r.doc_id]
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (found.lang_pred, found.score) == ("und", 0.0)
+            continue
+        p = by_definition(model, r.text)
+        assert found.score == pytest.approx(max(p), abs=1e-5) and p[model.langs.index(found.lang_pred)] == pytest.approx(max(p), abs=1e-5)
+
+
+def test_ties_long_texts_and_clashing_columns(spark):
+    model = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2)), np.zeros(2))
+    df = spark.createDataFrame([(1, "any words", "x")], "i int, text string, language string")
+    found = langid.identify(df, model)
+    assert found.columns[-1] == "_language" and found.first()._language.lang == "aa"
+    # a language that has long texts only is learned too, and there is no bound on languages
+    rows = [(i, f"{name}word{name} " * 6000, name) for i in range(40) for name in ("qa", "zb")] + [(1000 + i, f"l{i}l{i} k{i}", f"lang{i}") for i in range(300)]
+    assert set(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) >= {"qa", "zb"}
+    assert len(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) > 200

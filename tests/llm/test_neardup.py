@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -5,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lodestone.llm import common
 from lodestone.llm import neardup as nd
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,3 +141,39 @@ def test_names_that_two_texts_share_are_taken_anew(spark, monkeypatch):
     monkeypatch.setattr(nd, "_name", lambda text, salt: name(text, salt) if salt else name(nd.F.substring(text, 1, 1), salt))
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a h i j k l"), (3, "a b c d e f")], "doc_id long, text string")
     assert sorted(r.doc_id for r in nd.keep_first(docs).collect()) == [1, 2]
+
+
+def test_query_equals_the_definition(spark, tmp_path):
+    """The query against TF-IDF by the words themselves: nothing of the operator's but the formula."""
+    texts = corpus()
+    every = sets(texts)
+    df = Counter(x for s in every for x in s)
+    n = len(texts)
+    idf = {x: 1 + math.log((1 + n) / (1 + d)) / math.log(1 + n) for x, d in df.items()}
+    want, near = brute(texts, [{x: c * idf[x] for x, c in s.items()} for s in every])
+    assert not near
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in nd.op2_weighted_minhash(spark, str(tmp_path)).collect()}
+    assert [i for i in range(n) if got[i].class_id != want[i]] == []
+    assert sorted(i for i in got if got[i].kept) == sorted(set(want))
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Salted joins, with bounds small enough for a small table, give what plain ones give."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(i % 4 if i % 3 else None, i) for i in range(200)] + [(9, 1)], "k int, i int")
+    one = spark.createDataFrame([(k, f"v{k}", 60) for k in (0, 1, 2, 7)], "k int, v string, n int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(one.drop("n"), "k", how).collect()))
+        assert sorted(map(str, common.salted_join(many, one.drop("n"), ["k"], "i", None, how).collect())) == want
+        assert sorted(map(str, common.salted_join(many, one, ["k"], "i", "n", how).collect())) == want
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    assert common.salted_join(many, one, ["k"], "i", "n").count() == many.join(one, "k").count()
+
+
+def test_counts_merge_in_levels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(words(30))) for i in range(90)], "k long, text string").repartition(9)
+    want = nd.document_frequencies(docs)
+    monkeypatch.setattr(nd, "MERGE", 2)
+    got = nd.document_frequencies(docs)
+    assert want[0] == got[0] == 90 and (want[1] == got[1]).all() and want[1].sum() > 0
