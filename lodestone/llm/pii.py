@@ -72,7 +72,7 @@ _IBAN = "[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11
 _SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _SSN_WORDS = "(?:ssn|social security)"
 _SECRET_WORDS = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("token", "secret", "password", "passwd")) + "|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]"
-_SECRET = rf'(?:{_SECRET_WORDS})[ \t]{{0,3}}[=:][ \t]{{0,3}}"[^" \t\r\n]{{8,200}}"'
+_SECRET = rf'(?:{_SECRET_WORDS})[ \t]{{0,3}}[=:][ \t]{{0,3}}"[^" \t\r\n]{{8,}}"'
 _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 

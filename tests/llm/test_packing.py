@@ -64,3 +64,29 @@ def test_operators_keep_every_piece():
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "some text"), (1, "some text"), (2, None)], "length long, text string")
+    rows = packing.pack_documents(df, key="length").collect()
+    assert rows[0].asDict().keys() == {"length", "piece", "start", "_length", "ids_crc32", "sequence_id", "offset"}
+    assert sorted((r["length"], r._length) for r in rows) == sorted([(1, rows[0]._length if rows[0]["length"] == 1 else 3)] * 2 + [(2, 1)])
+    assert sorted(r.offset for r in rows)[0] == 0 and len({r.sequence_id for r in rows}) == 1
+
+
+def test_query(spark, tmp_path):
+    texts = [None, "", "a b c " * 900, "words " * 2500] + ["a text of some words"] * 40
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, sequence_id int").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.op6_grouping_genetic(spark, str(tmp_path)).collect()
+    ids = {i: [*TOK.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) and (r.start > 0) == (r.piece > 0)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0 and sum(n for _, n in parts) <= 2048
+    assert len(bins) == -(-sum(r.length for r in rows) // 2048)

@@ -83,3 +83,13 @@ def test_query_equals_sql(spark, tmp_path):
         want = con.sql(pii.OP9_SQL).df().sort_values("doc_id").reset_index(drop=True)
         got = pii.op9_pii_spans(spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
         assert len(got) == len(want) and got.astype(str).equals(want[list(got.columns)].astype(str)), got.astype(str).compare(want[list(got.columns)].astype(str))
+
+
+def test_clashing_columns_repeated_rows_and_long_secrets(spark):
+    long = 'token = "' + "a1" * 3000 + '" and mail x@y.zz'
+    df = spark.createDataFrame([(1, long, 7)] * 3 + [(2, None, 7)], "doc_id long, text string, pii int")
+    found = pii.find_pii(df)
+    assert found.columns == ["doc_id", "text", "pii", "_pii"] and found.where("pii = 7").count() == 4
+    assert [[s.kind for s in r._pii or []] for r in found.orderBy("doc_id").collect()] == [["secret", "email"]] * 3 + [[]]
+    masked = pii.mask_pii(df).orderBy("doc_id").collect()
+    assert [r.text for r in masked] == ["[SECRET] and mail [EMAIL]"] * 3 + [None] and {r.pii for r in masked} == {7}
