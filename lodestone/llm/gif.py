@@ -8,8 +8,7 @@ a table of its own that is cleared when it is full.
 
 Decoding is vectorised where it can be: a code's width depends only on its place
 after the last clear code, so stretches of codes are cut out of the bit stream at
-once; they are expanded code by code, each entry being a slice of what is
-already out.
+once; they are expanded code by code through the table.
 
 Cases: null media give null frames' columns; null and empty texts are stored
 as 64 zero samples; broken streams give the frames before the break; an empty
@@ -20,6 +19,7 @@ underscores.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -121,71 +121,82 @@ def encode_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay:
     return b"".join([*out, b"\x3b"])
 
 
-def _stretch(bits: np.ndarray, at: int, least: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes ``first`` to ``first + count`` after a clear code, from bit ``at``, as if none of them were one, and where each ends."""
+@functools.cache
+def _places(least: int) -> np.ndarray:
+    """Bits before each of the first codes after a clear code; later ones have twelve bits."""
     # a decoder's table has one entry less than the encoder's
-    entries = (1 << (least - 1)) + 1 + np.arange(first, first + count)
-    widths = np.maximum(least, _widths(entries))
-    ends = at + np.cumsum(widths)
-    n = int(np.searchsorted(ends, len(bits), "right"))
-    widths, ends = widths[:n], ends[:n]
-    codes = np.zeros(n, np.int32)
-    for j in range(12):
-        has = widths > j
-        codes[has] |= bits[ends[has] - widths[has] + j].astype(np.int32) << j
-    return codes, ends
+    entries = (1 << (least - 1)) + 1 + np.arange(TABLE)
+    return np.concatenate([[0], np.cumsum(np.maximum(least, _widths(entries)))])
+
+
+def _stretch(data: np.ndarray, at: int, least: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes ``first`` to ``first + count`` after a clear code, from bit ``at`` of ``data`` (three bytes longer than the stream), as if none of them were one, and where each ends."""
+    known = _places(least)
+    place = known[first : first + count + 1]
+    if len(place) <= count:
+        late = np.arange(max(first, TABLE + 1), first + count + 1)
+        place = np.concatenate([place, known[-1] + 12 * (late - TABLE)])
+    place = place - place[0] + at
+    n = int(np.searchsorted(place, 8 * (len(data) - 3), "right")) - 1
+    start, ends = place[:n], place[1 : n + 1]
+    byte = start >> 3
+    codes = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (start & 7)
+    return codes & ((1 << (ends - start)) - 1), ends
 
 
 def lzw_decode(data: bytes, least: int, size: int) -> np.ndarray:
     """Up to ``size`` colour indexes of a GIF code stream whose samples have ``least`` bits."""
     clear, stop = 1 << least, (1 << least) + 1
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    out, at, place = bytearray(), 0, 0
-    starts: list[int] = []
-    lengths: list[int] = []
-    while len(out) < size:
+    stream = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    samples = [bytes([i]) for i in range(clear)] + [b"", b""]
+    out: list[bytes] = []
+    table = list(samples)
+    at, place, done = 0, 0, 0
+    while done < size:
         # longer stretches the longer no clear code came, so that little is cut out in vain
-        codes, ends = _stretch(bits, at, least + 1, place, max(STRETCH, place))
+        codes, ends = _stretch(stream, at, least + 1, place, max(STRETCH, place))
         if not len(codes):
             break
         special = np.flatnonzero((codes == clear) | (codes == stop))
         k = special[0] if len(special) else len(codes)
-        if not _expand(codes[:k].tolist(), clear, out, starts, lengths):
+        before = len(out)
+        whole = _expand(codes[:k].tolist(), table, out, place == 0)
+        done += sum(map(len, out[before:]))
+        if not whole or len(special) and codes[k] == stop:
             break
-        if not len(special):
+        if len(special):
+            at, place, table = int(ends[k]), 0, list(samples)
+        else:
             at, place = int(ends[-1]), place + len(codes)
-            continue
-        if codes[k] == stop:
-            break
-        at, place = int(ends[k]), 0
-        starts.clear()
-        lengths.clear()
-    return np.frombuffer(bytes(out[:size]), np.uint8)
-
-
-def _expand(codes: list[int], clear: int, out: bytearray, starts: list[int], lengths: list[int]) -> bool:
-    """Appends what codes stand for; ``starts`` and ``lengths``: where that of each code since the last clear code lies. Whether all were known."""
-    here, last, base = len(out), len(starts) - 1, clear + 2
-    start, length = starts.append, lengths.append
-    for code in codes:
-        e = code - base
-        if code < clear:
-            out.append(code)
-            n = 1
-        elif e < last:
-            # entry e is what code e stood for and the sample after it
-            s, n = starts[e], lengths[e] + 1
-            out += out[s : s + n]
-        elif e == last and e >= 0:
-            s, n = starts[e], lengths[e] + 1
-            out += out[s : s + n - 1]
-            out.append(out[s])
+    return np.frombuffer(b"".join(out)[:size], np.uint8)
+
+
+def _expand(codes: list[int], table: list[bytes], out: list[bytes], fresh_table: bool) -> bool:
+    """Appends what codes stand for, which adds to ``table``; ``fresh_table``: they are the first since a clear code. Whether all were known."""
+    if not codes:
+        return True
+    at = iter(codes)
+    if fresh_table:
+        first = next(at)
+        if first >= len(table) - 2:
+            return False
+        last = table[first]
+        out.append(last)
+    else:
+        last = out[-1]
+    n, emit, add = len(table), out.append, table.append
+    for code in at:
+        if code < n:
+            entry = table[code]
+        elif code == n < TABLE:
+            entry = last + last[:1]
         else:
             return False
-        start(here)
-        length(n)
-        here += n
-        last += 1
+        emit(entry)
+        if n < TABLE:
+            add(last + entry[:1])
+            n += 1
+        last = entry
     return True
 
 
