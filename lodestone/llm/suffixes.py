@@ -52,6 +52,8 @@ GRAM = 32
 BLOCK = 1 << 20
 #: Segments of one token in a block from which the token counts as common.
 COMMON = 16
+#: Bytes of texts for which there is a task of their own in each shuffle.
+TASK_BYTES = 64 << 20
 #: Windows of one row in step 2, and suffixes sorted at once.
 ROW_WINDOWS, SORT_WINDOWS = 256, 200_000
 #: Documents whose numbers are broadcast, if ids don't tell them apart; beyond it the texts are shuffled to them.
@@ -404,10 +406,12 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
     keyed = _numbered(df, key, text)
     segments = keyed.select("_k", text).mapInArrow(_segments(length), _spark_type(SEGMENT))
     slot = F.when(F.col("route") < PART, F.col("v")).otherwise(F.xxhash64("k", "s"))
-    judged = segments.repartition(slot).sortWithinPartitions("v", "g", "k", "s").mapInArrow(judge, _spark_type(JUDGED))
+    # as many tasks as the texts need, whatever the session's number is
+    size = keyed.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    judged = segments.repartition(tasks, slot).sortWithinPartitions("v", "g", "k", "s").mapInArrow(judge, _spark_type(JUDGED))
     judged = materialize(judged, "segments")
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(tasks, "_k")
     parts = judged.where("part").groupBy("k").agg(F.collect_list(F.struct("s", "n", "v")).alias("parts")).withColumnRenamed("k", "_k")
     with_parts = dealt.join(parts.hint("shuffle_hash"), "_k").select("_k", text, "parts")
@@ -415,7 +419,7 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
     buckets = contexts.repartitionByRange(tasks, "v", "k", "s").sortWithinPartitions("v", "k", "s")
     found = buckets.mapInArrow(_bucket(length, tasks), _spark_type(FOUND))
     spread = F.when(F.col("slot") < 0, F.xxhash64("k", "s")).otherwise(F.col("slot"))
-    found = found.repartition(spread).sortWithinPartitions("slot").mapInArrow(_across, _spark_type(FOUND))
+    found = found.repartition(tasks, spread).sortWithinPartitions("slot").mapInArrow(_across, _spark_type(FOUND))
     runs = judged.where("NOT part").select("k", "s", "n").unionByName(found.select("k", "s", "n"))
     lists = runs.groupBy("k").agg(F.collect_list(F.struct("s", "n")).alias("_runs")).withColumnRenamed("k", "_k")
     return dealt, lists
