@@ -21,7 +21,9 @@ def good(text):
         if count[w] > 1:
             covered.update(range(i, i + 5))
     n, size = len(words), sum(map(len, words))
-    return not (n < 10 or 100 * len(covered) > 20 * n or size < 2 * n or size > 20 * n or 10 * len(re.findall(r"[#*$%&|<>]", text)) > n or 2 * (len(lines) - len(set(lines))) > len(lines))
+    plain = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
+    further = 2 * sum(not any(c.isalpha() for c in w) for w in words) > n or 2 * sum(x.endswith(("...", "…")) for x in plain) > len(lines) or 10 * sum(x[0] in "-*•‣" for x in plain) > 9 * len(lines)
+    return not (further or n < 10 or 100 * len(covered) > 20 * n or size < 2 * n or size > 20 * n or 10 * len(re.findall(r"[#*$%&|<>]", text)) > n or 2 * (len(lines) - len(set(lines))) > len(lines))
 
 
 def test_stages_equal_brute_force(spark):
