@@ -6,10 +6,12 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import drop, materialize, release, tables_of
 from lodestone.llm.neardup import keep_first
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.pii import mask_pii
@@ -64,5 +66,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *filters, (_, last) = STAGES
     for at, (_, stage) in enumerate(filters):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{at}")
+        # what a stage wrote for itself goes when its result is written, and so does the result before
+        group = f"stage{at}-{uuid.uuid4().hex}"
+        with tables_of(group):
+            made = stage(spark, docs, sf_dir)
+        read, docs = docs, materialize(made, f"stage{at}")
+        release(spark, group)
+        if at:
+            drop(read)
     return last(spark, docs, sf_dir)
