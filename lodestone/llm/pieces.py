@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,16 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of ids in a column, cut from one flat list of numbers; null lists are empty, null ids left out."""
+    flat = column.flatten()
+    if flat.null_count:
+        return [[i for i in ids or [] if i is not None] for ids in column.to_pylist()]
+    ids = flat.to_numpy().tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def encode_texts(df: DataFrame, text: str = "text", model: str | None = None, end: bool = False, out: str = "ids") -> DataFrame:
     """``df`` with ``out``: the ids of ``text`` as array<int>, closed by the end id if ``end``."""
     at = df.columns.index(text)
@@ -113,14 +124,14 @@ def encode_texts(df: DataFrame, text: str = "text", model: str | None = None, en
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", model: str | None = None, out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the text that the library makes of the ids in ``ids``; null counts as no ids."""
+    """``df`` with ``out``: the text that the library makes of the ids in ``ids``; null counts as no ids, null ids are left out."""
     at = df.columns.index(ids)
     (out,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model or tokenizer_path(MODEL))
         for batch in sliced(batches, at):
-            texts = sp.decode([ids or [] for ids in batch.column(at).to_pylist()], num_threads=1)
+            texts = sp.decode(_lists(batch.column(at)), num_threads=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, _with(df, out, T.StringType()))

@@ -26,9 +26,11 @@ def test_whole_texts_equal_the_library(spark, tmp_path):
 
 
 def test_decoding_any_ids(spark):
-    rows = [(i, random.choices([1, 2, 28705, 259, 264, 287, 13, 200, 230, 241, 28708, 1000, 5000], k=random.randint(0, 12))) for i in range(200)] + [(200, None)]
+    rows = [(i, random.choices([1, 2, 28705, 259, 264, 287, 13, 200, 230, 241, 28708, 1000, 5000], k=random.randint(0, 12))) for i in range(200)] + [(200, None), (201, []), (202, [259, 264])]
     found = pieces.decode_ids(spark.createDataFrame(rows, "i int, ids array<int>")).collect()
     assert [r.decoded for r in sorted(found)] == [SP.decode(ids or []) for _, ids in rows]
+    some = pieces.decode_ids(spark.createDataFrame([(1, [259, None, 264]), (2, [None])], "i int, ids array<int>"))
+    assert [r.decoded for r in sorted(some.collect())] == [SP.decode([259, 264]), ""]
 
 
 def test_clashing_columns_and_slices(spark, monkeypatch):
