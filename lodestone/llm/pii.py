@@ -2,8 +2,8 @@
 
 DataFrame functions only.  For each kind a regular expression proposes spans
 (leftmost, non-overlapping); a validator drops those that cannot be real (ranges
-of IP parts, Luhn for cards, mod 97 for IBANs); words just before a span move
-its score.  A span is reported if its score reaches the threshold; email, ip,
+of IP parts, Luhn for cards, mod 97 for IBANs); words just before or behind a
+span move its score.  A span is reported if its score reaches the threshold; email, ip,
 card and phone start high enough to be reported whatever the context.
 
 Offsets come from the gaps between the matches: the same expression that finds
@@ -27,7 +27,7 @@ from lodestone.llm.common import fresh, let, table
 
 #: Spans below this score are not reported.
 THRESHOLD = 0.6
-#: Code points before a span in which context words count; they end at the kind's previous match.
+#: Code points on either side of a span in which context words count; they end at the kind's previous and next match.
 CONTEXT = 40
 
 
@@ -115,14 +115,14 @@ def _spans(text: Column, kind: Kind, order: int, threshold: float) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        near = F.lower(F.substring(x["gap"], -CONTEXT, CONTEXT))
+        near = F.lower(F.concat_ws("\n", F.substring(x["gap"], -CONTEXT, CONTEXT), F.substring(x["behind"], 1, CONTEXT)))
         score = F.lit(kind.score) + F.when(F.rlike(near, F.lit(kind.context)), kind.boost).otherwise(0.0) if kind.context else F.lit(kind.score)
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
         good = kind.valid(x["hit"]) if kind.score >= threshold else kind.valid(x["hit"]) & (score >= threshold)
         return F.struct(end.alias("pos"), F.when(F.coalesce(good, F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     def scan(hits: Column) -> Column:
-        pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
+        pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("behind"))
         return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
 
     return F.when(F.coalesce(kind.likely(text), F.lit(False)), let(found, lambda h: F.when(F.size(h) > 0, scan(h)).otherwise(empty))).otherwise(empty)
@@ -185,14 +185,14 @@ p AS (SELECT * FROM (VALUES
   (5, 'ssn', '\b{_SSN}\b'),
   (6, 'secret', '\b{_SECRET}')) v(ord, kind, re)),
 m AS (SELECT rid, ord, kind, hits, string_split_regex(t, re) AS gaps FROM (SELECT rid, ord, kind, re, t, regexp_extract_all(t, re) AS hits FROM d, p) WHERE len(hits) > 0),
-u AS (SELECT rid, ord, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM m),
+u AS (SELECT rid, ord, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(gaps[2:len(hits) + 1]) AS behind, generate_subscripts(hits, 1) AS i FROM m),
 s AS (SELECT *, (sum(length(hit) + length(gap)) OVER (PARTITION BY rid, ord ORDER BY i))::BIGINT AS e, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS iban FROM u),
 ok AS (SELECT rid, ord, kind, e - length(hit) AS b, e FROM s WHERE CASE kind
   WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(right(x, 3) AS INT), 0) > 255)) = 0
   WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN digits[-1 - j]::INT WHEN digits[-1 - j]::INT > 4 THEN digits[-1 - j]::INT * 2 - 9 ELSE digits[-1 - j]::INT * 2 END)) % 10 = 0
   WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
   WHEN 'iban' THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(iban[5:] || iban[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INT), lambda a, c: (a * 10 + c) % 97) = 1
-  WHEN 'ssn' THEN NOT regexp_matches(hit, '^(?:000|666|9..)-|-00-|-0000$') AND regexp_matches(lower(right(gap, {CONTEXT})), '{_SSN_WORDS}')
+  WHEN 'ssn' THEN NOT regexp_matches(hit, '^(?:000|666|9..)-|-00-|-0000$') AND regexp_matches(lower(right(gap, {CONTEXT}) || chr(10) || left(behind, {CONTEXT})), '{_SSN_WORDS}')
   ELSE true END),
 a AS (SELECT rid, count(*) FILTER (ord = 0) AS n_email, count(*) FILTER (ord = 1) AS n_ip, count(*) FILTER (ord = 2) AS n_card, count(*) FILTER (ord = 3) AS n_phone,
   coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) FILTER (ord < 4), '') AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) AS spans FROM ok GROUP BY rid)

@@ -93,3 +93,13 @@ def test_clashing_columns_repeated_rows_and_long_secrets(spark):
     assert [[s.kind for s in r._pii or []] for r in found.orderBy("doc_id").collect()] == [["secret", "email"]] * 3 + [[]]
     masked = pii.mask_pii(df).orderBy("doc_id").collect()
     assert [r.text for r in masked] == ["[SECRET] and mail [EMAIL]"] * 3 + [None] and {r.pii for r in masked} == {7}
+
+
+def test_context_on_either_side(spark, tmp_path):
+    texts = ["123-45-6789 (SSN)", "234-56-7890 and then, a long way behind it, comes ssn", "1 social\nsecurity 123-45-6789", "é 123-45-6789: his Social Security number", "000-45-6789 ssn"]
+    rows(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in pii.op9_pii_spans(spark, str(tmp_path)).collect()}
+    assert got == {0: "ssn:0:11", 1: "", 2: "", 3: "ssn:2:13", 4: ""}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.sql(f"SELECT doc_id, spans FROM ({pii.OP9_SQL})").fetchall()) == got
