@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.config import CONFIG_NAME
 from lodestone.functions import paths
 from lodestone.sources.manifests import cargo_targets, cmake_modules
-from lodestone.sources.scan import list_files
+from lodestone.sources.scan import list_files, with_content
 
 MAX_DEPTH = 5
 #: Usual directories and files of each layer.
@@ -36,10 +36,11 @@ LANGUAGES = {"Python": (".py",), "JavaScript": (".js", ".jsx"), "TypeScript": ("
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all files outside excluded directories; contents only of manifests."""
-    rows = list_files(spark, root)
-    rows = rows.where(~F.arrays_overlap(paths.parts(F.col("path")), F.array(*[F.lit(n) for n in sorted(paths.EXCLUDED_DIRS)])))
-    manifest = paths.basename(F.col("path")).isin("Cargo.toml", "CMakeLists.txt")
-    return rows.select("path", F.when(manifest, F.make_valid_utf8(F.col("content").cast("string"))).alias("content"))
+    rows = list_files(spark, root, pruned=paths.EXCLUDED_DIRS)
+    read = with_content(spark, root, rows.where(paths.basename(F.col("path")).isin("Cargo.toml", "CMakeLists.txt")))
+    contents = read.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return rows.select("path").join(contents, "path", "left")
+
 
 
 def _names(tree: DataFrame, wanted: set[str], folders: bool) -> dict[str, str]:
