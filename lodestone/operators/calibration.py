@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Fixed percentiles of a report.
 PERCENTILES = (50, 75, 90, 95, 99, 100)
+#: Counts that a report lists.
+TOP = 15
 
 
 def _cumulative(values: DataFrame, column: str) -> DataFrame:
@@ -37,25 +40,49 @@ def fraction_at_or_below(values: DataFrame, thresholds: Sequence[float], column:
 
 
 def import_target_counts(imports: DataFrame) -> DataFrame:
-    """(target_file, n): distinct importers of each file, most first."""
-    counted = imports.groupBy("target_file").agg(F.countDistinct("source_file").alias("n"))
-    return counted.orderBy(F.desc("n"), "target_file")
+    """(target_file, n): distinct importers of each file."""
+    return imports.groupBy("target_file").agg(F.countDistinct("source_file").alias("n"))
 
 
-def _lines(counts: list[tuple[object, int]], threshold: int, what: str, top: int) -> list[str]:
-    if not counts:
-        return ["(nothing to calibrate)"]
+@dataclass(frozen=True)
+class Summary:
+    """What a report shows of counts: how many there are, the largest, percentiles, the share a threshold keeps."""
+
+    total: int
+    head: list[tuple[object, int]]
+    ranks: dict[int, int]
+    kept: float
+
+
+def summarized(counts: DataFrame, name: str, threshold: int, top: int = TOP) -> Summary:
+    """The summary of a table (name, n) of any size; a bounded number of rows comes to the driver."""
+    total = counts.count()
+    if not total:
+        return Summary(0, [], {}, 0.0)
+    head = [(x[name], x.n) for x in counts.orderBy(F.desc("n"), name).limit(top).collect()]
+    ranks = {x.p: x.value for x in percentiles(counts).orderBy("p").collect()}
+    return Summary(total, head, ranks, fraction_at_or_below(counts, [threshold]).first().fraction)
+
+
+def _summary(counts: list[tuple[object, int]], threshold: int, top: int) -> Summary:
+    """The same of a list, largest first."""
     values = sorted(n for _, n in counts)
-    ranks = {p: values[min(len(values) - 1, len(values) * p // 100)] for p in PERCENTILES}
-    kept = sum(n <= threshold for n in values) / len(values)
-    head = [f"{len(counts)} {what}, top {top} by count:"] + [f"  {n:6d}  {x}" for x, n in counts[:top]]
-    return [*head, "percentiles: " + ", ".join(f"p{p}={v}" for p, v in ranks.items()), f"the current threshold keeps {kept:.1%}"]
+    ranks = {p: values[min(len(values) - 1, len(values) * p // 100)] for p in PERCENTILES} if values else {}
+    return Summary(len(counts), counts[:top], ranks, sum(n <= threshold for n in values) / max(len(values), 1))
+
+
+def _lines(s: Summary, what: str) -> list[str]:
+    if not s.total:
+        return ["(nothing to calibrate)"]
+    head = [f"{s.total} {what}, top {len(s.head)} by count:"] + [f"  {n:6d}  {x}" for x, n in s.head]
+    return [*head, "percentiles: " + ", ".join(f"p{p}={v}" for p, v in s.ranks.items()), f"the current threshold keeps {s.kept:.1%}"]
 
 
-def format_report(literals: list[tuple[str, int]], imports: list[tuple[str, int]], literal_threshold: int, import_threshold: int, top: int = 15) -> str:
-    """A text report of both distributions, which come largest first."""
+def format_report(literals: Summary | list[tuple[str, int]], imports: Summary | list[tuple[str, int]], literal_threshold: int, import_threshold: int, top: int = TOP) -> str:
+    """A text report of both distributions; lists come largest first."""
+    literals, imports = (x if isinstance(x, Summary) else _summary(x, t, top) for x, t in ((literals, literal_threshold), (imports, import_threshold)))
     return "\n".join(
-        ["=== literal_noise_threshold ===", f"currently configured: {literal_threshold}", *_lines(literals, literal_threshold, "sampled literals", top), ""]
-        + ["=== import_noise_threshold ===", f"currently configured: {import_threshold}", *_lines(imports, import_threshold, "import targets", top)]
+        ["=== literal_noise_threshold ===", f"currently configured: {literal_threshold}", *_lines(literals, "sampled literals"), ""]
+        + ["=== import_noise_threshold ===", f"currently configured: {import_threshold}", *_lines(imports, "import targets")]
         + ["", "A threshold that keeps 80 to 95 % of the values is a reasonable start; review before changing the configuration."]
     )

@@ -166,8 +166,11 @@ def expand_imports(imports: DataFrame, seeds: DataFrame, chunks: DataFrame, per_
     ``per_file`` first by kind (classes, functions, others), then line.
     """
     edges = forward_imports(imports, seeds)
-    importers = imports.groupBy("target_file").agg(F.countDistinct("source_file").alias("_n")).where(F.col("_n") <= noise).select("target_file")
+    # counts and heads of the files that are asked for, not of all
+    asked = edges.select("target_file").distinct()
+    importers = imports.join(asked, "target_file", "left_semi").groupBy("target_file").agg(F.countDistinct("source_file").alias("_n")).where(F.col("_n") <= noise).select("target_file")
     kind = F.when(F.col("node_type") == "class", 0).when(F.col("node_type") == "function", 1).otherwise(2)
     rank = F.row_number().over(W.partitionBy("file_path").orderBy(kind, "start_line", key))
-    heads = chunks.withColumn("rn", rank).where(F.col("rn") <= per_file).withColumnRenamed("file_path", "target_file")
+    there = chunks.join(asked.withColumnRenamed("target_file", "file_path"), "file_path", "left_semi")
+    heads = there.withColumn("rn", rank).where(F.col("rn") <= per_file).withColumnRenamed("file_path", "target_file")
     return edges.join(importers, "target_file").join(heads, "target_file")

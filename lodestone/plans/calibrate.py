@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import ProjectConfig
 from lodestone.functions.text import chunk_literals
-from lodestone.operators.calibration import format_report, import_target_counts
+from lodestone.operators.calibration import format_report, import_target_counts, summarized
 from lodestone.operators.retrieval import literal_counts
 from lodestone.store import Index
 
@@ -22,6 +22,9 @@ def report(index: Index, config: ProjectConfig, sample: int = SAMPLE) -> str:
     first = found.groupBy("literal").agg(F.min(F.struct("file_path", "start_line", "pos")).alias("at"))
     literals = first.orderBy("at").limit(sample).select("literal")
     counts = [(r.literal, r.n) for r in literal_counts(chunks, literals).orderBy(F.desc("n"), "literal").collect()]
-    # the report shows the head and the percentiles: what comes here is one row for each imported file
-    imports = [(r.target_file, r.n) for r in import_target_counts(tables["imports"]).collect()]
+    targets = import_target_counts(tables["imports"]).persist()
+    try:
+        imports = summarized(targets, "target_file", config.import_noise_threshold)
+    finally:
+        targets.unpersist()
     return format_report(counts, imports, config.literal_noise_threshold, config.import_noise_threshold)

@@ -218,22 +218,40 @@ class CrateRoots:
             yield crate, _joined(base, b), False
 
 
-def rust_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """(tree, crate, lib, module, file): the modules of all crates, each level of declarations found by one join until a level finds no new file."""
+def _declarations(files: DataFrame) -> DataFrame:
+    """(file, is_root, inner, target): the modules each Rust file declares and the files they lie in, as the root of a tree or not; those in the file itself have it as target, those that lie nowhere none."""
+    rust = files.where(F.endswith("path", F.lit(".rs")))
+    mods = rust.select(F.col("path").alias("file"), "content").lateralJoin(RustMods(F.col("content").outer())).drop("content")
+    mods = mods.withColumn("is_root", F.explode(F.array(F.lit(True), F.lit(False))))
+    host = F.regexp_replace("file", r"/?[^/]*$", "")
+    stem = F.regexp_replace("file", r"\.rs$", "")
+    flat = F.col("is_root") | F.endswith("file", F.lit("mod.rs"))
+    folder = F.concat_ws("/", F.when(flat, F.when(host != "", host)).otherwise(stem), F.when(F.size("inner") > 1, F.array_join(F.slice("inner", F.lit(1), F.size("inner") - 1), "/")), F.element_at("inner", -1))
+    away = mods.where("elsewhere").withColumn("candidates", F.array(F.concat(folder, F.lit(".rs")), F.concat(folder, F.lit("/mod.rs"))))
+    found = first_existing(away, rust, keys=("file", "is_root", "inner"))
+    return mods.where("NOT elsewhere").select("file", "is_root", "inner", F.col("file").alias("target")).unionByName(found)
+
+
+def rust_modules(files: DataFrame, manifests: DataFrame, cached: list[DataFrame] | None = None) -> DataFrame:
+    """(tree, crate, lib, module, file): the modules of all crates.
+
+    Where a declaration leads is looked up once, for all files; each level of a
+    tree then is one join with that, until one finds no new file.  Both are cached,
+    so that no level is computed again for the next; ``cached`` takes what to
+    unpersist when the result has been used.
+    """
+    cached = [] if cached is None else cached
     roots = manifests.lateralJoin(CrateRoots(F.col("path").outer(), F.col("content").outer())).join(files.select(F.col("path").alias("root")), "root")
-    mods = files.where(F.endswith("path", F.lit(".rs"))).select(F.col("path").alias("file"), "content").lateralJoin(RustMods(F.col("content").outer())).drop("content")
-    level = roots.select(F.col("root").alias("tree"), "crate", "lib", F.array().cast("array<string>").alias("module"), F.col("root").alias("file"), F.lit(True).alias("is_root")).distinct()
+    declared = _declarations(files).persist()
+    level = roots.select(F.col("root").alias("tree"), "crate", "lib", F.array().cast("array<string>").alias("module"), F.col("root").alias("file"), F.lit(True).alias("is_root")).distinct().persist()
+    cached += [declared, level]
     found = level
     while True:
-        inside = level.join(mods, "file").withColumn("child", F.concat("module", "inner"))
-        here = inside.where("NOT elsewhere").select("tree", "crate", "lib", F.col("child").alias("module"), "file", F.lit(False).alias("is_root"))
-        host = F.regexp_replace("file", r"/?[^/]*$", "")
-        stem = F.regexp_replace("file", r"\.rs$", "")
-        flat = F.col("is_root") | F.endswith("file", F.lit("mod.rs"))
-        folder = F.concat_ws("/", F.when(flat, F.when(host != "", host)).otherwise(stem), F.when(F.size("inner") > 1, F.array_join(F.slice("inner", F.lit(1), F.size("inner") - 1), "/")), F.element_at("inner", -1))
-        away = inside.where("elsewhere").withColumn("candidates", F.array(F.concat(folder, F.lit(".rs")), F.concat(folder, F.lit("/mod.rs"))))
-        level = first_existing(away, files, keys=("tree", "crate", "lib", "child")).select("tree", "crate", "lib", F.col("child").alias("module"), F.col("target").alias("file"), F.lit(False).alias("is_root"))
-        level = level.join(found.select("tree", "file"), ["tree", "file"], "left_anti").select(*found.columns)
+        inside = level.join(declared, ["file", "is_root"]).withColumn("child", F.concat("module", "inner"))
+        here = inside.where("target = file").select("tree", "crate", "lib", F.col("child").alias("module"), "file", F.lit(False).alias("is_root"))
+        new = inside.where("target <> file").select("tree", "crate", "lib", F.col("child").alias("module"), F.col("target").alias("file"), F.lit(False).alias("is_root"))
+        level = new.distinct().join(found.select("tree", "file"), ["tree", "file"], "left_anti").select(*found.columns).persist()
+        cached.append(level)
         found = found.unionByName(here)
         if level.isEmpty():
             break
@@ -241,8 +259,8 @@ def rust_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
     return found.drop("is_root")
 
 
-def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
-    modules = rust_modules(files, manifests)
+def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame, cached: list[DataFrame] | None) -> DataFrame:
+    modules = rust_modules(files, manifests, cached)
     w = W.partitionBy("file").orderBy(F.desc("lib"), "tree", F.size("module"))
     own = modules.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("file").alias("source"), F.col("tree").alias("own_tree"), F.col("module").alias("own_module"))
     libs = modules.where("lib").select("crate", F.col("tree").alias("lib_tree")).groupBy("crate").agg(F.max("lib_tree").alias("lib_tree"))
@@ -257,10 +275,10 @@ def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame) -> Dat
     return longest_prefix(keyed, known, "segments", "id").select("id.source", "id.ord", F.col("value").alias("target_file"), F.col("id.label").alias("module"))
 
 
-def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name: str = "", only: DataFrame | None = None) -> DataFrame:
+def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name: str = "", only: DataFrame | None = None, cached: list[DataFrame] | None = None) -> DataFrame:
     """(source_file, target_file, module) of all files (path, content), or of those in ``only`` (path); ``manifests``: the Cargo.toml files, if there are any.
 
-    Several imports of one file are several edges.
+    Several imports of one file are several edges.  ``cached`` takes the tables to unpersist when the edges have been used.
     """
     sources = files if only is None else files.join(only.select("path"), "path", "left_semi")
     specs = sources.select(F.col("path").alias("source"), "content").lateralJoin(ImportSpecs(F.col("source").outer(), F.col("content").outer(), F.lit(root_name))).drop("content")
@@ -279,5 +297,5 @@ def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name
     alone = unique_by(c_files, paths.basename(F.col("path")), "basename").withColumnRenamed("path", "target_file")
     edges = direct.unionByName(missing.join(alone, "basename").select("source", "ord", "target_file", F.col("label").alias("module")))
     if manifests is not None:
-        edges = edges.unionByName(_rust_edges(specs.where("segments IS NOT NULL"), files, manifests))
+        edges = edges.unionByName(_rust_edges(specs.where("segments IS NOT NULL"), files, manifests, cached))
     return edges.select(F.col("source").alias("source_file"), "target_file", "module")

@@ -206,7 +206,8 @@ class Index:
         json_chunks = with_chunks(new_json, "content", "stem").select(F.col("path").alias("file_path"), "start_line", F.col("start_line").alias("end_line"), F.lit("json_group").alias("node_type"), "name", "text", F.lit("json_key").alias("chunk_source_kind"))
         chunks = parsed.where("error IS NULL").withColumnRenamed("path", "file_path").drop("error").unionByName(json_chunks)
         chunks = self._finished(chunks, config, load).persist()
-        edges = import_edges(every.select("path", "content"), self._manifests(), self.root.rsplit("/", 1)[-1], todo.join(failed, "path", "left_anti"))
+        cached: list[DataFrame] = []
+        edges = import_edges(every.select("path", "content"), self._manifests(), self.root.rsplit("/", 1)[-1], todo.join(failed, "path", "left_anti"), cached)
         entries = with_leaves(new_json, "content").select(F.col("path").alias("file_path"), "ord", "key_path", "value")
         hashes = changes.where("status IN ('new', 'changed')").join(failed, "path", "left_anti").select("path", "content_hash")
 
@@ -221,6 +222,6 @@ class Index:
         )
         stats = maintenance.diff_stats(code).first()
         run = Run(stats.changed_files, stats.unchanged_files, stats.deleted_files, chunks.count(), errors)
-        for df in (every, texts, changes, parsed, chunks):
+        for df in (every, texts, changes, parsed, chunks, *cached):
             df.unpersist()
         return run
