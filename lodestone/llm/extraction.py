@@ -47,6 +47,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 #: Names of a state or a topic, not of what an element is: has-sidebar, comments-open, tag-ads.
 _STATE = re.compile(r"(?:has|no|with|without|is|not|tag|category)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible)")
 
@@ -59,7 +60,8 @@ VOID = frozenset("hr br".split())
 ELEMENTS = {"nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -8.0, "search": -12.0, "article": 5.0, "main": 3.0, "h1": 2.0, "fieldset": -8.0}
 #: What a word in a class, id or role says.
 NAMES = {
-    **dict.fromkeys("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommend recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert discussion respond feedback complementary contentinfo".split(), -11.0),
+    **dict.fromkeys("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommend recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert discussion discussions discuss guestbook respond responses feedback complementary contentinfo"
+                  " kommentar kommentare commentaire commentaires comentario comentarios werbung anzeige anzeigen publicidad publicite anuncio anuncios seitenleiste".split(), -11.0),
     **dict.fromkeys("article content entry main post story body text".split(), 1.5),
 }
 #: Elements that may lie around a whole page: what they say is taken back there, as names are.
@@ -68,6 +70,8 @@ FORMS = frozenset(("form", "fieldset"))
 OUTSIDE, PROSE, OUTSIDE_SHARE = 200, 40, 0.5
 #: Words of a name that say nothing about what an element is.
 GENERIC = frozenset("area block box bar body button buttons col column container content inner item items layout line link links list outer page panel row section slot unit wrap wrapper zone".split())
+#: What one word may join to the name it starts with: commentlist, adslot.
+JOINED = GENERIC | frozenset("form thread holder region widget".split())
 #: Inline elements that are taken for blocks if they have the name of boilerplate.
 INLINE = frozenset("span small em strong b i u font ins del mark sup sub cite q abbr time data bdi bdo".split())
 #: Scores end at this; what a block without a name must be worth on a page that has prose: PROSE_CHARS characters in one block.
@@ -92,13 +96,20 @@ class Block:
     cost_boilerplate: float = field(default=0.0)
 
 
+def _known(word: str) -> str:
+    """The name of boilerplate that a word of two joined ones starts with, or the word itself."""
+    if word in NAMES or word in GENERIC:
+        return word
+    return next((word[:i] for i in range(len(word) - 3, 1, -1) if word[i:] in JOINED and NAMES.get(word[:i], 0.0) < 0), word)
+
+
 def _said_by(name: str) -> float:
     """What one class, id or role says: as a whole, or by its last word that means something; a content word behind one of boilerplate says nothing."""
     if name in NAMES:
         return NAMES[name]
     if _STATE.fullmatch(name):
         return 0.0
-    words = _WORD.findall(name)
+    words = [_known(w) for w in _WORD.findall(name)]
     telling = [w for w in words if w not in GENERIC] or words
     head, first = (NAMES.get(telling[-1], 0.0), NAMES.get(telling[0], 0.0)) if telling else (0.0, 0.0)
     return 0.0 if head >= 0 > first and len(telling) > 1 and head else head or min(first, 0.0)
@@ -111,7 +122,7 @@ def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
         said = 0.0
     back = said if tag in FORMS else 0.0
     if attributes and ("=" in attributes or "hidden" in attributes):
-        names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+        names = [x for m in _NAMES.finditer(attributes) for x in _HUMP.sub("-", m[1] or m[2] or m[3] or "").lower().split()]
         found = [x for x in map(_said_by, names) if x]
         if tag in ("body", "main"):
             found = [x for x in found if x > 0]

@@ -123,3 +123,14 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "<p>Some words of a text.</p>", 2)], "page_id int, html string, text int")
     found = ex.extract_text(df)
     assert found.columns == ["page_id", "html", "text", "_text"] and tuple(found.first())[2:] == (2, "Some words of a text.")
+
+
+def test_comments_by_joined_and_foreign_names():
+    said = "A paragraph of the article, with several sentences in it. It goes on about its subject, and it keeps going for a while."
+    other = "I have read this too, and I want to say that I don't agree with any of it, sorry. Not at all, in fact, and never did."
+    for name in ("commentlist", "commentList", "reader-responses", "kommentare", "commentThread", "CommentForm", "liste-commentaires", "adslot"):
+        page = f"<body><main><h1>T</h1><p>{said}</p><p>{said}</p><div class='{name}'><p>{other}</p></div></main></body>"
+        assert ex.main_text(page) == f"T {said} {said}", name
+    for name in ("commentary", "adaptation", "Advice", "relatedness", "body-text", "mainContent", "sharepoint"):
+        page = f"<body><main><h1>T</h1><p>{said}</p><div class='{name}'><p>{other}</p></div></main></body>"
+        assert ex.main_text(page) == f"T {said} {other}", name
