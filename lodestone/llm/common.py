@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a text column that a worker handles at once; a longer row is handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: ``salted_join``: rows of a key from which it may be hot, and how many keys are hot at most.
 HOT_ROWS, HOT_KEYS = 1024, 100_000
 
