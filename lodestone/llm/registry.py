@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import extraction, gif, langid, neardup, packing, pieces, pii, quality, sharding, suffixes
+from lodestone.llm import alignment, extraction, gif, langid, mixing, neardup, packing, periods, pieces, pii, quality, sharding, suffixes
 
 QUERIES = {
     "op1_distinct_chunks": pieces.op1_distinct_chunks,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_min_cut": extraction.op8_min_cut,
     "op9_pii_spans": pii.op9_pii_spans,
     "op10_subword_softmax": langid.op10_subword_softmax,
+    "op11_elementary_intervals": alignment.op11_elementary_intervals,
+    "op12_prefix_sums": mixing.op12_prefix_sums,
+    "op13_all_lags": periods.op13_all_lags,
 }
 
 ORACLE_SQL = {
     "op3_quality_cascade": quality.OP3_SQL,
     "op9_pii_spans": pii.OP9_SQL,
+    "op12_prefix_sums": mixing.OP12_SQL,
 }
