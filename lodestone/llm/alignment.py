@@ -30,8 +30,8 @@ All columns but the text stay as they are; new columns take free names.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -46,48 +46,42 @@ from pyspark.sql import types as T
 from lodestone.llm.common import fresh, materialize, sliced, table, tokenizer_path
 from lodestone.llm.pieces import MARK, MODEL, processor
 
-FIRST_MODEL = "byte_bpe_50k.json"
-#: Chunks that a task keeps aligned before it starts anew, and the length up to which one is kept.
-TABLE_ROWS, KEPT_CHARS = 150_000, 64
-#: Bytes of text in a block of documents; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+#: The ranks of the byte-level vocabulary: the same tokens and merges as byte_bpe_50k.json has.
+FIRST_MODEL = "byte_bpe_50k.tiktoken"
+#: Aligned chunks from which a task starts anew.
+TABLE_ROWS = 200_000
+#: Characters of the new chunks that are encoded as one text.
+PIECE_CHARS = 8 << 10
+#: Bytes of text from which a block of documents is full.
+BLOCK_BYTES = 4 << 20
 
 _CHUNK_START = re.compile(r"(?<=\S)(?= )")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest from U+0100 on in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(0x100) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + at): b for at, b in enumerate(others)}
-
-
 class Sides:
     """Both tokenizers of a worker with the bytes of every id."""
 
     def __init__(self, first: str, second: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(first)
-        self.a.encode_special_tokens = True
-        chars = _byte_of_char()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, at in self.a.get_vocab().items():
-            if all(c in chars for c in token):
-                self.a_bytes[at] = bytes(chars[c] for c in token)
+        import public_tokenizers
+        import tiktoken
+
+        with open(first, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.a = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, at in ranks.items():
+            self.a_bytes[at] = token
         self.b = processor(second)
         self.mark_id = self.b.piece_to_id(MARK)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of chunks, each of which begins with a space."""
-        a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        b = [ids or [self.mark_id] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
-        return a, b
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of texts, each of which begins with a space."""
+        return [self.a.encode_ordinary(t) for t in texts], [ids or [self.mark_id] for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
 
     def faithful(self, chunk: str, a: list[int], b: list[int]) -> bool:
         raw = chunk.encode()
@@ -101,7 +95,8 @@ def chunks_of(text: str) -> list[str]:
 
 def elementary(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ends of the elementary intervals of two token sequences over the same bytes, the token of either side that owns each, and the group of each."""
-    ends = np.union1d(a_ends, b_ends)
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # union1d of two sorted arrays
+    ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])]
     a_owner, b_owner = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     closes = (a_ends[a_owner] == ends) & (b_ends[b_owner] == ends)
     return ends, a_owner, b_owner, np.cumsum(closes) - closes
@@ -125,27 +120,71 @@ def products(a_groups: np.ndarray, a_ids: np.ndarray, b_groups: np.ndarray, b_id
 
 
 class Aligner:
-    """Aligned chunks of a task: for each its groups as text, its four counts, and its pairs with their links as bytes; None where bytes differ."""
+    """Aligned chunks of a task, numbered: for each its groups as text, its four counts, its pairs and their links.
+
+    Chunks whose bytes differ are ``bad`` and have none of it.
+    """
 
     def __init__(self, sides: Sides) -> None:
-        self.sides, self.known = sides, {}
-
-    def of(self, chunks: set[str]) -> dict[str, tuple | None]:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > TABLE_ROWS:
-            known = self.known = {c: known[c] for c in chunks if c in known}
-        made = self._align(new) if new else {}
-        known.update((c, x) for c, x in made.items() if len(c) <= KEPT_CHARS)
-        return {c: made[c] if c in made else known[c] for c in chunks}
-
-    def _align(self, chunks: list[str]) -> dict[str, tuple | None]:
-        a, b = self.sides.encode(chunks)
-        good = [i for i, c in enumerate(chunks) if self.sides.faithful(c, a[i], b[i])]
-        out: dict[str, tuple | None] = dict.fromkeys(chunks)
-        if not good:
-            return out
-        a_ids, b_ids = (np.array([t for i in good for t in ids[i]], np.int64) for ids in (a, b))
+        self.sides = sides
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.bad: set[int] = set()
+        self._parts: list[tuple[np.ndarray, ...]] = []
+
+    def full(self) -> bool:
+        return len(self.texts) > TABLE_ROWS
+
+    def add(self, chunks: set[str]) -> None:
+        """Aligns those that are new, many of them encoded as one text: no token reaches over their ends."""
+        new = [c for c in chunks if c not in self.number]
+        if new:
+            for piece, a, b in self._encoded(new):
+                self._cut(piece, a, b)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """Of all chunks by number: counts (n_a, n_b, n_groups, n_links) and numbers of pairs; then all their pairs and links in order."""
+        if len(self._parts) > 1:
+            self._parts = [tuple(np.concatenate(x) for x in zip(*self._parts, strict=True))]
+        return self._parts[0] if self._parts else (np.zeros((0, 4), np.int64), *[np.zeros(0, np.int64)] * 3)
+
+    def _encoded(self, chunks: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+        """Lists of chunks with their ids; chunks whose bytes don't come back are put among the bad."""
+        pieces: list[list[str]] = []
+        size = PIECE_CHARS
+        for c in chunks:
+            # what ends in white space is another thing before another chunk
+            if c[-1].isspace():
+                pieces.insert(0, [c])
+                continue
+            if size >= PIECE_CHARS:
+                pieces.append([])
+                size = 0
+            pieces[-1].append(c)
+            size += len(c)
+        while pieces:
+            again, good = [], ([], [], [])
+            texts = ["".join(p) for p in pieces]
+            for piece, text, a, b in zip(pieces, texts, *self.sides.encode(texts), strict=True):
+                if self.sides.faithful(text, a, b):
+                    for into, what in zip(good, (piece, a, b), strict=True):
+                        into += what
+                elif len(piece) > 1:
+                    again += [[c] for c in piece]
+                else:
+                    self.bad.add(len(self.texts))
+                    self.number[piece[0]] = len(self.texts)
+                    self.texts.append("")
+                    self._parts.append((np.zeros((1, 4), np.int64), *(np.zeros(n, np.int64) for n in (1, 0, 0))))
+            if good[0]:
+                yield good
+            pieces = again
+
+    def _cut(self, chunks: list[str], a: list[int], b: list[int]) -> None:
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(self.sides.a_size[a_ids]), np.cumsum(self.sides.b_size[b_ids])
         ends, _, _, group = elementary(a_ends, b_ends)
         a_groups, b_groups = group[np.searchsorted(ends, a_ends)], group[np.searchsorted(ends, b_ends)]
@@ -153,66 +192,59 @@ class Aligner:
         pair_group, pairs, links = products(a_groups, a_ids, b_groups, b_ids, total)
 
         # a chunk ends where both sides do, so its groups are the next ones
-        last = group[np.searchsorted(ends, np.cumsum([len(chunks[i].encode()) for i in good]))] + 1
-        pair_at = np.searchsorted(pair_group, last).tolist()
-        link_sum = np.concatenate([[0], np.cumsum(links)])
-        texts = _group_texts(a_ids, a_groups, b_ids, b_groups, total)
-        first = pair_from = 0
-        for i, upto, pair_to in zip(good, last.tolist(), pair_at, strict=True):
-            out[chunks[i]] = (
-                ";".join(texts[first:upto]), len(a[i]), len(b[i]), upto - first, int(link_sum[pair_to] - link_sum[pair_from]),
-                pairs[pair_from:pair_to].tobytes(), links[pair_from:pair_to].tobytes(),
-            )
-            first, pair_from = upto, pair_to
-        return out
-
-
-def _group_texts(a_ids: np.ndarray, a_groups: np.ndarray, b_ids: np.ndarray, b_groups: np.ndarray, groups: int) -> list[str]:
-    """``a1,a2|b1`` for every group."""
-    sides = []
-    for ids, of in ((a_ids, a_groups), (b_ids, b_groups)):
-        text, cuts = [str(i) for i in ids.tolist()], np.searchsorted(of, np.arange(groups + 1)).tolist()
-        sides.append([text[x] if y == x + 1 else ",".join(text[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)])
-    return [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+        stops = np.cumsum([len(c.encode()) for c in chunks])
+        last = group[np.searchsorted(ends, stops)] + 1
+        pair_to = np.searchsorted(pair_group, last)
+        link_sums = np.concatenate([[0], np.cumsum(links)])[pair_to]
+        counts = [np.diff(x, prepend=0) for x in (np.searchsorted(a_ends, stops) + 1, np.searchsorted(b_ends, stops) + 1, last, link_sums)]
+        self._parts.append((np.stack(counts, 1), np.diff(pair_to, prepend=0), pairs, links))
+        texts = [f"{x}|{y}" for x, y in zip(_by_group(self.sides.a_text, a, a_groups, total), _by_group(self.sides.b_text, b, b_groups, total), strict=True)]
+        self.number.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks)), strict=True))
+        cuts = last.tolist()
+        self.texts += [texts[x] if y == x + 1 else ";".join(texts[x:y]) for x, y in zip([0, *cuts], cuts, strict=False)]
+
+
+def _by_group(names: list[str], ids: list[int], of: np.ndarray, groups: int) -> list[str]:
+    """The ids of every group, joined by commas."""
+    text, cuts = [names[i] for i in ids], np.searchsorted(of, np.arange(groups + 1)).tolist()
+    return [text[x] if y == x + 1 else ",".join(text[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 class Block:
     """Documents of a task whose pairs are counted together."""
 
-    def __init__(self) -> None:
-        self.size, self.records, self.hashes = 0, [], []
-        self.local: dict[str, int] = {}
-        self.entries: list[tuple] = []
+    def __init__(self, aligner: Aligner) -> None:
+        self.aligner, self.size, self.records, self.hashes = aligner, 0, [], []
         self.chunks: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-
-    def add(self, text: str, aligned: dict[str, tuple | None]) -> None:
-        cut = chunks_of(text) if text else []
-        if any(aligned[c] is None for c in cut):
-            cut = []
-        local, entries = self.local, self.entries
-        for c in cut:
-            if c not in local:
-                local[c] = len(entries)
-                entries.append(aligned[c])
-        at = [local[c] for c in cut]
-        self.hashes.append(hashlib.sha256(";".join([entries[i][0] for i in at]).encode()).hexdigest() if cut else "")
-        chunks, times = np.unique(np.array(at, np.int32), return_counts=True)
-        self.chunks.append(chunks)
-        self.times.append(times.astype(np.int32))
-        self.size += len(text)
+
+    def add(self, cut: list[list[str]]) -> None:
+        """Documents as lists of chunks that the aligner has."""
+        number, texts, bad = self.aligner.number, self.aligner.texts, self.aligner.bad
+        for chunks in cut:
+            at = [number[c] for c in chunks]
+            if bad and not bad.isdisjoint(at):
+                at = []
+            self.hashes.append(hashlib.sha256(";".join([texts[i] for i in at]).encode()).hexdigest() if at else "")
+            self.chunks.append(np.array(at, np.int32))
 
     def row(self, number: int, names: list[str]) -> pa.RecordBatch:
         """The block as one row: documents, what they count, and the pairs with their documents."""
-        per_doc = np.array([len(x) for x in self.chunks], np.int64)
-        chunk, times = np.concatenate(self.chunks), np.concatenate(self.times)
-        counts = np.array([e[1:5] for e in self.entries], np.int64).reshape(-1, 4)
-        doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
+        all_counts, all_sizes, all_pairs, all_links = self.aligner.columns()
+        words = np.array([len(x) for x in self.chunks], np.int64)
+        keys = np.sort(np.repeat(np.arange(len(words)), words) * max(len(all_sizes), 1) + np.concatenate(self.chunks))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        times, keys = np.diff(np.append(first, len(keys))), keys[first]
+        doc_of, held = keys // max(len(all_sizes), 1), keys % max(len(all_sizes), 1)
+        per_doc = np.bincount(doc_of, minlength=len(words))
+        # the block's own chunks, numbered anew
+        used = np.zeros(len(all_sizes), bool)
+        used[held] = True
+        own, chunk = np.flatnonzero(used), (np.cumsum(used) - 1)[held]
+        counts, per_chunk = all_counts[own], all_sizes[own]
         sums = [np.bincount(doc_of, weights=counts[chunk, k] * times, minlength=len(per_doc)).astype(np.int64) for k in range(4)]
-        raw = np.frombuffer(b"".join([e[5] for e in self.entries]), np.int64)
-        links = np.frombuffer(b"".join([e[6] for e in self.entries]), np.int64)
-        pairs, pair_at = np.unique(raw, return_inverse=True)
-        per_chunk = np.array([len(e[5]) // 8 for e in self.entries], np.int64)
+        where = _ranges((np.cumsum(all_sizes) - all_sizes)[own], per_chunk)
+        links = all_links[where]
+        pairs, pair_at = np.unique(all_pairs[where], return_inverse=True)
         docs = _documents(doc_of, chunk, per_chunk, pair_at, len(pairs))
         structs = [pa.StructArray.from_arrays(r.columns, names=names) if names else _fillers(r.num_rows) for r in self.records]
         lists = [pa.concat_arrays(structs), pa.array(self.hashes), *map(pa.array, sums), pa.array(pairs), pa.array(docs)]
@@ -231,6 +263,11 @@ _BLOCK = ["block", "docs", "hashes", "n_a", "n_b", "n_groups", "n_links", "pairs
 _AT_ONCE = 4_000_000
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _documents(doc_of: np.ndarray, chunk: np.ndarray, per_chunk: np.ndarray, pair_at: np.ndarray, pairs: int) -> np.ndarray:
     """In how many documents each pair of a block stands."""
     out = np.zeros(pairs, np.int64)
@@ -243,8 +280,8 @@ def _documents(doc_of: np.ndarray, chunk: np.ndarray, per_chunk: np.ndarray, pai
         if at < len(cuts) and done[stop] - done[begin] < _AT_ONCE:
             continue
         n = size[begin:stop]
-        which = np.repeat(starts[chunk[begin:stop]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keys = np.unique(np.repeat(doc_of[begin:stop], n) * pairs + pair_at[which])
+        keys = np.sort(np.repeat(doc_of[begin:stop], n) * pairs + pair_at[_ranges(starts[chunk[begin:stop]], n)])
+        keys = keys[np.concatenate([keys[1:] != keys[:-1], [True]])] if len(keys) else keys
         out += np.bincount(keys % pairs, minlength=pairs)
         begin = stop
     return out
@@ -261,16 +298,18 @@ def _blocks(df: DataFrame, text: str, first: str | None, second: str | None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(Sides(first or tokenizer_path(FIRST_MODEL), second or tokenizer_path(MODEL)))
-        base, made, block = TaskContext.get().partitionId() << 33, 0, Block()
-        for batch in sliced(batches, at):
-            texts = batch.column(at).to_pylist()
-            aligned = aligner.of({c for t in texts if t for c in chunks_of(t)})
-            for t in texts:
-                block.add(t or "", aligned)
+        base, made, block = TaskContext.get().partitionId() << 33, 0, Block(aligner)
+        for batch in sliced(batches, at, BLOCK_BYTES // 2):
+            cut = [chunks_of(t) if t else [] for t in batch.column(at).to_pylist()]
+            aligner.add({c for cs in cut for c in cs})
+            block.add(cut)
+            block.size += batch.column(at).nbytes
             block.records.append(batch.select([c for c in range(batch.num_columns) if c != at]))
-            if block.size >= BLOCK_BYTES:
+            if block.size >= BLOCK_BYTES or aligner.full():
                 yield block.row(base + made, names)
-                made, block = made + 1, Block()
+                made, block = made + 1, Block(aligner)
+                if aligner.full():
+                    aligner.clear()
         if block.records:
             yield block.row(base + made, names)
 
@@ -305,12 +344,14 @@ def align_texts(df: DataFrame, text: str = "text", first: str | None = None, sec
         aligner = Aligner(sides)
         for batch in sliced(batches, at):
             cut = [chunks_of(t) if t else [] for t in batch.column(at).to_pylist()]
-            aligned = aligner.of({c for cs in cut for c in cs})
+            if aligner.full():
+                aligner.clear()
+            aligner.add({c for cs in cut for c in cs})
             made = []
             for cs in cut:
-                groups, end = [], 0
-                for c in cs if all(aligned[c] for c in cs) else []:
-                    for group in aligned[c][0].split(";"):
+                groups, end, numbers = [], 0, [aligner.number[c] for c in cs]
+                for i in numbers if aligner.bad.isdisjoint(numbers) else []:
+                    for group in aligner.texts[i].split(";"):
                         a, b = ([int(i) for i in side.split(",")] for side in group.split("|"))
                         end += sum(len(sides.a_bytes[i]) for i in a)
                         groups.append({"end": end, "a": a, "b": b})

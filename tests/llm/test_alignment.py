@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from lodestone.llm import alignment
 from lodestone.llm.alignment import Sides, align_texts, elementary, link_statistics, op11_elementary_intervals, pair_counts
@@ -20,14 +21,21 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def sides():
-    return Sides(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return Sides(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
 
 
-def brute(sides, texts):
+@pytest.fixture(scope="module")
+def first():
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def brute(sides, first, texts):
     """Whole texts by the libraries, groups by sets of ends, every link by itself."""
     docs = []
     for text in texts:
-        a = sides.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = first(" " + text) if text else []
         b = sides.b.encode(text) if text else []
         if not text or not sides.faithful(" " + text, a, b):
             docs.append(([], [], []))
@@ -59,46 +67,61 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "at long, text string").repartition(3, "at")
 
 
-def test_against_whole_texts(spark, sides):
-    expected, held = brute(sides, TEXTS)
+def test_against_whole_texts(spark, sides, first):
+    expected, held = brute(sides, first, TEXTS)
     assert rows(link_statistics(frame(spark, TEXTS))) == expected
     found = {(r.a_id, r.b_id): r.documents for r in pair_counts(frame(spark, TEXTS)).collect()}
     assert found == dict(held)
 
 
-def test_small_tables_and_blocks(spark, sides, monkeypatch):
+def test_small_tables_and_blocks(spark, sides, first, monkeypatch):
     # one document a block, tables that start anew, keys made distinct in parts
-    expected, _ = brute(sides, TEXTS)
+    expected, _ = brute(sides, first, TEXTS)
     aligner = alignment.Aligner(sides)
-    monkeypatch.setattr(alignment, "TABLE_ROWS", 5)
+    monkeypatch.setattr(alignment, "PIECE_CHARS", 30)
     monkeypatch.setattr(alignment, "_AT_ONCE", 3)
-    block = alignment.Block()
+    block = alignment.Block(aligner)
     for text in TEXTS:
-        block.add(text or "", aligner.of(set(alignment.chunks_of(text)) if text else set()))
+        cut = alignment.chunks_of(text) if text else []
+        aligner.add(set(cut))
+        block.add([cut])
     import pyarrow as pa
 
     block.records = [pa.RecordBatch.from_pydict({"at": list(range(len(TEXTS)))})]
     row = block.row(7, ["at"]).to_pydict()
     assert [tuple(x) for x in zip(row["n_a"][0], row["n_b"][0], row["n_groups"][0], row["n_links"][0], strict=True)] == [e[:4] for e in expected]
     assert row["hashes"][0] == [e[6] for e in expected]
-    assert {p: n for p, n in zip(row["pairs"][0], row["pair_docs"][0], strict=True)} == {(a << 32) | b: n for (a, b), n in brute(sides, TEXTS)[1].items()}
+    assert {p: n for p, n in zip(row["pairs"][0], row["pair_docs"][0], strict=True)} == {(a << 32) | b: n for (a, b), n in brute(sides, first, TEXTS)[1].items()}
+
+
+def test_a_table_that_starts_anew(spark, sides, first, monkeypatch):
+    # read where the plan is made, so the function that goes to the workers has them
+    monkeypatch.setattr(alignment, "TABLE_ROWS", 5)
+    aligner = alignment.Aligner(sides)
+    for text in TEXTS[5:12]:
+        if aligner.full():
+            aligner.clear()
+        aligner.add(set(alignment.chunks_of(text)))
+        block = alignment.Block(aligner)
+        block.add([alignment.chunks_of(text)])
+        assert block.hashes == [brute(sides, first, [text])[0][0][6]]
 
 
-def test_documents_of_the_tables(spark, sides):
+def test_documents_of_the_tables(spark, sides, first):
     table = "/root/testdata/sf0.001"
     docs = [r.text for r in spark.read.parquet(f"{table}/documents.parquet").orderBy("doc_id").collect()]
-    expected, _ = brute(sides, docs)
+    expected, _ = brute(sides, first, docs)
     got = op11_elementary_intervals(spark, table)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert rows(got, "doc_id") == expected
 
 
-def test_groups_of_spans(spark, sides):
+def test_groups_of_spans(spark, sides, first):
     kept = [t for t in TEXTS if t]
     for r in align_texts(frame(spark, kept)).collect():
         a = [i for g in r.groups for i in g.a]
         if r.groups:
-            assert a == sides.a.encode(" " + r.text, add_special_tokens=False).ids
+            assert a == first(" " + r.text)
             assert [i for g in r.groups for i in g.b] == sides.b.encode(r.text)
             assert r.groups[-1].end == len((" " + r.text).encode())
         else:
