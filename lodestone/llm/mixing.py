@@ -36,7 +36,7 @@ WEIGHTS = (1, 2, 3)
 #: How often a document is taken at most.
 MOST = 3
 #: Documents that a bucket of one source holds on average.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 8192
 #: Hex digits of a key's digest, and how many keys that makes.
 DIGITS, KEYS = 12, float(16**12)
 
