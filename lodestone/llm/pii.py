@@ -8,6 +8,9 @@ card and phone start high enough to be reported whatever the context.
 
 Offsets come from the gaps between the matches: the same expression that finds
 the matches splits the text, and the lengths of both add up to code points.
+Running sums over a text's matches go through blocks of about the root of their
+number, so no accumulator grows with the text; masking cuts the text into pieces
+of fixed length once and takes each gap from the pieces it touches.
 The expressions are written so that no text makes them backtrack over long
 runs or recurse: possessive groups, and starts tied to the beginning of a run.
 
@@ -29,6 +32,8 @@ from lodestone.llm.common import fresh, let, table
 THRESHOLD = 0.6
 #: Code points on either side of a span in which context words count; they end at the kind's previous and next match.
 CONTEXT = 40
+#: Code points of the pieces that masking cuts a text into.
+PIECE = 4096
 
 
 def _digits(s: Column) -> Column:
@@ -106,26 +111,48 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
+def running(values: Column, op) -> Column:
+    """For each of some integers, ``op`` over those before it, from 0 on; ``op`` is associative and keeps 0 as it is.
+
+    An accumulator that grows by one value is copied for each, so the values are
+    cut into blocks of about the root of their number.
+    """
+
+    def fold(part: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(op(acc["all"], x).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before")))
+
+    def joined(blocks: Column) -> Column:
+        totals = fold(F.transform(blocks, lambda b: b["all"]))["before"]
+        return F.flatten(F.zip_with(blocks, totals, lambda b, total: F.transform(b["before"], lambda x: op(total, x))))
+
+    def scanned(a: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(a))).cast("int")
+        return let(F.transform(F.sequence(F.lit(1), F.size(a), step), lambda i: fold(F.slice(a, i, step))), joined)
+
+    return let(values, lambda a: F.when(F.size(a) > 0, scanned(a)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, kind: Kind, order: int, threshold: float) -> Column:
     """Valid spans of one kind: array of (start, ord, end, kind, score), in order of start."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,score:double>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+    def span(x: Column) -> Column:
+        start = x["before"] + F.length(x["gap"])
         near = F.lower(F.concat_ws("\n", F.substring(x["gap"], -CONTEXT, CONTEXT), F.substring(x["behind"], 1, CONTEXT)))
         score = F.lit(kind.score) + F.when(F.rlike(near, F.lit(kind.context)), kind.boost).otherwise(0.0) if kind.context else F.lit(kind.score)
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
-        good = kind.valid(x["hit"]) if kind.score >= threshold else kind.valid(x["hit"]) & (score >= threshold)
-        return F.struct(end.alias("pos"), F.when(F.coalesce(good, F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        made = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + F.length(x["hit"])).alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
+        return F.when(F.coalesce(kind.valid(x["hit"]), F.lit(False)), made)
 
-    def scan(hits: Column) -> Column:
-        pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("behind"))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    def placed(hits: Column, parts: Column) -> Column:
+        sizes = F.zip_with(hits, F.slice(parts, F.lit(1), F.size(hits)), lambda h, g: F.length(h) + F.length(g))
+        rows = F.arrays_zip(hits.alias("hit"), F.slice(parts, F.lit(1), F.size(hits)).alias("gap"), F.slice(parts, F.lit(2), F.size(hits)).alias("behind"), running(sizes, lambda a, b: a + b).alias("before"))
+        good = F.filter(F.transform(rows, span), lambda s: s.isNotNull())
+        return good if kind.score >= threshold else F.filter(good, lambda s: s["score"] >= threshold)
 
-    return F.when(F.coalesce(kind.likely(text), F.lit(False)), let(found, lambda h: F.when(F.size(h) > 0, scan(h)).otherwise(empty))).otherwise(empty)
+    return F.when(F.coalesce(kind.likely(text), F.lit(False)), let(found, lambda h: F.when(F.size(h) > 0, let(gaps, lambda g: placed(h, g))).otherwise(empty))).otherwise(empty)
 
 
 def find_pii(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kinds: tuple[Kind, ...] = KINDS, out: str = "pii") -> DataFrame:
@@ -140,14 +167,21 @@ def mask_pii(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, ki
     (pii,) = fresh(df, "pii")
 
     def masked(t: Column, spans: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            before = F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"])
-            label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-            apart = s["start"] >= acc["pos"]
-            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(apart, F.concat(acc["out"], F.array(before, label))).otherwise(acc["out"]).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["pos"] + 1, F.length(t))))
+        def cut(pieces: Column, start: Column, end: Column) -> Column:
+            first, last = (F.floor(x / PIECE).cast("int") for x in (start, end))
+            head, tail = F.get(pieces, first), F.coalesce(F.get(pieces, last), F.lit(""))
+            inside = F.substring(head, start % PIECE + 1, end - start)
+            across = F.concat(F.substring(head, start % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(tail, F.lit(1), end % PIECE))
+            return F.when(start >= end, F.lit("")).when(first == last, inside).otherwise(across)
+
+        def build(pieces: Column, rows: Column) -> Column:
+            apart = F.filter(rows, lambda x: x["s"]["start"] >= x["before"])
+            parts = F.transform(apart, lambda x: F.concat(cut(pieces, x["before"], x["s"]["start"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
+            return F.concat(F.array_join(parts, ""), cut(pieces, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(t)))
+
+        # each span with the furthest end of those before it: a span that starts beyond is apart from all of them
+        rows = F.arrays_zip(spans.alias("s"), running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("before"))
+        return let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: let(rows, lambda r: build(pieces, r)))
 
     found = find_pii(df, text, threshold, kinds, pii)
     return found.withColumn(text, F.when(F.size(pii) > 0, masked(F.col(text), F.col(pii))).otherwise(F.col(text))).drop(pii)

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -103,3 +105,43 @@ def test_context_on_either_side(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert dict(con.sql(f"SELECT doc_id, spans FROM ({pii.OP9_SQL})").fetchall()) == got
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(3)
+    lists = [[rng.randint(0, 50) for _ in range(n)] for n in (0, 1, 2, 3, 10, 57, 400)] + [None]
+    df = spark.createDataFrame([(x,) for x in lists], "xs array<int>")
+    got = df.select("xs", pii.running(F.col("xs"), lambda a, b: a + b).alias("s"), pii.running(F.col("xs"), F.greatest).alias("m")).collect()
+    for r in got:
+        xs = r.xs or []
+        assert (r.s or []) == [sum(xs[:i]) for i in range(len(xs))] and (r.m or []) == [max(xs[:i], default=0) for i in range(len(xs))]
+
+
+def masked(text, spans):
+    """Spans by start; one that begins inside those before it joins them."""
+    out, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            out += [text[at : s.start], f"[{s.kind.upper()}]"]
+        at = max(at, s.end)
+    return "".join(out) + text[at:]
+
+
+def test_mask_of_texts_longer_than_a_piece(spark):
+    rng = random.Random(7)
+    parts = ["1.2.3.4", "+1 4111 1111 1111 1111", "a.b@1.2.3.4.com", "é😀", " ", "words and more words ", "\n\n", "x" * 5000, "4111111111111111", "DE89370400440532013000 "]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (3, 30, 300, 1500)] + ["1.2.3.4" + "y" * 4089, "y" * 4096 + "1.2.3.4", "z" * 4090 + " 1.2.3.4 " + "z" * 8192 + "1.2.3.4"]
+    df = rows(spark, texts)
+    found = {r.doc_id: r.pii for r in pii.find_pii(df).collect()}
+    for r in pii.mask_pii(df).collect():
+        assert r.text == masked(texts[r.doc_id], found[r.doc_id])
+
+
+def test_a_megabyte_of_addresses(spark):
+    text = "1.2.3.4 some words here " * 43_700
+    df = rows(spark, [text])
+    began = time.perf_counter()
+    (n,) = df.transform(pii.find_pii).select(F.size("pii")).first()
+    (out,) = pii.mask_pii(df).select("text").first()
+    assert n == 43_700 and out == "[IP] some words here " * 43_700
+    assert time.perf_counter() - began < 20
