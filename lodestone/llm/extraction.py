@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -46,7 +46,7 @@ from lodestone.llm.common import fresh, sliced, table
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 #: Names of a state or a topic, not of what an element is: has-sidebar, comments-open, tag-ads.
 _STATE = re.compile(r"(?:has|no|with|without|is|not|tag|category)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible)")
@@ -84,10 +84,10 @@ NAMED = -2.0
 
 @dataclass
 class Block:
-    """``path``: the containers around the text, by number; ``said``: what their names say; ``tag``: the innermost."""
+    """``node``: the innermost container around the text, by number; ``said``: what the names of all of them say; ``tag``: the innermost."""
 
     text: str
-    path: tuple[int, ...]
+    node: int
     said: float
     tag: str
     inside: bool
@@ -134,60 +134,76 @@ def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
     return said, back
 
 
-def _take_back(blocks: list[Block], own: dict[int, tuple[str, float, float]]) -> None:
-    """Takes back what names and forms say that lie around the page's main part; ``own``: tag and evidence of each container."""
-    held: dict[int, int] = {}
-    under: dict[int, set[int]] = {}
+def _take_back(blocks: list[Block], own: list[tuple[str, float, float]], parent: list[int]) -> None:
+    """Takes back what names and forms say that lie around the page's main part.
+
+    ``own``: tag and evidence of each container, ``parent``: the one around it; a container's number is above its parent's.
+    """
+    held = [0] * len(own)
     size = [len(b.text) - b.linked if len(b.text) >= PROSE else 0 for b in blocks]
-    parents: dict[int, int] = {}
     for b, n in zip(blocks, size, strict=True):
-        for a, x in zip((0, *b.path), b.path, strict=False):
-            held[x] = held.get(x, 0) + n
-            if x not in parents and x:
-                parents[x] = a
-                under.setdefault(a, set()).add(x)
+        held[b.node] += n
+    for x in range(len(own) - 1, 0, -1):
+        held[parent[x]] += held[x]
+    largest = [0] * len(own)  # the child that holds most
+    for x in range(len(own) - 1, 0, -1):
+        if not largest[parent[x]] or held[x] > held[largest[parent[x]]]:
+            largest[parent[x]] = x
     changed = False
     for tag in ("article", "main", ""):
-        top = max((x for x in held if own[x][0] == tag), key=held.__getitem__, default=None)
-        if top is None or not held[top]:
+        top = max((x for x in range(len(own)) if own[x][0] == tag and held[x]), key=held.__getitem__, default=None)
+        if top is None:
             continue
         # from the page down to the main part, and on to what holds most of it
         chain = [top]
-        while chain[0]:
-            chain.insert(0, parents[chain[0]])
-        while (below := max(under.get(chain[-1], ()), key=held.__getitem__, default=None)) is not None and 2 * held[below] > held[chain[-1]]:
+        while chain[-1]:
+            chain.append(parent[chain[-1]])
+        chain.reverse()
+        while (below := largest[chain[-1]]) and 2 * held[below] > held[chain[-1]]:
             chain.append(below)
         if not any(own[x][2] < 0 for x in chain):
             continue
-        level = {x: i for i, x in enumerate(chain)}
+        # where the way to each container leaves the chain, and whether nothing on it then is boilerplate
+        level, plain = [0] * len(own), [True] * len(own)
+        on = {x: i for i, x in enumerate(chain)}
+        for x in range(1, len(own)):
+            if x in on:
+                level[x] = on[x]
+            else:
+                level[x], plain[x] = level[parent[x]], plain[parent[x]] and own[x][1] >= 0
         beside = [0] * len(chain)  # text that leaves the chain at each of its containers
         for b, n in zip(blocks, size, strict=True):
-            i = max(level.get(x, 0) for x in b.path)
-            if n and all(own[x][1] >= 0 for x in b.path[i + 1 :]):
-                beside[i] += n
-        for i, x in enumerate(chain):
+            if n and plain[b.node]:
+                beside[level[b.node]] += n
+        outside, within = 0, sum(beside)
+        for x, n in zip(chain, beside, strict=True):
             kind, said, back = own[x]
-            outside, within = sum(beside[:i]), sum(beside[i:])
             if back < 0 and outside < min(OUTSIDE, OUTSIDE_SHARE * within):
                 own[x] = kind, said - back, 0.0
                 changed = True
+            outside, within = outside + n, within - n
     if changed:
+        said = [own[0][1]]
+        for x in range(1, len(own)):
+            said.append(said[parent[x]] + own[x][1])
         for b in blocks:
-            b.said = max(-60.0, sum(own[x][1] for x in b.path))
+            b.said = max(-60.0, said[b.node])
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page, white space and character references resolved, empty ones left out."""
+def blocks_of(html: str) -> tuple[list[Block], list[int]]:
+    """The text blocks of a page, white space and character references resolved, empty ones left out; and the parent of each container."""
     out: list[Block] = []
-    own: dict[int, tuple[str, float, float]] = {0: ("", 0.0, 0.0)}
+    own: list[tuple[str, float, float]] = [("", 0.0, 0.0)]
+    parent: list[int] = [0]
     # containers around the place reached: tag, number, evidence of all so far, whether in an article or main
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
     parts: list[str] = []
-    number, linked, link_from, at = 0, 0, -1, 0
+    linked, link_from, at, size = 0, -1, 0, 0
+    open_tags: Counter[str] = Counter()  # of the stack: what isn't open needn't be looked for
     nested: dict[int, int] = {}  # inline elements of the same kind open in one that is a block
 
     def flush() -> None:
-        nonlocal linked, link_from
+        nonlocal linked, link_from, size
         if parts:
             text = "".join(parts)
             if link_from >= 0:
@@ -195,16 +211,33 @@ def blocks_of(html: str) -> list[Block]:
                 link_from = 0
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                tag, _, said, inside = stack[-1]
-                out.append(Block(text, tuple(x[1] for x in stack), said, tag, inside, linked))
+                tag, node, said, inside = stack[-1]
+                out.append(Block(text, node, said, tag, inside, linked))
             parts.clear()
-            linked = 0
+            linked = size = 0
+
+    def opened(tag: str, evidence: tuple[float, float], inside: bool) -> int:
+        _, node, said, _ = stack[-1]
+        own.append((tag, *evidence))
+        parent.append(node)
+        stack.append((tag, len(own) - 1, max(-60.0, said + evidence[0]), inside))
+        open_tags[tag] += 1
+        return len(own) - 1
+
+    def closed(k: int) -> None:
+        for x in stack[k:]:
+            open_tags[x[0]] -= 1
+        del stack[k:]
+
+    def innermost(tag: str) -> int:
+        return next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag) if open_tags[tag] else 0
 
     for m in _TAG.finditer(html):
         if m.start() < at:
             continue
         if m.start() > at:
             parts.append(html[at : m.start()])
+            size += m.start() - at
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -217,23 +250,18 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if k := innermost(tag):
+                    closed(k)
             elif tag not in VOID:
                 if tag in ("p", "li", "td", "tr", "dt", "dd"):
                     while stack[-1][0] in ("p", tag):
-                        stack.pop()
-                number += 1
-                _, _, said, inside = stack[-1]
-                own[number] = tag, *_evidence(tag, attributes, inside)
-                said = max(-60.0, said + own[number][1])
-                stack.append((tag, number, said, inside or tag in ("article", "main")))
+                        closed(len(stack) - 1)
+                inside = stack[-1][3]
+                opened(tag, _evidence(tag, attributes, inside), inside or tag in ("article", "main"))
         elif tag == "br":
             parts.append(" ")
+            size += 1
         elif tag == "a":
-            size = sum(map(len, parts))
             if closing:
                 if link_from >= 0:
                     linked += size - link_from
@@ -245,32 +273,28 @@ def blocks_of(html: str) -> list[Block]:
             flush()
             if closing:
                 if stack[-1][0] == tag:
-                    stack.pop()
+                    closed(len(stack) - 1)
             elif tag != "input":
-                number += 1
-                own[number] = tag, -12.0, 0.0
-                stack.append((tag, number, stack[-1][2] - 12.0, stack[-1][3]))
+                opened(tag, (-12.0, 0.0), stack[-1][3])
         elif tag in INLINE:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0) if nested else 0
+            k = innermost(tag) if nested else 0
             if closing:
                 if k and nested[stack[k][1]]:
                     nested[stack[k][1]] -= 1
                 elif k:
                     flush()
-                    del stack[k:]
+                    closed(k)
             elif attributes and (found := _evidence(tag, attributes, stack[-1][3]))[0] < 0:
                 flush()
-                number += 1
-                own[number], nested[number] = (tag, *found), 0
-                stack.append((tag, number, max(-60.0, stack[-1][2] + found[0]), stack[-1][3]))
+                nested[opened(tag, found, stack[-1][3])] = 0
             elif k:
                 nested[stack[k][1]] += 1
     if at < len(html):
         parts.append(html[at:])
     flush()
-    if any(back < 0 for _, _, back in own.values()):
-        _take_back(out, own)
-    return out
+    if any(back < 0 for _, _, back in own):
+        _take_back(out, own, parent)
+    return out, parent
 
 
 _ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
@@ -296,21 +320,24 @@ def classify(blocks: list[Block]) -> None:
         b.cost_boilerplate = math.log1p(math.exp(score))
 
 
-def ties_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
+def ties_of(blocks: list[Block], parent: list[int]) -> dict[tuple[int, int], float]:
     """Edges between blocks: (earlier, later) to weight."""
     ties: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     like = lambda a, b: UNLIKE if a.inside != b.inside or (a.said <= NAMED) != (b.said <= NAMED) else 1.0
     for i, b in enumerate(blocks):
         if i:
-            p, q = blocks[i - 1].path, b.path
-            common = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
-            ties[i - 1, i] = ADJACENT / (1 + len(p) + len(q) - 2 * common) * like(blocks[i - 1], b)
-        parent = b.path[-2] if len(b.path) > 1 else b.path[-1]
-        if parent in last:
-            pair = last[parent], i
+            # up from both to where they meet: over a page as many steps as it has containers, as blocks come in its order
+            x, y, steps = blocks[i - 1].node, b.node, 0
+            while x != y:
+                x, y, steps = max(x, y), min(x, y), steps + 1
+                x = parent[x]
+            ties[i - 1, i] = ADJACENT / (1 + steps) * like(blocks[i - 1], b)
+        around = parent[b.node]
+        if around in last:
+            pair = last[around], i
             ties[pair] = ties.get(pair, 0.0) + SIBLING / (1 + i - pair[0]) * like(blocks[pair[0]], b)
-        last[parent] = i
+        last[around] = i
     return ties
 
 
@@ -392,11 +419,11 @@ def _max_flow(nodes: list[int], balance: list[float], near: list[dict[int, float
 
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by spaces."""
-    blocks = blocks_of(html) if html else []
+    blocks, parent = blocks_of(html) if html else ([], [])
     if not blocks:
         return ""
     classify(blocks)
-    content = min_cut([b.cost_boilerplate for b in blocks], [b.cost_content for b in blocks], ties_of(blocks))
+    content = min_cut([b.cost_boilerplate for b in blocks], [b.cost_content for b in blocks], ties_of(blocks, parent))
     return " ".join(b.text for b, yes in zip(blocks, content, strict=True) if yes)
 
 

@@ -1,8 +1,11 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
+import pytest
+
 from lodestone.llm import extraction as ex
 
 
@@ -81,10 +84,10 @@ LONG = "This paragraph of the article is long enough to be prose, and it goes on
 
 def cut_changes(html):
     """Blocks whose label the cut changes, with their new one."""
-    blocks = ex.blocks_of(html)
+    blocks, parent = ex.blocks_of(html)
     ex.classify(blocks)
     alone = [b.cost_boilerplate > b.cost_content for b in blocks]
-    cut = ex.min_cut([b.cost_boilerplate for b in blocks], [b.cost_content for b in blocks], ex.ties_of(blocks))
+    cut = ex.min_cut([b.cost_boilerplate for b in blocks], [b.cost_content for b in blocks], ex.ties_of(blocks, parent))
     return [(b.text, new) for b, old, new in zip(blocks, alone, cut, strict=True) if old != new]
 
 
@@ -134,3 +137,26 @@ def test_comments_by_joined_and_foreign_names():
     for name in ("commentary", "adaptation", "Advice", "relatedness", "body-text", "mainContent", "sharepoint"):
         page = f"<body><main><h1>T</h1><p>{said}</p><div class='{name}'><p>{other}</p></div></main></body>"
         assert ex.main_text(page) == f"T {said} {other}", name
+
+
+def test_pages_nested_very_deep():
+    began = time.perf_counter()
+    assert len(ex.main_text("<div>word " * 100_000).split()) in (0, 100_000)
+    ex.main_text("<div>x" * 30_000 + "</p></b></section>" * 30_000)
+    ex.main_text("<article><form>" + "<p>some words that are long enough to be read as prose <br>" * 20_000)
+    assert time.perf_counter() - began < 30
+
+
+def test_ties_fall_with_the_distance_in_the_tree():
+    blocks, parent = ex.blocks_of("<div><p>one</p><p>two</p><section><div><p>three</p></div></section></div><p>four</p>")
+    assert [b.text for b in blocks] == ["one", "two", "three", "four"]
+
+    def way(x):
+        return way(parent[x]) | {x} if x else {0}
+
+    ties = ex.ties_of(blocks, parent)
+    sums = {}
+    for a, b in zip(range(3), range(1, 4), strict=True):
+        sums[a, b] = ex.ADJACENT / (1 + len(way(blocks[a].node) ^ way(blocks[b].node)))
+    for pair, least in sums.items():
+        assert ties[pair] == pytest.approx(least + (ex.SIBLING / 2 if pair == (0, 1) else 0))
