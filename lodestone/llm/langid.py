@@ -19,26 +19,34 @@ input stay and the new ones take names that are free.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import fresh, sliced, table
 
-#: The training sample: texts of each language, and how many bytes of a text are learned from.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 50_000
+#: The training sample: labelled texts in all, those of a language at most, and those
+#: it may have where there are too many languages for that; so at most
+#: LABELLED_ROWS / LEAST_ROWS languages are learned, the most frequent ones.
+LABELLED_ROWS, SAMPLE_ROWS, LEAST_ROWS = 4000, 400, 16
+#: Characters of a text that are learned from, in so many pieces from all over the text.
+SAMPLE_CHARS, PIECES = 12_000, 8
 BUCKETS, DIM = 1 << 15, 16
 EPOCHS, RATE, BATCH = 12, 20.0, 16
 #: Share of accepted predictions that must be right on the validation part.
 ACCEPT = 0.99
 TABLE_ROWS, KEPT_CHARS = 200_000, 64
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of the Unicode categories L*."""
+    return any(c.isalpha() for c in text)
 
 
 def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,26 +199,35 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model | None:
-    """A model of the rows that aren't held out, from at most ``rows`` texts a language; of longer texts the first ``size`` bytes are learned from.
+def _pieces(text: str, chars: int) -> Column:
+    """At most about ``chars`` characters of ``text``: all of a text that isn't longer, else pieces from evenly spaced places, the first and last parts among them."""
+    size, part = F.length(text), chars // PIECES
+    starts = [F.floor((size - part) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    return F.when(size <= chars, F.col(text)).otherwise(F.concat_ws(" ", *[F.substring(F.col(text), s, F.lit(part)) for s in starts]))
+
+
+def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", total: int = LABELLED_ROWS, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
+    """A model of the rows that aren't held out, from at most ``total`` texts and ``rows`` a language, ``chars`` characters of each.
 
-    Prediction reads whole texts.
+    Where the languages are so many that each would get fewer than LEAST_ROWS
+    texts, the most frequent are learned (ties by name).  Prediction reads whole texts.
     """
     spark = df.sparkSession
     open_rows = df.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = open_rows.groupBy("lang").count().collect()
+    counts = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, total // LEAST_ROWS)).collect()
     if not counts:
         return None
+    quota = min(rows, max(1, total // len(counts)))
     # by a hash of the key, somewhat more than asked for; the rest is cut below
-    shares = spark.createDataFrame([(r.lang, min(1.0, 1.5 * rows / r["count"])) for r in counts], "lang string, share double")
+    shares = spark.createDataFrame([(r.lang, min(1.0, 1.5 * quota / r["count"])) for r in counts], "lang string, share double")
     drawn = F.pmod(F.xxhash64("k", F.octet_length("text")), F.lit(1 << 20)) / F.lit(1 << 20)
     sample = open_rows.join(F.broadcast(shares), "lang").withColumn("draw", drawn).where("draw < share")
-    # a code point has four bytes at most
-    sample = sample.withColumn("text", F.when(F.octet_length("text") > size, F.substring("text", 1, size // 4)).otherwise(F.col("text")))
     by_lang: dict[str, list] = {}
-    for r in sample.select("lang", "draw", "k", "text").collect():
+    # copies of one row draw alike, so the cut is made in the plan too: what comes to the driver has a bound
+    first = sample.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("draw", "k"))).where(F.col("at") <= quota)
+    for r in first.select("lang", "draw", "k", _pieces("text", chars).alias("text")).collect():
         by_lang.setdefault(r.lang, []).append((r.draw, str(r.k), r.text))
-    chosen = [(x[2], name) for name, xs in sorted(by_lang.items()) for x in sorted(xs)[:rows] if _LETTER.search(x[2])]
+    chosen = [(x[2], name) for name, xs in sorted(by_lang.items()) for x in sorted(xs) if has_letter(x[2])]
     return train([t for t, _ in chosen], [n for _, n in chosen]) if chosen else None
 
 
@@ -227,7 +244,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", out: str =
         for batch in sliced(batches, at):
             texts = batch.column(at).to_pylist()
             made = [{"lang": "und", "score": 0.0, "accepted": False} for _ in texts]
-            seen = [i for i, t in enumerate(texts) if words and t and _LETTER.search(t)]
+            seen = [i for i, t in enumerate(texts) if words and t and has_letter(t)]
             if seen:
                 best, score = words.predict([texts[i] for i in seen])
                 for i, b, s in zip(seen, best.tolist(), score.tolist(), strict=True):

@@ -84,7 +84,31 @@ def test_ties_long_texts_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "any words", "x")], "i int, text string, language string")
     found = langid.identify(df, model)
     assert found.columns[-1] == "_language" and found.first()._language.lang == "aa"
-    # a language that has long texts only is learned too, and there is no bound on languages
+    # a language that has long texts only is learned too
     rows = [(i, f"{name}word{name} " * 6000, name) for i in range(40) for name in ("qa", "zb")] + [(1000 + i, f"l{i}l{i} k{i}", f"lang{i}") for i in range(300)]
     assert set(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) >= {"qa", "zb"}
     assert len(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) > 200
+
+
+def test_letters(spark):
+    texts = ["½", "²", "①", "Ⅷ", "१२", "_ 7", "ª", "ʰ", "中", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = langid.Model(["aa"], np.zeros((langid.BUCKETS, 1)), np.zeros(1))
+    got = [r.language.lang for r in langid.identify(df, model).orderBy("doc_id").collect()]
+    assert got == ["und"] * 6 + ["aa"] * 4
+
+
+def test_labels_without_end(spark):
+    # a language for each text: no more are learned than the bound on labelled rows allows
+    df = spark.range(50_000).selectExpr("id AS doc_id", "concat('word', id, ' text') AS text", "CASE WHEN id % 2 = 0 THEN 'most' ELSE concat('lang', id) END AS lang")
+    model = langid.learn(df, total=320)
+    assert len(model.langs) <= 20 and "most" in model.langs
+
+
+def test_pieces_come_from_all_over_a_text(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    df = spark.createDataFrame([(text,), (text[:12_000],), ("short",), ("",)], "text string")
+    whole, edge, short, empty = (r[0] for r in df.select(langid._pieces("text", 12_000)).collect())
+    assert len(whole) == 12_007 and whole[0] == text[0] and whole[-1] == text[-1]
+    assert {text.index(p[0]) // 2_500 for p in whole.split(" ")} == set(range(8))
+    assert (edge, short, empty) == (text[:12_000], "short", "")
