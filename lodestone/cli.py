@@ -63,7 +63,7 @@ def _index(argv: list[str]) -> None:
     args = parser.parse_args(argv)
     root = os.path.abspath(args.root)
     run = Index(session(), root, args.model).update(load_config(root), args.subdir, args.force)
-    print(f"changed={run.changed_files} unchanged={run.unchanged_files} deleted={run.deleted_files} new_chunks={run.new_chunks}")
+    print(f"changed={run.changed_files} unchanged={run.unchanged_files} deleted={run.deleted_files} new_chunks={run.new_chunks} rewritten={run.rewritten_buckets}/{run.buckets}")
     for error in run.parse_errors[:20]:
         print(f"  {error}")
 

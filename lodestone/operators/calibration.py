@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import order_blocks, running_sums
+
 #: Fixed percentiles of a report.
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 #: Counts that a report lists.
@@ -16,10 +17,13 @@ TOP = 15
 
 
 def _cumulative(values: DataFrame, column: str) -> DataFrame:
-    """(value, upto, total): distinct values with how many are not greater; the histogram is what is sorted, not the rows."""
+    """(value, upto, total): distinct values with how many are not greater.
+
+    The histogram is what is sorted, not the rows, and in blocks, so that no task sees all of it.
+    """
     histogram = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    return histogram.select("value", F.sum("n").over(W.orderBy("value")).alias("upto"), total.alias("total"))
+    upto = running_sums(order_blocks(histogram, ["value"], "block"), "n", ["value"], [], "block", "upto")
+    return upto.select("value", "upto").join(F.broadcast(histogram.agg(F.sum("n").alias("total"))))
 
 
 def percentiles(values: DataFrame, column: str = "n", wanted: Sequence[int] = PERCENTILES) -> DataFrame:

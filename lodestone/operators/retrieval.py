@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import ascii_lower, chunk_literals, contains_folded
 from lodestone.functions.vectors import cosine_distance
+from lodestone.operators.ranking import ranked
 
 #: Fixed defaults of a search.
 POOL, PER_MODULE, MARGIN = 600, 3, 0.15
@@ -17,6 +18,8 @@ LITERAL_LIMIT, LINKS_PER_LITERAL = 15, 3
 LITERAL_NOISE, IMPORT_NOISE = 30, 15
 #: Up to this many literals, all are tested against a text where it is read; beyond it they are joined by trigrams.
 SCANNED_LITERALS = 512
+#: Rows of a similarity ranking that are shown for each query.
+RANKED = 20
 
 
 # ---- nearest neighbours --------------------------------------------------------------------
@@ -88,12 +91,18 @@ def json_literal_search(entries: DataFrame, query: str) -> DataFrame:
     return entries.where(hit).orderBy(F.length("value"), "file_path", "key_path")
 
 
-def similarity_ranking(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, key, distance, rank): for each query (id, vector) all other rows from the nearest on; ties by key."""
+def similarity_ranking(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], key: str = "vec_id", embedding: str = "embedding", top: int | None = RANKED) -> DataFrame:
+    """(query_id, key, distance, rank): for each query (id, vector) the ``top`` nearest other rows, or all with None; ties by key.
+
+    The nearest are found by a top-k within each task; all of them are ranked in
+    blocks of neighbours, so no task holds a query's whole ranking.
+    """
     listed = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in q]).alias("q")) for i, q in queries])
     each = vectors.withColumn("_q", F.explode(listed)).where(F.col(key) != F.col("_q.query_id"))
     each = each.select("_q.query_id", key, cosine_distance(F.col(embedding), F.col("_q.q")).alias("distance"))
-    return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", key)))
+    if top is None:
+        return ranked(each, ["distance", key], ["query_id"]).withColumn("rank", F.col("rank").cast("int"))
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= top)
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -135,15 +144,15 @@ def literal_counts(chunks: DataFrame, literals: DataFrame) -> DataFrame:
     return substring_join(both, literals).groupBy("literal").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cross_layer_links(found: DataFrame, chunks: DataFrame, per_literal: int = LINKS_PER_LITERAL, noise: int = LITERAL_NOISE, literals_each: int = 4, key: str = "chunk_id") -> DataFrame:
+def cross_layer_links(found: DataFrame, chunks: DataFrame, per_literal: int = LINKS_PER_LITERAL, noise: int = LITERAL_NOISE, literals_each: int = 4, key: str = "chunk_id", join: Callable[[DataFrame, DataFrame], DataFrame] = substring_join) -> DataFrame:
     """For chunks that were found: chunks of other layers with the same quoted literal.
 
-    Both have (key, layer, name, text).  Literals in more than ``noise`` chunks
+    Both have (key, layer, name, text); ``join`` finds the literals in (match_id, match_layer, text).  Literals in more than ``noise`` chunks
     say nothing and are dropped; each link keeps its ``per_literal`` shortest.
     """
     sources = found.select(F.col(key).alias("source_id"), F.col("layer").alias("source_layer"), F.posexplode(chunk_literals(F.col("text"), literals_each)).alias("pos", "literal"))
     both = chunks.select(F.col(key).alias("match_id"), F.col("layer").alias("match_layer"), F.length("text").alias("_len"), F.concat_ws("\x00", "name", "text").alias("text"))
-    hits = substring_join(both, sources.select("literal").distinct()).select("literal", "match_id", "match_layer", "_len")
+    hits = join(both, sources.select("literal").distinct()).select("literal", "match_id", "match_layer", "_len")
     # counted with partial sums first: a literal that all chunks have is dropped before its rows meet
     rare = hits.groupBy("literal").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= noise).select("literal")
     links = sources.join(hits.join(rare, "literal"), "literal").where("source_layer <> match_layer")

@@ -8,6 +8,7 @@ chunks, ``embeddings`` for their vectors, ``lineitem`` for import edges,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths
 from lodestone.functions.text import chunk_literals, contains_folded, query_tokens, snippet
 from lodestone.functions.vectors import cosine_distance
-from lodestone.operators import calibration, graph, maintenance, resolution, retrieval
+from lodestone.operators import buckets, calibration, gram_index, graph, maintenance, pivots, resolution, retrieval
+from lodestone.shared import new_path
 from lodestone.sources.json_tree import with_chunks, with_leaves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +64,14 @@ def knn_topk(spark, sf_dir):
     return retrieval.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@register(ORACLE_SQL["knn_topk"])
+def knn_pruned(spark, sf_dir):
+    """The same from a table by pivots, of which only ranges that can be near are read."""
+    path = new_path(spark, "pivots")
+    pivots.write_vectors(_vectors(spark, sf_dir), path, key="vec_id")
+    return pivots.nearest_pruned(spark, path, _query(spark, sf_dir), key="vec_id")[0].select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @register(f"WITH {_TOP} SELECT layer, module, vec_id, round(distance, 6) AS distance, rn::INT AS rn FROM top WHERE rn <= 3")
 def layered_topk(spark, sf_dir):
     pool = retrieval.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), key="vec_id")
@@ -86,7 +96,7 @@ def layers_with_empty(spark, sf_dir):
 d AS (SELECT query_id, vec_id, 1 - list_dot_product(embedding::DOUBLE[], q) AS distance FROM embeddings, q WHERE vec_id <> query_id)
 SELECT query_id, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d""")
 def similarity_ranking(spark, sf_dir):
-    found = retrieval.similarity_ranking(read(spark, sf_dir, "embeddings"), [(i, _query(spark, sf_dir, i)) for i in (0, 1)])
+    found = retrieval.similarity_ranking(read(spark, sf_dir, "embeddings"), [(i, _query(spark, sf_dir, i)) for i in (0, 1)], top=None)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -139,6 +149,16 @@ def literal_search_ranked(spark, sf_dir):
     return retrieval.literal_search(_chunks(spark, sf_dir), tokens, key="doc_id").select("doc_id", "file_path", "token", "rank")
 
 
+@register(ORACLE_SQL["literal_search_ranked"])
+def literal_search_indexed(spark, sf_dir):
+    """The same by stored postings: only chunks that hold the rarest run of a token are tested."""
+    tokens = spark.range(1).select(query_tokens(F.lit(QUESTION)).alias("t")).first().t
+    chunks, path = _chunks(spark, sf_dir), new_path(spark, "postings")
+    gram_index.write_postings(gram_index.postings(chunks, ("name", "text", "file_path"), "doc_id"), path)
+    held = gram_index.candidates(lambda wanted: gram_index.read_postings(spark, path, wanted), tokens, "doc_id")
+    return retrieval.literal_search(chunks.join(held, "doc_id", "left_semi"), tokens, key="doc_id").select("doc_id", "file_path", "token", "rank")
+
+
 NEEDLES = ["%", "_", "TOKEN", "É", "license, VERSION", "\\"]
 
 
@@ -194,6 +214,18 @@ def cross_layer_links(spark, sf_dir):
     return retrieval.cross_layer_links(chunks, chunks, key="page_id").select("source_id", "literal", "match_id", "match_layer", "rn")
 
 
+@register(ORACLE_SQL["cross_layer_links"])
+def cross_layer_links_indexed(spark, sf_dir):
+    """The same by stored postings."""
+    layer = F.regexp_extract("url", "/([a-z][a-z])/", 1)
+    chunks = read(spark, sf_dir, "pages").select("page_id", layer.alias("layer"), F.lit("").alias("name"), F.col("html").alias("text"))
+    path = new_path(spark, "postings")
+    gram_index.write_postings(gram_index.postings(chunks, ("text",), "page_id"), path)
+    found = gram_index.read_postings(spark, path).withColumnRenamed("page_id", "match_id")
+    links = retrieval.cross_layer_links(chunks, chunks, key="page_id", join=partial(gram_index.indexed_join, found, key="match_id"))
+    return links.select("source_id", "literal", "match_id", "match_layer", "rn")
+
+
 # ---- graph and calibration -----------------------------------------------------------------
 
 
@@ -313,6 +345,19 @@ def index_statistics(spark, sf_dir):
     return maintenance.diff_stats(_diff(spark, sf_dir))
 
 
+@register("""SELECT doc_id::VARCHAR AS path, CASE WHEN toxic = 1 THEN '[toxic] ' || text ELSE text END AS text, n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 0""")
+def bucket_update(spark, sf_dir):
+    """A table in buckets after an update: what is labelled as poor goes, what is toxic changes."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "n_chars")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), "quality", "toxic")
+    path, schema = new_path(spark, "bucket-update"), "path string, text string, n_chars long"
+    count = buckets.bucket_count(docs.count())
+    buckets.write_table(docs, path, "path", count)
+    gone, changed = labels.where("quality = 0"), labels.where("toxic = 1 AND quality = 1")
+    buckets.replace_rows(spark, path, schema, "path", count, gone, docs.join(changed, "path", "left_semi").withColumn("text", F.concat(F.lit("[toxic] "), "text")))
+    return buckets.read_table(spark, path, schema, "path")
+
+
 @register("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def dedupe_latest(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")

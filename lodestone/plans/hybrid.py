@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from lodestone.config import ProjectConfig
 from lodestone.functions.text import query_tokens, snippet
 from lodestone.functions.vectors import load_embedder, prefixes
-from lodestone.operators import retrieval
+from lodestone.operators import gram_index, retrieval
 from lodestone.store import Index
 
 _HEAD = ("chunk_id", "file_path", "start_line", "end_line", "node_type", "name", "layer")
@@ -21,7 +22,10 @@ def search_hybrid(index: Index, query: str, config: ProjectConfig, k: int = retr
     chunks = tables["chunks"]
     vector = load(index.model)([prefixes(index.model)[0] + query])[0].tolist()
     tokens = spark.range(1).select(query_tokens(F.lit(query)).alias("t")).first().t
-    literal = retrieval.literal_search(chunks, tokens, literal_limit).select(*_HEAD, "token", "rank").collect()
+    # only chunks that hold the rarest run of a token are read for it
+    indexed = index.postings() is not None
+    held = gram_index.candidates(index.postings, tokens, "chunk_id") if indexed and tokens else None
+    literal = retrieval.literal_search(chunks if held is None else chunks.join(held, "chunk_id", "left_semi"), tokens, literal_limit).select(*_HEAD, "token", "rank").collect()
     entries = retrieval.json_literal_search(tables["json_entries"], query).collect()
     near = retrieval.search_by_layers(chunks, vector, config.layers, k)
     near = near.withColumn("snippet", snippet(F.col("text"))).orderBy("layer_ord", "module", "rn").drop("embedding").collect()
@@ -37,7 +41,9 @@ def search_hybrid(index: Index, query: str, config: ProjectConfig, k: int = retr
     ids = [r.chunk_id for r in near if r.chunk_id is not None]
     if ids:
         text = chunks.select("chunk_id", "layer", "name", "text")
-        pairs = retrieval.cross_layer_links(text.where(F.col("chunk_id").isin(ids)), text, noise=config.literal_noise_threshold)
+        found = index.postings().withColumnRenamed("chunk_id", "match_id") if indexed else None
+        join = partial(gram_index.indexed_join, found, key="match_id") if indexed else retrieval.substring_join
+        pairs = retrieval.cross_layer_links(text.where(F.col("chunk_id").isin(ids)), text, noise=config.literal_noise_threshold, join=join)
         there = chunks.select(F.col("chunk_id").alias("match_id"), "file_path", "start_line", "end_line", "node_type", "name")
         links = pairs.join(there, "match_id").orderBy("source_id", "pos", "rn").collect()
     return {"literal": literal, "json_literal": entries, "by_layer": near, "imports": expanded, "links": links}

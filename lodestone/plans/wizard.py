@@ -23,6 +23,7 @@ LAYERS = {
     "constants": (["constants", "consts"], ["constants.py", "consts.py"]),
     "daemons": (["daemons", "workers", "jobs", "cron", "tasks"], ["tasks.py", "jobs.py", "cron.py", "worker.py", "workers.py"]),
 }
+#: The same for trees with Rust, and for trees with C or C++.
 RUST_LAYERS = {"tests": (["tests"], []), "examples": (["examples"], []), "benches": (["benches"], []), "commands": (["commands", "handlers"], ["commands.rs", "handlers.rs"])}
 C_LAYERS = {
     "include": (["include", "inc", "public"], []),
@@ -43,59 +44,77 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 
-def _names(tree: DataFrame, wanted: set[str], folders: bool) -> dict[str, str]:
-    """Which of the wanted names occur, as they are spelled at their first place."""
+#: Groups of layers in the order of a draft, and the languages a tree must have for a group, if any.
+GROUPS = ((LAYERS, ()), (RUST_LAYERS, ("Rust",)), ({}, ("Rust",)), (C_LAYERS, ("C", "C++")))
+#: The group that the binaries of crates stand for.
+BINARIES = 2
+#: Catalogs that a draft lists.
+MAX_CATALOGS = 10_000
+PLACEHOLDER = "there are .jsx or .tsx files, but no directory with a usual name: fill in its name"
+
+
+def _usual(spark: SparkSession) -> DataFrame:
+    """(kind, low, grp, place, layer, nth): every usual name with the layer it speaks for."""
+    rows = [
+        (kind, name, grp, place, layer, nth)
+        for grp, (table, _) in enumerate(GROUPS)
+        for place, (layer, both) in enumerate(table.items())
+        for kind, names in zip(("dirs", "files"), both, strict=True)
+        for nth, name in enumerate(names)
+    ]
+    rows += [("dirs", name, None, None, None, nth) for nth, name in enumerate(TRANSLATION_DIRS)]
+    return spark.createDataFrame(rows, "kind string, low string, grp int, place int, layer string, nth int")
+
+
+def _named(tree: DataFrame) -> DataFrame:
+    """(kind, low, name): directories and files near the root, as they are spelled at their first place."""
     parts = paths.parts(F.col("path"))
-    near = tree.where(F.size(parts) <= MAX_DEPTH) if not folders else tree
-    names = F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(MAX_DEPTH))) if folders else F.array(F.element_at(parts, -1))
-    each = near.select("path", F.explode(names).alias("name")).where(F.lower("name").isin(sorted(wanted)))
-    return {r.low: r.name for r in each.groupBy(F.lower("name").alias("low")).agg(F.min_by("name", "path").alias("name")).collect()}
+    folders = F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(MAX_DEPTH)))
+    file = F.when(F.size(parts) <= MAX_DEPTH, F.array(F.element_at(parts, -1))).otherwise(F.array())
+    each = F.concat(F.transform(folders, lambda n: F.struct(F.lit("dirs").alias("kind"), n.alias("name"))), F.transform(file, lambda n: F.struct(F.lit("files").alias("kind"), n.alias("name"))))
+    return tree.select("path", F.inline(each)).groupBy("kind", F.lower("name").alias("low")).agg(F.min_by("name", "path").alias("name"))
+
+
+def _allowed(languages: list[str]) -> list[int]:
+    return [grp for grp, (_, needed) in enumerate(GROUPS) if not needed or set(needed) & set(languages)]
 
 
 def suggest_config(tree: DataFrame) -> dict:
-    """The draft for a tree of (path, content)."""
-    tree = tree.persist()
+    """The draft for a tree of (path, content).
+
+    All usual names meet the names of the tree in one join; a layer's directories
+    and files are gathered from it, and the binaries of crates are further rows in
+    the order that the groups give.
+    """
+    spark, tree = tree.sparkSession, tree.persist()
     try:
-        tables = [LAYERS, RUST_LAYERS, C_LAYERS]
-        dirs = _names(tree, {d for t in tables for ds, _ in t.values() for d in ds} | set(TRANSLATION_DIRS), True)
-        files = _names(tree, {f for t in tables for _, fs in t.values() for f in fs}, False)
-        seen = {r[0] for r in tree.select(paths.suffix(F.col("path"))).distinct().collect()}
-        languages = sorted(n for n, ends in LANGUAGES.items() if seen & set(ends))
-
-        def matched(table: dict) -> list[dict]:
-            found = [{"name": n, "dirs": [dirs[d] for d in ds if d in dirs], "files": [files[f] for f in fs if f in files]} for n, (ds, fs) in table.items()]
-            return [x for x in found if x["dirs"] or x["files"]]
-
-        layers = matched(LAYERS)
-        if not any(x["name"] == "frontend" for x in layers) and seen & {".jsx", ".tsx"}:
-            layers.insert(0, {"name": "frontend", "dirs": [], "files": [], "_comment": "there are .jsx or .tsx files, but no directory with a usual name: fill in its name"})
-        modules: list[dict] = []
-        nested = False
-        if "Rust" in languages:
-            layers += matched(RUST_LAYERS)
-            rows = cargo_targets(tree.where(paths.basename(F.col("path")) == "Cargo.toml")).orderBy("path").collect()
-            layers += [{"name": r.bin, "dirs": [], "files": [r.file]} for r in rows if r.bin]
-            nested = any(r.crate and "/" in r.path for r in rows)
-        if {"C", "C++"} & set(languages):
-            layers += matched(C_LAYERS)
-        if "C" in languages:
-            found = cmake_modules(tree.where(paths.basename(F.col("path")) == "CMakeLists.txt"), tree).orderBy("target").collect()
-            modules = [{"name": r.target, "dirs": [], "files": r.sources} for r in found]
-        folder = F.element_at(paths.parts(F.col("path")), -2)
-        places = [dirs[d] for d in TRANSLATION_DIRS if d in dirs]
-        catalogs = tree.where(F.endswith("path", F.lit(".json")) & F.contains("path", F.lit("/")) & folder.isin(places)) if places else tree.limit(0)
-        draft = {
+        known = sorted({end for ends in LANGUAGES.values() for end in ends})
+        suffixes = {r.end for r in tree.select(paths.suffix(F.col("path")).alias("end")).where(F.col("end").isin(known)).distinct().collect()}
+        languages = sorted(name for name, ends in LANGUAGES.items() if suffixes & set(ends))
+        met = _named(tree).join(F.broadcast(_usual(spark)), ["kind", "low"]).persist()
+        pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("nth", "name")))), lambda x: x["name"]).alias(kind)
+        usual = met.where(F.col("grp").isNotNull()).groupBy("grp", "place", "layer").agg(pick("dirs"), pick("files")).withColumn("path", F.lit(""))
+        crates = cargo_targets(tree.where(paths.basename(F.col("path")) == "Cargo.toml"))
+        binaries = crates.where("bin IS NOT NULL").select(F.lit(BINARIES).alias("grp"), F.lit(0).alias("place"), F.col("bin").alias("layer"), F.array().cast("array<string>").alias("dirs"), F.array("file").alias("files"), "path")
+        found = usual.unionByName(binaries).where(F.col("grp").isin(_allowed(languages))).orderBy("grp", "place", "path").collect()
+        layers = [{"name": r.layer, "dirs": r.dirs, "files": r.files} for r in found]
+        if suffixes & {".jsx", ".tsx"} and all(x["name"] != "frontend" for x in layers):
+            layers = [{"name": "frontend", "dirs": [], "files": [], "_comment": PLACEHOLDER}, *layers]
+        makefiles = tree.where(paths.basename(F.col("path")) == "CMakeLists.txt") if "C" in languages else tree.limit(0)
+        modules = [{"name": r.target, "dirs": [], "files": r.sources} for r in cmake_modules(makefiles, tree).orderBy("target").collect()]
+        # catalogs lie in a directory that is spelled as its name's first place is
+        places = met.where(F.col("grp").isNull()).select("name")
+        catalogs = tree.where(F.endswith("path", F.lit(".json"))).select("path", F.get(paths.parts(F.col("path")), F.size(paths.parts(F.col("path"))) - 2).alias("name")).join(F.broadcast(places), "name", "left_semi")
+        nested = "Rust" in languages and not crates.where(F.col("crate").isNotNull() & F.contains("path", F.lit("/"))).isEmpty()
+        return {
             "_comment": "a draft from names and manifests: review it before use",
             "_detected_languages": languages,
             "layers": layers,
             "default_layer": paths.DEFAULT_LAYER if layers else "other",
             "modules": modules,
-            "translations": {"files": sorted(r.path for r in catalogs.select("path").collect())},
+            "translations": {"files": [r.path for r in catalogs.select("path").orderBy("path").limit(MAX_CATALOGS).collect()]},
             "extra_excluded_dirs": [],
-        }
-        if nested:
-            draft["module_depth"] = 2
-        return draft
+        } | ({"module_depth": 2} if nested else {})
     finally:
         tree.unpersist()
 

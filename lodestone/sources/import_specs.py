@@ -232,35 +232,42 @@ def _declarations(files: DataFrame) -> DataFrame:
     return mods.where("NOT elsewhere").select("file", "is_root", "inner", F.col("file").alias("target")).unionByName(found)
 
 
-def rust_modules(files: DataFrame, manifests: DataFrame, cached: list[DataFrame] | None = None) -> DataFrame:
+#: Each module file of a crate by the declarations that lead to it; a file that lies on its own way isn't entered again.
+_MODULE_TREES = """
+WITH RECURSIVE reached (tree, crate, lib, module, file, is_root, way) MAX RECURSION LEVEL {levels} AS (
+  SELECT tree, crate, lib, CAST(array() AS array<string>), tree, true, array(tree) FROM {roots}
+  UNION ALL
+  SELECT tree, crate, lib, concat(module, inner), target, false, concat(way, array(target))
+  FROM reached JOIN {declared} d ON d.file = reached.file AND d.is_root = reached.is_root
+  WHERE NOT array_contains(way, target))
+SELECT DISTINCT tree, crate, lib, module, file, is_root FROM reached
+"""
+#: How deep modules may be nested in files.
+MODULE_LEVELS = 1000
+
+
+def rust_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """(tree, crate, lib, module, file): the modules of all crates.
 
-    Where a declaration leads is looked up once, for all files; each level of a
-    tree then is one join with that, until one finds no new file.  Both are cached,
-    so that no level is computed again for the next; ``cached`` takes what to
-    unpersist when the result has been used.
+    Where a declaration leads is looked up once, for all files; a recursive query
+    follows the declarations from the crates' roots.  A file that several
+    declarations of a tree lead to is the module that is nested least.
     """
-    cached = [] if cached is None else cached
+    spark = files.sparkSession
+    # the query ends by itself; the bound on its rows is meant for those that don't
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     roots = manifests.lateralJoin(CrateRoots(F.col("path").outer(), F.col("content").outer())).join(files.select(F.col("path").alias("root")), "root")
-    declared = _declarations(files).persist()
-    level = roots.select(F.col("root").alias("tree"), "crate", "lib", F.array().cast("array<string>").alias("module"), F.col("root").alias("file"), F.lit(True).alias("is_root")).distinct().persist()
-    cached += [declared, level]
-    found = level
-    while True:
-        inside = level.join(declared, ["file", "is_root"]).withColumn("child", F.concat("module", "inner"))
-        here = inside.where("target = file").select("tree", "crate", "lib", F.col("child").alias("module"), "file", F.lit(False).alias("is_root"))
-        new = inside.where("target <> file").select("tree", "crate", "lib", F.col("child").alias("module"), F.col("target").alias("file"), F.lit(False).alias("is_root"))
-        level = new.distinct().join(found.select("tree", "file"), ["tree", "file"], "left_anti").select(*found.columns).persist()
-        cached.append(level)
-        found = found.unionByName(here)
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.drop("is_root")
-
-
-def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame, cached: list[DataFrame] | None) -> DataFrame:
-    modules = rust_modules(files, manifests, cached)
+    roots = roots.select(F.col("root").alias("tree"), "crate", "lib").distinct()
+    declared = _declarations(files)
+    reached = spark.sql(_MODULE_TREES, roots=roots, declared=declared.where("target <> file"), levels=MODULE_LEVELS)
+    depth = F.size("module")
+    first = reached.withColumn("_least", F.min(depth).over(W.partitionBy("tree", "file"))).where(depth == F.col("_least")).drop("_least")
+    here = first.join(declared.where("target = file"), ["file", "is_root"]).select("tree", "crate", "lib", F.concat("module", "inner").alias("module"), "file")
+    return first.select("tree", "crate", "lib", "module", "file").unionByName(here)
+
+
+def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
+    modules = rust_modules(files, manifests)
     w = W.partitionBy("file").orderBy(F.desc("lib"), "tree", F.size("module"))
     own = modules.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("file").alias("source"), F.col("tree").alias("own_tree"), F.col("module").alias("own_module"))
     libs = modules.where("lib").select("crate", F.col("tree").alias("lib_tree")).groupBy("crate").agg(F.max("lib_tree").alias("lib_tree"))
@@ -275,10 +282,10 @@ def _rust_edges(specs: DataFrame, files: DataFrame, manifests: DataFrame, cached
     return longest_prefix(keyed, known, "segments", "id").select("id.source", "id.ord", F.col("value").alias("target_file"), F.col("id.label").alias("module"))
 
 
-def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name: str = "", only: DataFrame | None = None, cached: list[DataFrame] | None = None) -> DataFrame:
+def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name: str = "", only: DataFrame | None = None) -> DataFrame:
     """(source_file, target_file, module) of all files (path, content), or of those in ``only`` (path); ``manifests``: the Cargo.toml files, if there are any.
 
-    Several imports of one file are several edges.  ``cached`` takes the tables to unpersist when the edges have been used.
+    Several imports of one file are several edges.
     """
     sources = files if only is None else files.join(only.select("path"), "path", "left_semi")
     specs = sources.select(F.col("path").alias("source"), "content").lateralJoin(ImportSpecs(F.col("source").outer(), F.col("content").outer(), F.lit(root_name))).drop("content")
@@ -297,5 +304,5 @@ def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name
     alone = unique_by(c_files, paths.basename(F.col("path")), "basename").withColumnRenamed("path", "target_file")
     edges = direct.unionByName(missing.join(alone, "basename").select("source", "ord", "target_file", F.col("label").alias("module")))
     if manifests is not None:
-        edges = edges.unionByName(_rust_edges(specs.where("segments IS NOT NULL"), files, manifests, cached))
+        edges = edges.unionByName(_rust_edges(specs.where("segments IS NOT NULL"), files, manifests))
     return edges.select(F.col("source").alias("source_file"), "target_file", "module")

@@ -15,7 +15,7 @@ from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import EXCLUDED_DIRS, EXTENSIONS, MAX_FILE_BYTES, is_source
@@ -24,6 +24,8 @@ from lodestone.functions.paths import EXCLUDED_DIRS, EXTENSIONS, MAX_FILE_BYTES,
 UNSEEN = frozenset({".git", ".lodestone"})
 #: Directories that are dealt out to tasks; bytes of files read by one task, and by one batch of it.
 FOLDERS, TASK_BYTES, BATCH_BYTES = 256, 64 << 20, 8 << 20
+#: Bytes of the largest file that is read if it is asked for by name.
+LARGEST = 1 << 31
 
 
 def _opened(uri: str) -> tuple[arrow_fs.FileSystem | None, str]:
@@ -144,12 +146,13 @@ def with_content(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     return files.select("path", "length").repartition(tasks, "path").mapInArrow(_contents(_uri(spark, root)), "path string, length long, content binary")
 
 
-def scan_tree(spark: SparkSession, root: str, extra_excluded: Sequence[str] = (), forced: Sequence[str] = (), extensions: Sequence[str] = EXTENSIONS, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, content, content_hash) of the source files under ``root``; paths are relative to it.
+def scan_tree(spark: SparkSession, root: str, extra_excluded: Sequence[str] = (), forced: Sequence[str] = (), extensions: Sequence[str] = EXTENSIONS, max_bytes: int = MAX_FILE_BYTES, also: Column | None = None) -> DataFrame:
+    """(path, content, content_hash) of the source files under ``root``, and of those up to LARGEST that ``also``, a condition on the path, names; paths are relative to it.
 
     Excluded directories are never entered, and other files never read.
     """
     pruned = (EXCLUDED_DIRS | {e for e in extra_excluded if "/" not in e}) - set(forced)
-    files = list_files(spark, root, max_bytes, pruned)
-    kept = with_content(spark, root, files.where(is_source(F.col("path"), F.col("length"), extra_excluded, forced, extensions, max_bytes)))
+    files = list_files(spark, root, max_bytes if also is None else LARGEST, pruned)
+    wanted = is_source(F.col("path"), F.col("length"), extra_excluded, forced, extensions, max_bytes)
+    kept = with_content(spark, root, files.where(wanted if also is None else wanted | also))
     return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"))
