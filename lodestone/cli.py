@@ -1,4 +1,4 @@
-"""The command line: index, search, init-config, calibrate-thresholds, install-model, serve."""
+"""The command line: index, search, init-config, calibrate-thresholds, check-model, install-model, serve."""
 
 from __future__ import annotations
 
@@ -13,10 +13,11 @@ from pyspark.sql import SparkSession
 
 from lodestone.config import load_config
 from lodestone.functions.vectors import HASH_MODEL, ModelNotCachedError, load_embedder
-from lodestone.plans import calibrate, hybrid, wizard
+from lodestone.operators.retrieval import RANKED
+from lodestone.plans import calibrate, hybrid, model_check, wizard
 from lodestone.store import Index
 
-COMMANDS = ("index", "init-config", "calibrate-thresholds", "install-model", "serve")
+COMMANDS = ("index", "init-config", "calibrate-thresholds", "check-model", "install-model", "serve")
 
 
 def session() -> SparkSession:
@@ -84,12 +85,26 @@ def _calibrate(argv: list[str]) -> None:
     print(calibrate.report(index, load_config(index.root), args.sample))
 
 
+def _check_model(argv: list[str]) -> None:
+    parser = _parser("check-model")
+    parser.add_argument("--file", action="append", required=True, dest="files", help="a file to chunk and embed, relative to the root; may be given again")
+    parser.add_argument("--query-comment-lang", required=True, help="the question in the language of the comments")
+    parser.add_argument("--query-code-lang", required=True, help="the same question in the language of the code")
+    parser.add_argument("--top", type=int, default=RANKED)
+    args = parser.parse_args(argv)
+    questions = {"query_comment_lang": args.query_comment_lang, "query_code_lang": args.query_code_lang}
+    rows = model_check.ranked_chunks(session(), os.path.abspath(args.root), args.files, list(questions.values()), args.model, args.top).collect()
+    if not rows:
+        sys.exit("no chunks in the given files")
+    print(model_check.report(rows, questions, args.model))
+
+
 def _install_model(argv: list[str]) -> None:
     args = _parser("install-model").parse_args(argv)
     try:
         load_embedder(args.model)
     except ModelNotCachedError:
-        sys.exit(f"{args.model} is not on this machine: put its tokenizer.json and model.onnx into a folder of that name below LODESTONE_MODELS")
+        sys.exit(f"{args.model} is not on this machine: nothing is downloaded; put its tokenizer.json and model.onnx into a folder of that name below LODESTONE_MODELS")
     print(f"{args.model} is ready")
 
 
@@ -102,7 +117,7 @@ def _serve(argv: list[str]) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     argv = sys.argv[1:] if argv is None else argv
-    run = dict(zip(COMMANDS, (_index, _init_config, _calibrate, _install_model, _serve), strict=True))
+    run = dict(zip(COMMANDS, (_index, _init_config, _calibrate, _check_model, _install_model, _serve), strict=True))
     if not argv:
         sys.exit("usage: lodestone QUERY | -- QUERY | " + " | ".join(COMMANDS))
     if argv[0] == "--":

@@ -83,3 +83,17 @@ def is_source(path: Column, size: Column, extra_excluded: Sequence[str] = (), fo
     for prefix in (e.strip("/") for e in extra_excluded if "/" in e):
         kept &= ~((path == prefix) | F.startswith(path, F.lit(prefix + "/")))
     return kept
+
+
+def normalize_path(path: Column) -> Column:
+    """``path`` without empty parts, ``.`` and ``..`` where it has something to go up from; ``.`` for nothing, null for null."""
+    absolute = F.startswith(path, F.lit("/"))
+
+    def step(kept: Column, part: Column) -> Column:
+        up = (F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)) != "..")
+        above = F.when(up, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(absolute, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part.isin("", "."), kept).when(part == "..", above).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(joined == "", ".").otherwise(joined)

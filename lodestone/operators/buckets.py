@@ -66,13 +66,14 @@ def touched_buckets(keys: DataFrame, key: str, buckets: int) -> list[int]:
 def replace_rows(spark: SparkSession, path: str, schema: T.StructType | str, key: str, buckets: int, gone: DataFrame, new: DataFrame, touched: list[int] | None = None, order: tuple[str, ...] = ()) -> Touched:
     """The table at ``path`` without the rows of the keys in ``gone`` and with the rows of ``new``.
 
-    ``touched``, if given, names the buckets that both lie in; else they are looked up.
+    ``touched``, if given, names the buckets that both lie in, and ``gone`` has all keys of ``new``; else they are looked up, for which ``new`` is computed once more.
     """
+    keys = gone.select(key)
     if touched is None:
-        touched = touched_buckets(gone.select(key).union(new.select(key)), key, buckets)
-    if touched:
         # each row of ``new`` replaces what its key had
-        keys = gone.select(key).union(new.select(key)).distinct()
+        keys = keys.union(new.select(key)).distinct()
+        touched = touched_buckets(keys, key, buckets)
+    if touched:
         kept = read_table(spark, path, schema, key, touched).join(keys, key, "left_anti").select(*new.columns)
         rows = kept.unionByName(new).withColumn(BUCKET, bucket_of(F.col(key), buckets))
         marks = spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields], F.col(BUCKET))

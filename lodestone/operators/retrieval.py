@@ -117,10 +117,12 @@ def substring_join(texts: DataFrame, literals: DataFrame, text: str = "text", li
     many meet the texts by an equi-join on one trigram each (shorter ones on all
     they have), then the test.
     """
-    found = literals.limit(scanned + 1).agg(F.count(F.lit(1)).alias("n")).first()
+    # the few are computed once: what comes to the driver is what is broadcast
+    few = literals.limit(scanned + 1).collect()
     folded = texts.withColumn("_folded", ascii_lower(F.col(text)))
-    if found.n <= scanned:
-        return folded.join(F.broadcast(literals), F.contains("_folded", ascii_lower(F.col(literal)))).drop("_folded")
+    if len(few) <= scanned:
+        listed = literals.sparkSession.createDataFrame(few, literals.schema)
+        return folded.join(F.broadcast(listed), F.contains("_folded", ascii_lower(F.col(literal)))).drop("_folded")
     short = ascii_lower(F.col(literal))
     out = None
     for (n,) in literals.select(F.least(F.length(literal), F.lit(3)).alias("n")).where("n IS NOT NULL").distinct().collect():

@@ -15,12 +15,18 @@ SAMPLE, EACH = 500, 8
 
 
 def report(index: Index, config: ProjectConfig, sample: int = SAMPLE) -> str:
-    """Both distributions; literals are sampled in the order of their chunks' files and lines."""
+    """Both distributions.
+
+    Literals are sampled chunk by chunk, in the order of files and lines, until there
+    are ``sample`` different ones: all of the last chunk's count.
+    """
     tables = index.open(config)
     chunks = tables["chunks"]
     found = chunks.select("file_path", "start_line", F.posexplode(chunk_literals(F.col("text"), EACH)).alias("pos", "literal"))
     first = found.groupBy("literal").agg(F.min(F.struct("file_path", "start_line", "pos")).alias("at"))
-    literals = first.orderBy("at").limit(sample).select("literal")
+    place = F.struct("at.file_path", "at.start_line")
+    last = first.orderBy("at").limit(sample).agg(F.max(place).alias("last"))
+    literals = first.join(F.broadcast(last), place <= F.col("last")).select("literal")
     counts = [(r.literal, r.n) for r in literal_counts(chunks, literals).orderBy(F.desc("n"), "literal").collect()]
     targets = import_target_counts(tables["imports"]).persist()
     try:

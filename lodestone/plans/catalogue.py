@@ -395,6 +395,24 @@ def first_existing(spark, sf_dir):
     return resolution.first_existing(specs, files, keys=("l_partkey", "l_suppkey"))
 
 
+@register(ORACLE_SQL["first_existing"])
+def first_existing_filtered(spark, sf_dir):
+    """The same behind a filter of the existing paths."""
+    specs = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.array(F.col("l_partkey") * 10, F.col("l_partkey") * 3, F.col("l_suppkey")).alias("candidates"))
+    files = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("path"))
+    return resolution.first_existing(specs, files, keys=("l_partkey", "l_suppkey"), filtered=True)
+
+
+@register("""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/*([?#].*)?$', '') AS path FROM pages)
+SELECT page_id, path || '/extra' AS path, string_split(path, '/')[1] || '/x' AS top FROM u""")
+def normalized_paths(spark, sf_dir):
+    """Paths with detours: what goes up again, empty parts and dots say nothing."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/*([?#].*)?$", "")
+    up = F.array_join(F.transform(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")) - 1), lambda _: F.lit("..")), "/")
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", paths.normalize_path(F.concat(F.lit("./no/..//"), path, F.lit("/./extra/"))).alias("path"), paths.normalize_path(F.concat(path, F.lit("/"), up, F.lit("/x/y/.."))).alias("top"))
+
+
 @register("""WITH g AS (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) >= 50 THEN 1 ELSE 0 END AS new FROM events),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id)::INT AS block FROM g)
 SELECT user_id, block, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM b GROUP BY user_id, block""")

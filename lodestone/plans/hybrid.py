@@ -13,6 +13,8 @@ from lodestone.functions.vectors import load_embedder, prefixes
 from lodestone.operators import gram_index, retrieval
 from lodestone.store import Index
 
+#: Entries of catalogs that a search hands over, shortest values first: a short query may match all there are.
+JSON_ENTRIES = 1000
 _HEAD = ("chunk_id", "file_path", "start_line", "end_line", "node_type", "name", "layer")
 
 
@@ -26,7 +28,7 @@ def search_hybrid(index: Index, query: str, config: ProjectConfig, k: int = retr
     indexed = index.postings() is not None
     held = gram_index.candidates(index.postings, tokens, "chunk_id") if indexed and tokens else None
     literal = retrieval.literal_search(chunks if held is None else chunks.join(held, "chunk_id", "left_semi"), tokens, literal_limit).select(*_HEAD, "token", "rank").collect()
-    entries = retrieval.json_literal_search(tables["json_entries"], query).collect()
+    entries = retrieval.json_literal_search(tables["json_entries"], query).limit(JSON_ENTRIES).collect()
     near = retrieval.search_by_layers(chunks, vector, config.layers, k)
     near = near.withColumn("snippet", snippet(F.col("text"))).orderBy("layer_ord", "module", "rn").drop("embedding").collect()
 

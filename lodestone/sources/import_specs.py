@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths
 from lodestone.operators.resolution import first_existing, longest_prefix, unique_by
+from lodestone.shared import written
 from lodestone.sources.scan_braces import C, CPP, JS, RUST, Scanner
 
 JS_ENDINGS = (".ts", ".tsx", ".js", ".jsx")
@@ -259,7 +260,8 @@ def rust_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
     roots = manifests.lateralJoin(CrateRoots(F.col("path").outer(), F.col("content").outer())).join(files.select(F.col("path").alias("root")), "root")
     roots = roots.select(F.col("root").alias("tree"), "crate", "lib").distinct()
     declared = _declarations(files)
-    reached = spark.sql(_MODULE_TREES, roots=roots, declared=declared.where("target <> file"), levels=MODULE_LEVELS)
+    # read several times, and the query runs a job for each level
+    reached = written(spark.sql(_MODULE_TREES, roots=roots, declared=declared.where("target <> file"), levels=MODULE_LEVELS), "rust-modules")
     depth = F.size("module")
     first = reached.withColumn("_least", F.min(depth).over(W.partitionBy("tree", "file"))).where(depth == F.col("_least")).drop("_least")
     here = first.join(declared.where("target = file"), ["file", "is_root"]).select("tree", "crate", "lib", F.concat("module", "inner").alias("module"), "file")
@@ -303,6 +305,6 @@ def import_edges(files: DataFrame, manifests: DataFrame | None = None, root_name
     c_files = files.where(paths.suffix(F.col("path")).isin(list(C_FAMILY))).select("path")
     alone = unique_by(c_files, paths.basename(F.col("path")), "basename").withColumnRenamed("path", "target_file")
     edges = direct.unionByName(missing.join(alone, "basename").select("source", "ord", "target_file", F.col("label").alias("module")))
-    if manifests is not None:
+    if manifests is not None and not manifests.isEmpty():
         edges = edges.unionByName(_rust_edges(specs.where("segments IS NOT NULL"), files, manifests))
     return edges.select(F.col("source").alias("source_file"), "target_file", "module")

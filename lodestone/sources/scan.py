@@ -156,3 +156,26 @@ def scan_tree(spark: SparkSession, root: str, extra_excluded: Sequence[str] = ()
     wanted = is_source(F.col("path"), F.col("length"), extra_excluded, forced, extensions, max_bytes)
     kept = with_content(spark, root, files.where(wanted if also is None else wanted | also))
     return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"))
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Writes (path, content) rows as files under ``root``, which may be new, by the tasks that have them; null content takes a file away.  Returns their number."""
+    spark = files.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _opened(uri)
+        fs = fs or arrow_fs.LocalFileSystem()
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = _below(base, path)
+                if content is not None:
+                    fs.create_dir(whole.rpartition("/")[0], recursive=True)
+                    with fs.open_output_stream(whole) as out:
+                        out.write(content.encode())
+                elif fs.get_file_info(whole).type == arrow_fs.FileType.File:
+                    fs.delete_file(whole)
+            yield batch.select([0])
+
+    return files.select("path", "content").mapInArrow(run, "path string").count()

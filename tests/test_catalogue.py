@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.plans import catalogue, source_queries  # noqa: F401 - registers its queries
+from lodestone.plans import catalogue, index_queries, source_queries  # noqa: F401 - they register queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths, text, vectors
 from lodestone.functions.vectors import MODELS, cosine_distance, dimension, embed, hashed_embedding, prefixes
-from lodestone.operators import calibration, graph, maintenance, retrieval
+from lodestone.operators import calibration, graph, maintenance, resolution, retrieval
 from lodestone.sources.json_tree import chunk_rows, cut_tree, leaves
 
 
@@ -217,3 +217,22 @@ def test_local_models(tmp_path, monkeypatch):
     assert np.allclose(found, [[0, 1, 0], [0, 0.5**0.5, 0.5**0.5], [1, 0, 0]]) and vectors.dimension("org/small") == 3
     with pytest.raises(vectors.ModelNotCachedError):
         vectors.load_embedder("org/none")
+
+
+def test_normalize_path(spark):
+    import posixpath
+
+    given = ["a/b/../c", "./a//b/", "../../x/..", "/../a/./b/..", "", ".", "a/../..", "..", "/", "a/b/c/../../../d", "x/.../y", None]
+    rows = spark.createDataFrame([(p,) for p in given], "path string").select(paths.normalize_path(F.col("path"))).collect()
+    assert [r[0] for r in rows] == [None if p is None else posixpath.normpath(p) for p in given]
+
+
+def test_filter_of_paths_and_prefix_hashes(spark):
+    files = spark.createDataFrame([(f"d/f{i}.py",) for i in range(500)] + [(None,)], "path string")
+    asked = spark.createDataFrame([(f"d/f{i}.py",) for i in range(0, 3000, 3)], "path string")
+    kept = {r.path for r in resolution.perhaps_existing(asked, resolution.path_filter(files)).collect()}
+    assert {f"d/f{i}.py" for i in range(0, 500, 3)} <= kept and len(kept) < 180
+    known = spark.createDataFrame([(["a"], 1), (["a", "b"], 2), ([], 3), (["b", "a"], 4)], "prefix array<string>, value int")
+    asked = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, []), (4, ["ab"]), (5, None), (6, ["b", "a", "b"])], "id int, segments array<string>")
+    got = {r.id: (r.prefix, r.value, r.depth) for r in resolution.longest_prefix(asked, known).collect()}
+    assert got == {1: (["a", "b"], 2, 2), 2: ([], 3, 0), 3: ([], 3, 0), 4: ([], 3, 0), 6: (["b", "a"], 4, 2)}

@@ -1,4 +1,4 @@
-from lodestone.sources.import_specs import import_edges, python_specs, rust_mods, use_paths
+from lodestone.sources.import_specs import import_edges, python_specs, rust_modules, rust_mods, use_paths
 
 FILES = {
     "pkg/__init__.py": "", "pkg/a.py": "import pkg.b.c as x\nfrom . import b, nothing\nfrom .b import c\nfrom ..other import thing\nimport os\nfrom pkg import a\n",
@@ -36,3 +36,21 @@ def test_parsing():
 def test_files_that_do_not_parse():
     text = "\ufeffimport a.b\nfrom . import (x,\n  y)  # c\ndef broken(:\nif TYPE_CHECKING:\n    import no\ndef g():\n    import inside\nimport more of it\n"
     assert [x[0] for x in python_specs("p/a.py", text.removeprefix("\ufeff"))] == ["a.b", ".", "inside"]
+
+
+def test_modules_nested_deep(spark):
+    depth = 40
+    files = [("deep/src/lib.rs", "mod m0;\n")] + [("deep/src/" + "/".join(f"m{j}" for j in range(i + 1)) + ".rs", f"mod m{i + 1};\nuse crate::m0::x;\n") for i in range(depth)]
+    tree = spark.createDataFrame(files, "path string, content string")
+    manifests = spark.createDataFrame([("deep/Cargo.toml", '[package]\nname = "deep"\n')], "path string, content string")
+    modules = rust_modules(tree, manifests).collect()
+    assert len(modules) == depth + 1 and max(len(r.module) for r in modules) == depth
+    edges = import_edges(tree, manifests).collect()
+    assert len(edges) == depth and {r.target_file for r in edges} == {"deep/src/m0.rs"}
+
+
+def test_modules_that_declare_each_other_end(spark):
+    files = [("r/src/lib.rs", "mod a;\nmod b;\n"), ("r/src/a.rs", "mod lib;\n"), ("r/src/a/lib.rs", "mod x;\n"), ("r/src/b.rs", "mod c { mod d { mod e; } }\n"), ("r/src/b/c/d/e.rs", "")]
+    manifests = spark.createDataFrame([("r/Cargo.toml", '[package]\nname = "r"\n')], "path string, content string")
+    got = {("::".join(r.module), r.file) for r in rust_modules(spark.createDataFrame(files, "path string, content string"), manifests).collect()}
+    assert got == {("", "r/src/lib.rs"), ("a", "r/src/a.rs"), ("b", "r/src/b.rs"), ("a::lib", "r/src/a/lib.rs"), ("b::c", "r/src/b.rs"), ("b::c::d", "r/src/b.rs"), ("b::c::d::e", "r/src/b/c/d/e.rs")}

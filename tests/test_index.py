@@ -3,15 +3,13 @@ import json
 import shutil
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestone import server
 from lodestone.config import ProjectConfig, load_config, parse_config
 from lodestone.functions.vectors import ModelNotCachedError
-from lodestone.plans import calibrate, hybrid, wizard
+from lodestone.plans import calibrate, hybrid, model_check, wizard
 from lodestone.sources.manifests import cmake_targets
 from lodestone.store import Index, WrongModelError
-from lodestone.streaming.incremental import current_chunks, follow_tree
 
 FILES = {
     "shop/api/orders.py": "from shop.models import order\n\ndef update_order_status(x):\n    return route('/orders/update_status', x)\n",
@@ -109,13 +107,40 @@ def test_wizard(spark, tmp_path):
     assert list(cmake_targets('cuda_add_library(a b.c) ADD_EXECUTABLE ( x WIN32 "y z.c"\n # ) \n w.c')) == []
 
 
-def test_stream(spark, tmp_path):
-    root, out = tmp_path / "tree", str(tmp_path / "out")
-    (root / "a").mkdir(parents=True)
-    (root / "a/x.py").write_text("def one(): pass\n")
-    (root / "a/x.min.js").write_text("function no() {}\n")
-    follow_tree(spark, str(root), out, str(tmp_path / "ck"), once=True).awaitTermination(120)
-    assert [r.name for r in current_chunks(spark, out).collect()] == ["one"]
-    (root / "a/y.rs").write_text("fn two() {}\n")
-    follow_tree(spark, str(root), out, str(tmp_path / "ck"), once=True).awaitTermination(120)
-    assert sorted(r.name for r in current_chunks(spark, out).select(F.col("name")).collect()) == ["one", "two"]
+def test_an_update_touches_its_buckets(spark, tmp_path):
+    root = tmp_path / "many"
+    for i in range(600):
+        (root / f"d{i % 7}").mkdir(parents=True, exist_ok=True)
+        (root / f"d{i % 7}/f{i}.py").write_text(f"import os\n\ndef fun{i}():\n    return 'text number {i}'\n")
+    index, config = Index(spark, str(root)), load_config(str(root))
+    run = index.update(config)
+    assert (run.changed_files, run.rewritten_buckets, run.buckets) == (600, 3, 3)
+    version = index.version
+    (root / "d3/f3.py").write_text("def other():\n    return 'Unheard_of words'\n")
+    (root / "d4/f4.py").unlink()
+    files = lambda: {str(p) for p in (root / ".lodestone").rglob("*.parquet")}
+    before = files()
+    run = index.update(config)
+    assert (run.changed_files, run.unchanged_files, run.deleted_files, run.new_chunks, run.buckets) == (1, 598, 1, 1, 3)
+    assert 1 <= run.rewritten_buckets <= 2 and index.version == version
+    assert len(before - files()) <= 5 * run.rewritten_buckets
+    names = {r.name for r in index.table("chunks").collect()}
+    assert "other" in names and not {"fun3", "fun4"} & names and len(names) == 599
+    assert index.table("files").count() == 599
+    found = hybrid.search_hybrid(index, "where is 'Unheard_of words'", config, expand=False)
+    assert [r.name for r in found["literal"]] == ["other"]
+    assert index.postings(["unh"]).count() == 1 and index.postings(["fun"]).count() == 598
+    assert index.update(config).rewritten_buckets == 0
+
+
+def test_model_check(spark, project, capsys):
+    rows = model_check.ranked_chunks(spark, str(project), ["shop/models/order.py", "web/app.tsx"], ["an order table", "post update status"], top=2).collect()
+    assert [(r.question, r["rank"]) for r in rows] == [(0, 1), (0, 2), (1, 1), (1, 2)] and rows[0].similarity >= rows[1].similarity
+    text = model_check.report(rows, {"a": "an order table", "b": "x"}, "m")
+    assert "=== a: 'an order table' ===" in text and f"  {rows[0].similarity:.4f}  {rows[0].node_type}:{rows[0].name}" in text
+
+
+def test_calibration_takes_whole_chunks(spark, project):
+    index, config = Index(spark, str(project)), load_config(str(project))
+    index.update(config)
+    assert "sampled literals" in calibrate.report(index, config, sample=1)
