@@ -1,7 +1,13 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Every stage takes all documents that the one before it kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever else they are called.
+
+Cases, for every stage: an empty table gives an empty result; a null text counts
+as empty; ids may be null or shared, texts that share one are documents of their
+own; repeated rows are one document from the second stage on; texts of any length
+are read whole; ties go to the smallest id, then the smallest text name; further
+columns stay, whatever their names, until packing, which returns pieces.
 """
 
 from __future__ import annotations
@@ -25,28 +31,29 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; null and empty texts are rejected, repeated rows judged alike."""
     return quality_filter(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the one with the smallest id; null ids come first, of repeated rows one stays."""
     return keep_first(docs)
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 100-byte strings that start earlier too; those with nothing left go."""
-    done = remove_repeats(docs, out="deduplicated", binary=False)
-    return _counted(done.withColumn("text", F.col("deduplicated.kept")).where("text != ''").select(*docs.columns))
+    """Documents without the 100-byte strings that start earlier too, by id, then place; those with nothing left go, null texts too."""
+    done = remove_repeats(docs, binary=False)
+    kept = F.col(f"`{done.columns[-1]}`.kept")
+    return _counted(done.withColumn("text", kept).where("text != ''").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null and empty texts stay as they are."""
     return _counted(mask_pii(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
+    """The pieces of all documents and their places in training sequences; a null or empty text is one piece, its end token."""
     return pack_documents(docs)
 
 

@@ -53,6 +53,8 @@ BANDS, ROWS = 14, 3
 FEATURES, CHUNK, MERGE = 1 << 20, 1 << 14, 64
 #: Bytes of text hashed at once.
 BLOCK = 1 << 18
+#: Shingles of leaders, 12 bytes each, that a task keeps.
+KEPT_SHINGLES = 1 << 19
 #: Rounds with leaders; members in a block of step 4; samples of BANDS * ROWS that must agree there.
 ROUNDS, MEMBERS, AGREE = 3, 512, 21
 #: Ids of eight bytes that are broadcast to pick texts where they are read; beyond it the texts are shuffled to them.
@@ -280,14 +282,14 @@ def _verify(idf, threshold: float):
     """Of rows (u, text, v, other): the pairs whose similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(sliced(batches, 1), 3):
             us, texts, vs, others = (c.to_pylist() for c in batch.columns)
             links: tuple[list[int], list[int], list[float]] = ([], [], [])
             sets: dict[int, tuple] = {}
             for a, b in _blocks(texts):
                 # the leader of many pairs is hashed once
                 new = {v: o for v, o in zip(vs[a:b], others[a:b], strict=True) if v not in sets}
-                if len(sets) > 64:
+                if sum(len(h) for h, _ in sets.values()) > KEPT_SHINGLES:
                     sets, new = {}, dict(zip(vs[a:b], others[a:b], strict=True))
                 h, count, first = shingles([*texts[a:b], *new.values()])
                 w = weights(h, count, idf.value)

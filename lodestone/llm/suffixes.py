@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialize, sliced, table
+from lodestone.llm.common import fresh, materialize, sliced, table
 
 LENGTH = 100
 GRAM = 32
@@ -453,8 +453,10 @@ def _remove(columns: list[str], text: str, out: str, length: int, binary: bool):
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, out: str = "deduplicated", binary: bool = True) -> DataFrame:
     """``df`` with struct ``out``: ``kept``, the bytes left of ``text``, and ``spans``, the removed (start, end).
 
-    If not ``binary``, ``kept`` is text, without characters of which only a part was removed.
+    If not ``binary``, ``kept`` is text, without characters of which only a part was
+    removed.  Where ``df`` has a column of that name, the new one gets underscores.
     """
+    (out,) = fresh(df, out)
     names = [f"c{i}" for i in range(len(df.columns))]  # no name of the input can clash
     plain = df.toDF(*names)
     key, text = names[df.columns.index(key)], names[df.columns.index(text)]

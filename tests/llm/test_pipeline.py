@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -67,3 +68,24 @@ def test_stages_equal_brute_force(spark):
 def test_run_has_the_last_stage_s_rows(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 50
+
+
+def test_cases(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "vat") for c in ("", "is", "or", "em")]
+    t = [" ".join(rng.choice(words) for _ in range(80)) + "." for _ in range(5)]
+    rows = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (8, t[2]), (9, None), (10, ""), (11, t[4]), (11, t[4])]
+    extra = {"deduplicated": 1, "pii": 2, "_k": 3, "u": 4, "runs": 5}
+    rows = [(k, text, "en", "s", len(text or ""), *extra.values()) for k, text in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in extra))
+    columns, empty, kept = docs.columns, docs.limit(0), []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs, empty = stage(spark, docs, DATA).cache(), stage(spark, empty, DATA).cache()
+        assert docs.columns == columns and empty.columns == columns and empty.count() == 0
+        kept.append(sorted((r.doc_id or 0, r.text) for r in docs.collect()))
+        assert all(tuple(r)[5:] == tuple(extra.values()) and r.n_chars == len(r.text) for r in docs.collect())
+    assert len(kept[0]) == 7
+    assert kept[1] == kept[2] == kept[3] == sorted([(0, t[0]), (0, t[1]), (7, t[2]), (7, t[3]), (11, t[4])])
+    last = corpus_pipeline.STAGES[4][1]
+    assert sorted(r.doc_id or 0 for r in last(spark, docs, DATA).collect()) == [0, 0, 7, 7, 11]
+    assert last(spark, empty, DATA).count() == 0

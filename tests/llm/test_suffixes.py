@@ -98,3 +98,10 @@ def test_texts_without_an_id_of_their_own(spark, monkeypatch, broadcast):
     assert [size(0), size(1)] == [0, 0] and left[docs[5]] == left[docs[6]] == b""
     assert min(size(2), size(3)) == 0 and len(start.encode()) <= max(size(2), size(3)) < len(start.encode()) + 8
     assert len(shared.encode()) <= size(4) < len(shared.encode()) + 8
+
+
+def test_a_column_of_the_result_s_name(spark):
+    text = "".join(random.choice("abcdefgh") for _ in range(300))
+    done = suffixes.remove_repeats(spark.createDataFrame([(1, text, 5), (2, text, 6)], "doc_id long, text string, deduplicated int"))
+    assert done.columns == ["doc_id", "text", "deduplicated", "_deduplicated"]
+    assert {(r.deduplicated, len(r._deduplicated.kept)) for r in done.collect()} == {(5, 300), (6, 0)}
