@@ -227,10 +227,9 @@ def mutate(packing: Packing, capacity: int, rng: random.Random) -> Packing:
 
 def evolve(counts: dict[int, int], population: list[Packing], capacity: int, rng: random.Random, generations: int = GENERATIONS, size: int = POPULATION) -> list[Packing]:
     """The population after some generations, best first."""
-    if not population:
-        population = [best_fit({}, counts, capacity)]
     while len(population) < size:
-        order = sorted(counts, key=lambda s: -s * rng.uniform(0.7, 1.0))
+        # not longest first: that is one packing, which all islands would start from
+        order = sorted(counts, key=lambda s: -s * rng.uniform(0.5, 1.0))
         population.append(best_fit({}, counts, capacity, order))
     least = -(-sum(s * n for s, n in counts.items()) // capacity)
     for _ in range(generations):
@@ -243,7 +242,10 @@ def evolve(counts: dict[int, int], population: list[Packing], capacity: int, rng
 
 
 def pack_histogram(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, seed: int = 5) -> Packing:
-    """A packing of ``counts`` pieces by length, evolved on islands."""
+    """A packing of ``counts`` pieces by length, evolved on islands from best fits in random orders.
+
+    Best fit of the longest first takes part in the last choice only.
+    """
     elites: list[Packing] = []
     least = -(-sum(s * n for s, n in counts.items()) // capacity)
     for epoch in range(epochs if counts else 0):
@@ -260,7 +262,7 @@ def pack_histogram(spark: SparkSession, counts: dict[int, int], capacity: int =
         elites = [pickle.loads(bytes(r.elite)) for r in sorted(found, key=lambda r: r.island)]
         if min(sum(p.values()) for p in elites) <= least:
             break
-    return min(elites, key=lambda p: score(p, capacity), default={})
+    return min([*elites, best_fit({}, counts, capacity)], key=lambda p: score(p, capacity))
 
 
 # ---- places --------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,6 +63,25 @@ def test_operators_keep_every_piece():
     assert packing.score(packing.evolve(counts, [a, b], 100, rng)[0], 100) <= packing.score(a, 100)
 
 
+def triplets(bins, capacity, seed):
+    """Pieces that fill ``bins`` bins by threes, where the longest two of a bin leave no room for what best fit takes next."""
+    rng, counts = random.Random(seed), Counter()
+    for _ in range(bins):
+        a = rng.randint(38 * capacity // 100, 49 * capacity // 100)
+        b = rng.randint(capacity // 4, (capacity - a) // 2)
+        counts.update((a, b, capacity - a - b))
+    return dict(counts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_beats_best_fit(spark, seed):
+    counts = triplets(20, 1000, seed)
+    plain = sum(packing.best_fit({}, counts, 1000).values())
+    found = packing.pack_histogram(spark, counts, 1000)
+    assert packing._used(found) == counts and max(map(packing._fill, found)) <= 1000
+    assert 20 <= sum(found.values()) < plain
+
+
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
