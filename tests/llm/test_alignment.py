@@ -15,13 +15,13 @@ TEXTS = [
     None, "", " ", "  ", "\n", "a", "The cat sat on the mat.", "The cat sat on the mat.", "two  spaces and\ttabs \n\n  lines  \r\n end ",
     "it's we'll I'd 'quoted' don't", "naïve café – ½ ① 語 日本語テキスト العربية", "bad ▁ marker", "<|endoftext|> and </s> <s> <unk> <0x41> [CLS]",
     "x" * 300 + " " + "=" * 200 + "   wide \x1c sep \x85 next", "12345 67,890.12 1 2 3", "emoji 👩‍👩‍👧 🏳️‍🌈 ‍", "\x00 nul \x01", "the the the the cat cat sat",
-    "word " * 500, " lead", "trail ", " \n bar", "foo \nbar", "foo\n bar",
+    "word " * 500, "a" + " " * 2000 + "b", "x" + "\n" * 300_000 + " y", " lead", "trail ", " \n bar", "foo \nbar", "foo\n bar",
 ]
 
 
 @pytest.fixture(scope="module")
 def sides():
-    return Sides(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
+    return Sides(tokenizer_path("byte_bpe_50k"), tokenizer_path("piece_bpe_32k.model"))
 
 
 @pytest.fixture(scope="module")
