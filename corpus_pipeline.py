@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop, materialize, release, tables_of
+from lodestone.llm.common import drop, give_back, materialize, release, tables_of
 from lodestone.llm.neardup import keep_first
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.pii import mask_pii
@@ -37,6 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest id; null ids come first, of repeated rows one stays."""
+    # the stage before leaves the executors with all of their heap taken
+    give_back(spark)
     return keep_first(docs)
 
 

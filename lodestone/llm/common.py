@@ -96,6 +96,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets the executors' JVMs return heap that what ran before has left unused, to the Python workers beside them.
+
+    A JVM keeps the memory it has once taken; a collection on demand is what makes
+    it shrink.  The tasks are so many that every executor gets some.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that clash with no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
