@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a text column that a worker handles at once; a longer row is handled alone.
 SLICE_BYTES = 4 << 20
+#: Bytes of the batches that rows go to workers in while a table is written; a longer row is a batch alone.
+BATCH_BYTES = 8 << 20
 #: ``salted_join``: rows of a key from which it may be hot, and how many keys are hot at most.
 HOT_ROWS, HOT_KEYS = 1024, 100_000
 
@@ -90,7 +92,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{_group[-1]}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # rows go to the workers in batches that the JVM and the worker both hold
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(bound, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
