@@ -15,7 +15,7 @@ TEXTS = [
     None, "", " ", "  ", "\n", "a", "The cat sat on the mat.", "The cat sat on the mat.", "two  spaces and\ttabs \n\n  lines  \r\n end ",
     "it's we'll I'd 'quoted' don't", "naïve café – ½ ① 語 日本語テキスト العربية", "bad ▁ marker", "<|endoftext|> and </s> <s> <unk> <0x41> [CLS]",
     "x" * 300 + " " + "=" * 200 + "   wide \x1c sep \x85 next", "12345 67,890.12 1 2 3", "emoji 👩‍👩‍👧 🏳️‍🌈 ‍", "\x00 nul \x01", "the the the the cat cat sat",
-    "word " * 500, "a" + " " * 2000 + "b", "x" + "\n" * 300_000 + " y", " lead", "trail ", " \n bar", "foo \nbar", "foo\n bar",
+    "word " * 500, "a" + " " * 2000 + "b", "x" + "\n" * 1500 + " y", " lead", "trail ", " \n bar", "foo \nbar", "foo\n bar",
 ]
 
 
@@ -128,6 +128,12 @@ def test_groups_of_spans(spark, sides, first):
             assert "▁" in r.text
 
 
+def test_long_white_space(sides, first):
+    for text in (" x" + "\n" * 300_000 + " y", " " * 300_000, " a" + " " * 299 + "b"):
+        (a,), (b,) = sides.encode([text])
+        assert a == first(text) and b == sides.b.encode(text[1:]) and sides.faithful(text, a, b)
+
+
 def test_elementary_intervals():
     ends, a, b, group = elementary(np.array([2, 5, 6]), np.array([1, 4, 5, 6]))
     assert ends.tolist() == [1, 2, 4, 5, 6]
