@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, materialize, sliced, table, tokenizer_path
+from lodestone.llm.common import drop, fresh, materialize, sliced, table, tokenizer_path
 from lodestone.llm.pieces import MARK, MODEL, processor
 
 #: The byte-level vocabulary, as .json and as .tiktoken: the ranks of the second are the tokens and merges of the first and give the same ids faster.
@@ -54,7 +54,9 @@ TABLE_ROWS = 200_000
 #: Characters of the new chunks that are encoded as one text.
 PIECE_CHARS = 8 << 10
 #: Bytes of text from which a block of documents is full.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Blocks of a file: a writer holds a file's last rows, and a reader decodes up to thousands of rows at once, whatever their size.
+FILE_BLOCKS = 4
 
 #: Runs of white space so long are left to the .json: the pattern engine of the other gives up on longer ones.
 _LONG_SPACE = re.compile(r"\s{300}")
@@ -384,9 +386,10 @@ def link_statistics(df: DataFrame, text: str = "text", first: str | None = None,
     ``n_a``, ``n_b``, ``n_groups``, ``n_links`` of the document, ``n_best`` links
     whose pair stands in as many documents as any pair of its first id does,
     ``count_sum`` of the documents of all links' pairs, and ``groups_sha256``.
-    The blocks are written to the shared folder.
+    The blocks are written to the shared folder, and so is the result, so that
+    blocks go to the workers in bounded batches.
     """
-    blocks = materialize(_blocks(df, text, first, second), "aligned-blocks")
+    blocks = materialize(_blocks(df, text, first, second), "aligned-blocks", FILE_BLOCKS)
     rows = _pair_rows(blocks)
     totals = _totals(rows).withColumn("best", F.col("documents") == F.max("documents").over(W.partitionBy(F.shiftright("pair", 32))))
     looked_up = rows.join(totals, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "documents", "best")).alias("found"))
@@ -400,7 +403,9 @@ def link_statistics(df: DataFrame, text: str = "text", first: str | None = None,
             for at in range(batch.num_rows):
                 yield _finished(batch.slice(at, 1), columns)
 
-    return blocks.join(looked_up, "block", "left").mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    done = materialize(blocks.join(looked_up, "block", "left").mapInArrow(run, T.StructType([*kept.schema.fields, *fields])), "aligned")
+    drop(blocks)
+    return done
 
 
 def _finished(block: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:

@@ -82,13 +82,14 @@ def drop(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._written_to)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Cuts lineage, so that a lost executor costs a reread instead of a
     recomputation, and makes what follows see one fixed version of the rows.
     Results that are not yet computed read these tables: ``release`` or ``drop``
-    deletes them.
+    deletes them.  Rows of megabytes are put into files of ``file_rows`` at most:
+    neither the writer nor the reader then holds more of them at once.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{_group[-1]}/{name}-{uuid.uuid4().hex}"
@@ -97,7 +98,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(bound)
     spark.conf.set(bound, str(BATCH_BYTES))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     finally:
         spark.conf.set(bound, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -158,3 +158,18 @@ def test_cases(spark):
     assert link_statistics(df.where(F.lit(False))).count() == 0
     assert pair_counts(df.where(F.lit(False))).count() == 0
     assert link_statistics(df.select("text")).count() == 3
+
+
+def test_blocks_are_written_few_to_a_file(spark, monkeypatch):
+    # a file's blocks are held together by its writer and decoded together by its reader
+    written = []
+    plain = alignment.materialize
+
+    def spied(df, name, *bounds):
+        written.append((name, bounds))
+        return plain(df, name, *bounds)
+
+    monkeypatch.setattr(alignment, "materialize", spied)
+    link_statistics(frame(spark, TEXTS))
+    assert written[0] == ("aligned-blocks", (alignment.FILE_BLOCKS,)) and alignment.FILE_BLOCKS * alignment.BLOCK_BYTES <= 8 << 20
+    assert len(plain(spark.range(20).coalesce(1), "few", 4).inputFiles()) == 5
