@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import ascii_lower, chunk_literals, contains_folded
 from lodestone.functions.vectors import cosine_distance
 from lodestone.operators.ranking import ranked
+from lodestone.operators.resolution import path_filter, perhaps_existing
+from lodestone.shared import written
 
 #: Fixed defaults of a search.
 POOL, PER_MODULE, MARGIN = 600, 3, 0.15
@@ -18,6 +20,10 @@ LITERAL_LIMIT, LINKS_PER_LITERAL = 15, 3
 LITERAL_NOISE, IMPORT_NOISE = 30, 15
 #: Up to this many literals, all are tested against a text where it is read; beyond it they are joined by trigrams.
 SCANNED_LITERALS = 512
+#: Up to this size in bytes, with so many for a row, literals are handed to all tasks.
+HANDED_BYTES, ROW_BYTES = 8 << 20, 64
+#: Characters of the runs that literals go by: the first that isn't longer; still shorter ones go by themselves.
+RUNS = (8, 3)
 #: Rows of a similarity ranking that are shown for each query.
 RANKED = 20
 
@@ -110,34 +116,43 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def substring_join(texts: DataFrame, literals: DataFrame, text: str = "text", literal: str = "literal", scanned: int = SCANNED_LITERALS) -> DataFrame:
+def substring_join(texts: DataFrame, literals: DataFrame, text: str = "text", literal: str = "literal", scanned: int = SCANNED_LITERALS, handed: int = HANDED_BYTES) -> DataFrame:
     """Pairs of rows whose ``text`` contains ``literal``, ASCII case aside.
 
-    ``literals`` has distinct ones.  A few are tested in the scan of the texts;
-    many meet the texts by an equi-join on one trigram each (shorter ones on all
-    they have), then the test.
+    ``literals`` has distinct ones.  A few are tested in the scan of the texts.
+    Many go by one run of characters each, and meet the runs of the texts by an
+    equi-join, then the test.  Literals of up to ``handed`` bytes are handed to the
+    tasks that read the texts, so that no text is moved; of more, hashes of texts
+    meet them, behind a filter of all runs that are asked for, and each text is
+    moved once.
     """
     # the few are computed once: what comes to the driver is what is broadcast
     few = literals.limit(scanned + 1).collect()
     folded = texts.withColumn("_folded", ascii_lower(F.col(text)))
+    short = ascii_lower(F.col(literal))
     if len(few) <= scanned:
         listed = literals.sparkSession.createDataFrame(few, literals.schema)
-        return folded.join(F.broadcast(listed), F.contains("_folded", ascii_lower(F.col(literal)))).drop("_folded")
-    short = ascii_lower(F.col(literal))
-    out = None
-    for (n,) in literals.select(F.least(F.length(literal), F.lit(3)).alias("n")).where("n IS NOT NULL").distinct().collect():
-        own = literals.where(F.least(F.length(literal), F.lit(3)) == n)
-        if n:
-            least = F.array_min(F.transform(grams(short, n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-            keyed = own.withColumn("_gram", least)
-            # only those that some literal goes by leave the scan's stage
-            spread = folded.withColumn("_gram", F.explode(grams(F.col("_folded"), n))).join(keyed.select("_gram").distinct(), "_gram", "left_semi")
-            pairs = spread.join(keyed, "_gram").where(F.contains("_folded", short)).drop("_folded", "_gram")
-        else:
-            # the empty literal, one row at most
-            pairs = folded.where("_folded IS NOT NULL").join(F.broadcast(own), F.lit(True)).drop("_folded")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+        return folded.join(F.broadcast(listed), F.contains("_folded", short)).drop("_folded")
+    size = F.length(literal)
+    n = F.when(size >= RUNS[0], RUNS[0]).when(size >= RUNS[1], RUNS[1]).otherwise(size)
+    least = [F.when(n == r, F.array_min(F.transform(grams(short, r), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]) for r in RUNS]
+    known = written(literals.where(size.isNotNull()).withColumns({"_gram": F.coalesce(*least, short), "_n": n}), "literals")
+    facts = known.agg(F.sum(F.octet_length(literal) + F.octet_length("_gram") + ROW_BYTES).alias("bytes"), F.collect_set("_n").alias("lengths")).first()
+    lengths, keyed = [x for x in facts.lengths if x], known.where("_n > 0").drop("_n")
+    out = [c for c in (*texts.columns, *literals.columns)]
+    # the empty literal, one row at most
+    pairs = folded.where("_folded IS NOT NULL").join(F.broadcast(known.where("_n = 0")), F.lit(True)).select(*out)
+    if not lengths:
+        return pairs
+    runs = F.explode(F.flatten(F.array(*[grams(F.col("_folded"), r) for r in lengths])))
+    if facts.bytes <= handed:
+        met = folded.withColumn("_gram", runs).join(F.broadcast(keyed), "_gram")
+    else:
+        # equal texts have one hash; a hash that others share gives candidates too many, which the test drops
+        hashed = folded.withColumn("_row", F.xxhash64("_folded"))
+        asked = perhaps_existing(hashed.select("_row", runs.alias("path")), path_filter(keyed.select(F.col("_gram").alias("path")))).withColumnRenamed("path", "_gram")
+        met = hashed.join(asked.join(keyed, "_gram").select("_row", *literals.columns).distinct(), "_row")
+    return pairs.unionByName(met.where(F.contains("_folded", short)).select(*out))
 
 
 def literal_counts(chunks: DataFrame, literals: DataFrame) -> DataFrame:

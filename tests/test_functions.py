@@ -236,3 +236,15 @@ def test_filter_of_paths_and_prefix_hashes(spark):
     asked = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, []), (4, ["ab"]), (5, None), (6, ["b", "a", "b"])], "id int, segments array<string>")
     got = {r.id: (r.prefix, r.value, r.depth) for r in resolution.longest_prefix(asked, known).collect()}
     assert got == {1: (["a", "b"], 2, 2), 2: ([], 3, 0), 3: ([], 3, 0), 4: ([], 3, 0), 6: (["b", "a"], 4, 2)}
+
+
+def test_many_literals_move_no_text(spark):
+    words = ["Order", "status here", "ÄÖ", "x", "a longer one", "%", "Straße 12"]
+    rows = [(i, f"{words[i % 7]} and {words[i * 3 % 7]}{i}" if i % 9 else None) for i in range(60)] + [(60, "Order"), (61, "Order"), (62, "")]
+    texts = spark.createDataFrame(rows, "i int, text string")
+    literals = spark.createDataFrame([(x,) for x in (*words, "ORDER AND", "12 and", "", "nowhere to be found", None)], "literal string")
+    found = [retrieval.substring_join(texts, literals, **how) for how in ({}, {"scanned": 0}, {"scanned": 0, "handed": 0})]
+    pairs = [sorted((r.i, r.literal) for r in f.select("i", "literal").collect()) for f in found]
+    assert pairs[0] == pairs[1] == pairs[2] and len({x for _, x in pairs[0]}) == 10
+    plan = found[1]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
