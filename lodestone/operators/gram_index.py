@@ -86,5 +86,7 @@ def indexed_join(found: DataFrame, texts: DataFrame, literals: DataFrame, key: s
     rarest = runs.join(counts, "gram", "left").groupBy(literal).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     rarest = rarest.where("r.n > 0").select(literal, "r.gram")
     pairs = rarest.join(found.select("gram", key), "gram").select(literal, key).join(literals, literal)
-    hits = texts.join(pairs, key).where(F.contains(ascii_lower(F.col(text)), folded)).select(*texts.columns, *literals.columns)
+    # folded before the join, once for each text and not for each of its literals
+    lowered = texts.withColumn("_folded", ascii_lower(F.col(text)))
+    hits = lowered.join(pairs, key).where(F.contains("_folded", folded)).select(*texts.columns, *literals.columns)
     return hits.unionByName(substring_join(texts, literals.where(~indexed), text, literal).select(*hits.columns))

@@ -115,6 +115,9 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path):
     texts = chunks.select("chunk_id", "text")
     got, want = (sorted(tuple(r) for r in j.select("chunk_id", "literal").collect()) for j in (gram_index.indexed_join(gram_index.read_postings(spark, path), texts, literals, "chunk_id"), retrieval.substring_join(texts, literals)))
     assert got == want and len({x[1] for x in got}) > 4
+    # a text is folded once, not for each literal that may stand in it
+    joined = gram_index.indexed_join(gram_index.read_postings(spark, path), texts, literals, "chunk_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(_folded" in joined and "Contains(translate(" not in joined
     empty = chunks.limit(0)
     assert gram_index.postings(empty, ("text",), "chunk_id").count() == 0
 
