@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.config import ProjectConfig, parse_config
 from lodestone.plans import wizard
 from lodestone.plans.catalogue import read, register
-from lodestone.shared import new_path
+from lodestone.shared import new_path, spread
 from lodestone.sources.scan import write_files
 from lodestone.store import Index, WrongModelError
 from lodestone.streaming import listing
@@ -38,7 +38,7 @@ def _suppliers(spark: SparkSession, sf_dir: str, then: bool) -> DataFrame:
     name = F.concat(F.lit("supply_"), F.col("s_suppkey"), F.when(F.lit(then) & (F.col("s_acctbal") > 5000), "_more").otherwise(""))
     content = F.concat(F.lit("from nations import n_"), F.col("s_nationkey"), F.lit("\n\n\ndef "), name, F.lit("():\n    return '"), F.col("s_name"), F.lit("'\n"))
     gone = F.lit(then) & (F.col("s_acctbal") < 0)
-    return read(spark, sf_dir, "supplier").select(F.format_string("src/s_%d.py", "s_suppkey").alias("path"), F.when(~gone, content).alias("content"))
+    return spread(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal")).select(F.format_string("src/s_%d.py", "s_suppkey").alias("path"), F.when(~gone, content).alias("content"))
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[Index, ProjectConfig]:
@@ -126,12 +126,18 @@ def draft_config(spark, sf_dir):
     filled = lambda text: F.regexp_replace(F.lit(text), F.lit("KEY"), F.col("k").cast("string")) if text else F.lit(None).cast("string")
     files = key.select(F.inline(F.array(*[F.struct(filled(p).alias("path"), filled(t).alias("content")) for p, t in made])))
     some = key.where("k % 2 = 0").select(F.concat(F.lit("native"), F.col("k"), F.lit("/util.c")).alias("path"), F.lit(None).cast("string").alias("content"))
-    draft = wizard.suggest_config(files.unionByName(some))
-    rows = [("layer", x["name"], ",".join(x["dirs"]), ",".join(x["files"])) for x in draft["layers"]]
-    rows += [("order", x["name"], str(i), "") for i, x in enumerate(draft["layers"]) if x["name"].startswith("tool")]
-    rows += [("module", x["name"], "", ",".join(x["files"])) for x in draft["modules"]] + [("catalog", p, "", "") for p in draft["translations"]["files"]]
-    rows += [("language", x, "", "") for x in draft["_detected_languages"]] + [("default", draft["default_layer"], str(draft.get("module_depth")), "")]
-    return spark.createDataFrame(rows, "section string, name string, dirs string, files string")
+    draft = wizard.draft_tables(files.unionByName(some))
+    row = lambda df, section, name, dirs, files: df.select(F.lit(section).alias("section"), name.alias("name"), dirs.alias("dirs"), files.alias("files"))
+    col, none = F.col, F.lit("")
+    facts = [("language", x, "", "") for x in draft.languages] + [("default", draft.default_layer, str(2 if draft.nested else None), "")]
+    parts = [
+        row(draft.layers, "layer", col("layer"), F.array_join("dirs", ","), F.array_join("files", ",")),
+        row(draft.layers.where(F.startswith("layer", F.lit("tool"))), "order", col("layer"), col("nth").cast("string"), none),
+        row(draft.modules, "module", col("target"), none, F.array_join("sources", ",")),
+        row(draft.catalogs, "catalog", col("path"), none, none),
+        spark.createDataFrame(facts, "section string, name string, dirs string, files string"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
 @register("""SELECT 'nations/__init__.py' AS path, 'new' AS status, 100 AS seconds UNION ALL SELECT 'nations/n_' || n_nationkey || '.py', 'new', 100 FROM nation

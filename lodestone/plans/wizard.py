@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import CONFIG_NAME
 from lodestone.functions import paths
+from lodestone.operators.ranking import ranked
+from lodestone.shared import written
 from lodestone.sources.manifests import cargo_targets, cmake_modules
 from lodestone.sources.scan import list_files, with_content
 
@@ -43,13 +46,10 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path").join(contents, "path", "left")
 
 
-
 #: Groups of layers in the order of a draft, and the languages a tree must have for a group, if any.
 GROUPS = ((LAYERS, ()), (RUST_LAYERS, ("Rust",)), ({}, ("Rust",)), (C_LAYERS, ("C", "C++")))
 #: The group that the binaries of crates stand for.
 BINARIES = 2
-#: Catalogs that a draft lists.
-MAX_CATALOGS = 10_000
 PLACEHOLDER = "there are .jsx or .tsx files, but no directory with a usual name: fill in its name"
 
 
@@ -79,42 +79,78 @@ def _allowed(languages: list[str]) -> list[int]:
     return [grp for grp, (_, needed) in enumerate(GROUPS) if not needed or set(needed) & set(languages)]
 
 
-def suggest_config(tree: DataFrame) -> dict:
+@dataclass
+class Draft:
+    """What a draft says, as tables that grow with the tree, and as facts that don't."""
+
+    languages: list[str]
+    #: (nth, layer, dirs, files): layers are read in the order of nth, from 0.
+    layers: DataFrame
+    #: (target, sources)
+    modules: DataFrame
+    #: (path)
+    catalogs: DataFrame
+    #: Whether directories without a usual name hold a frontend.
+    placeholder: bool
+    default_layer: str
+    nested: bool
+
+
+def draft_tables(tree: DataFrame) -> Draft:
     """The draft for a tree of (path, content).
 
     All usual names meet the names of the tree in one join; a layer's directories
     and files are gathered from it, and the binaries of crates are further rows in
     the order that the groups give.
     """
-    spark, tree = tree.sparkSession, tree.persist()
+    spark = tree.sparkSession
+    known = sorted({end for ends in LANGUAGES.values() for end in ends})
+    suffixes = {r.end for r in tree.select(paths.suffix(F.col("path")).alias("end")).where(F.col("end").isin(known)).distinct().collect()}
+    languages = sorted(name for name, ends in LANGUAGES.items() if suffixes & set(ends))
+    # at most as many rows as there are usual names
+    met = _named(tree).join(F.broadcast(_usual(spark)), ["kind", "low"])
+    met = spark.createDataFrame(met.collect(), met.schema)
+    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("nth", "name")))), lambda x: x["name"]).alias(kind)
+    usual = met.where(F.col("grp").isNotNull()).groupBy("grp", "place", "layer").agg(pick("dirs"), pick("files")).withColumn("path", F.lit(""))
+    crates = cargo_targets(tree.where(paths.basename(F.col("path")) == "Cargo.toml"))
+    binaries = crates.where("bin IS NOT NULL").select(F.lit(BINARIES).alias("grp"), F.lit(0).alias("place"), F.col("bin").alias("layer"), F.array().cast("array<string>").alias("dirs"), F.array("file").alias("files"), "path")
+    found = written(usual.unionByName(binaries).where(F.col("grp").isin(_allowed(languages))), "layers")
+    placeholder = bool(suffixes & {".jsx", ".tsx"}) and found.where("layer = 'frontend'").isEmpty()
+    layers = ranked(found, ["grp", "place", "path", "layer"], out="nth").select((F.col("nth") - (0 if placeholder else 1)).alias("nth"), "layer", "dirs", "files")
+    if placeholder:
+        layers = spark.createDataFrame([(0, "frontend", [], [])], layers.schema).unionByName(layers)
+    makefiles = tree.where(paths.basename(F.col("path")) == "CMakeLists.txt") if "C" in languages else tree.limit(0)
+    # catalogs lie in a directory that is spelled as its name's first place is
+    places = met.where(F.col("grp").isNull()).select("name")
+    catalogs = tree.where(F.endswith("path", F.lit(".json"))).select("path", F.get(paths.parts(F.col("path")), F.size(paths.parts(F.col("path"))) - 2).alias("name")).join(F.broadcast(places), "name", "left_semi")
+    return Draft(
+        languages,
+        layers,
+        cmake_modules(makefiles, tree),
+        catalogs.select("path"),
+        placeholder,
+        "other" if not placeholder and found.isEmpty() else paths.DEFAULT_LAYER,
+        "Rust" in languages and not crates.where(F.col("crate").isNotNull() & F.contains("path", F.lit("/"))).isEmpty(),
+    )
+
+
+def suggest_config(tree: DataFrame) -> dict:
+    """The draft for a tree of (path, content) as one document."""
+    tree = tree.persist()
     try:
-        known = sorted({end for ends in LANGUAGES.values() for end in ends})
-        suffixes = {r.end for r in tree.select(paths.suffix(F.col("path")).alias("end")).where(F.col("end").isin(known)).distinct().collect()}
-        languages = sorted(name for name, ends in LANGUAGES.items() if suffixes & set(ends))
-        met = _named(tree).join(F.broadcast(_usual(spark)), ["kind", "low"]).persist()
-        pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("nth", "name")))), lambda x: x["name"]).alias(kind)
-        usual = met.where(F.col("grp").isNotNull()).groupBy("grp", "place", "layer").agg(pick("dirs"), pick("files")).withColumn("path", F.lit(""))
-        crates = cargo_targets(tree.where(paths.basename(F.col("path")) == "Cargo.toml"))
-        binaries = crates.where("bin IS NOT NULL").select(F.lit(BINARIES).alias("grp"), F.lit(0).alias("place"), F.col("bin").alias("layer"), F.array().cast("array<string>").alias("dirs"), F.array("file").alias("files"), "path")
-        found = usual.unionByName(binaries).where(F.col("grp").isin(_allowed(languages))).orderBy("grp", "place", "path").collect()
-        layers = [{"name": r.layer, "dirs": r.dirs, "files": r.files} for r in found]
-        if suffixes & {".jsx", ".tsx"} and all(x["name"] != "frontend" for x in layers):
-            layers = [{"name": "frontend", "dirs": [], "files": [], "_comment": PLACEHOLDER}, *layers]
-        makefiles = tree.where(paths.basename(F.col("path")) == "CMakeLists.txt") if "C" in languages else tree.limit(0)
-        modules = [{"name": r.target, "dirs": [], "files": r.sources} for r in cmake_modules(makefiles, tree).orderBy("target").collect()]
-        # catalogs lie in a directory that is spelled as its name's first place is
-        places = met.where(F.col("grp").isNull()).select("name")
-        catalogs = tree.where(F.endswith("path", F.lit(".json"))).select("path", F.get(paths.parts(F.col("path")), F.size(paths.parts(F.col("path"))) - 2).alias("name")).join(F.broadcast(places), "name", "left_semi")
-        nested = "Rust" in languages and not crates.where(F.col("crate").isNotNull() & F.contains("path", F.lit("/"))).isEmpty()
+        draft = draft_tables(tree)
+        layers = [{"name": r.layer, "dirs": r.dirs, "files": r.files} for r in draft.layers.orderBy("nth").collect()]
+        if draft.placeholder:
+            layers[0]["_comment"] = PLACEHOLDER
         return {
             "_comment": "a draft from names and manifests: review it before use",
-            "_detected_languages": languages,
+            "_detected_languages": draft.languages,
             "layers": layers,
-            "default_layer": paths.DEFAULT_LAYER if layers else "other",
-            "modules": modules,
-            "translations": {"files": [r.path for r in catalogs.select("path").orderBy("path").limit(MAX_CATALOGS).collect()]},
+            "default_layer": draft.default_layer,
+            "modules": [{"name": r.target, "dirs": [], "files": r.sources} for r in draft.modules.orderBy("target").collect()],
+            "translations": {"files": [r.path for r in draft.catalogs.orderBy("path").collect()]},
             "extra_excluded_dirs": [],
-        } | ({"module_depth": 2} if nested else {})
+        } | ({"module_depth": 2} if draft.nested else {})
     finally:
         tree.unpersist()
 

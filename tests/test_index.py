@@ -7,6 +7,8 @@ import pytest
 from lodestone import server
 from lodestone.config import ProjectConfig, load_config, parse_config
 from lodestone.functions.vectors import ModelNotCachedError
+from pyspark.sql import functions as F
+
 from lodestone.plans import calibrate, hybrid, model_check, wizard
 from lodestone.sources.manifests import cmake_targets
 from lodestone.store import Index, WrongModelError
@@ -93,6 +95,13 @@ def test_server(spark, project):
     assert replies[2]["result"]["content"][0]["text"].startswith("changed=5") and "[class] Order" in replies[3]["result"]["content"][0]["text"]
 
 
+def test_wizard_lists_all_catalogs(spark):
+    tree = spark.range(10_001).select(F.format_string("i18n/%05d.json", "id").alias("path"), F.lit(None).cast("string").alias("content"))
+    draft = wizard.suggest_config(tree)
+    assert draft["translations"]["files"] == [f"i18n/{i:05d}.json" for i in range(10_001)]
+    assert draft["layers"] == [] and draft["default_layer"] == "other"
+
+
 def test_wizard(spark, tmp_path):
     names = ["api/views.py", "Models/x.py", "app/a.tsx", "node_modules/frontend/x.js", "i18n/en.json", "i18n/sub/no.json", "libs/core/src/lib.rs", "tests/t.rs", "src/a.c", "unix/b.c"]
     rows = [(n, None) for n in names] + [("libs/core/Cargo.toml", '[package]\nname = "core"\n[[bin]]\nname = "tool"\n'), ("src/CMakeLists.txt", "add_library(lib STATIC a.c gone.c $<X:y>) # )\nadd_executable(all ${SOURCES} a.c)\n"), ("unix/CMakeLists.txt", "add_library(lib b.c)")]
