@@ -16,6 +16,7 @@ from lodestone.functions.text import escape_like
 from lodestone.functions.vectors import embed
 from lodestone.operators import graph, maintenance
 from lodestone.plans.catalogue import ORACLE_SQL, QUERIES, read, register
+from lodestone.shared import spread
 from lodestone.sources.chunking import with_source_chunks
 from lodestone.sources.import_specs import import_edges
 from lodestone.sources.json_tree import with_chunks
@@ -42,7 +43,7 @@ def _files_of_parts(spark: SparkSession, sf_dir: str, ending: str, parts: Sequen
     """A file for each row of ``part``: the parts that its key has, two empty lines between each two."""
     key = F.col("p_partkey")
     there = [F.when(F.shiftright(key * 37 + 11, j).bitwiseAND(3) != 0, _filled(text, key)) for j, (text, _) in enumerate(parts)]
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("d/f"), key, F.lit(ending)).alias("path"), F.concat_ws("\n\n\n", *there).alias("content"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("d/f"), key, F.lit(ending)).alias("path"), F.concat_ws("\n\n\n", *there).alias("content"))
 
 
 def _chunks_sql(ending: str, parts: Sequence[Part]) -> str:
@@ -147,7 +148,7 @@ Edge = tuple[str, str, str, str]
 
 def _files_of_trees(spark: SparkSession, sf_dir: str, files: Sequence[File]) -> DataFrame:
     """(path, content): a tree for each row of ``supplier``."""
-    keys = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    keys = spread(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
     each = F.array(*[F.struct(_filled(path, F.col("k")).alias("path"), _filled(text, F.col("k")).alias("content"), F.expr(when).alias("there")) for path, text, when in files])
     return keys.select(F.inline(each)).where("there").drop("there")
 
@@ -387,7 +388,7 @@ SELECT p_partkey, i::INT AS dim, (CASE WHEN s > 0 THEN 1 ELSE -1 END)::INT AS si
 def hashed_embeddings(spark, sf_dir):
     """The built-in embedder's vectors: the sign and the share of the squared length of each part that isn't 0."""
     text = F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string"))
-    rows = embed(read(spark, sf_dir, "part").select("p_partkey", text.alias("text")))
+    rows = embed(spread(read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))))
     each = rows.select("p_partkey", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
     x = F.col("x").cast("double")
     return each.select("p_partkey", "dim", F.signum("x").cast("int").alias("sign"), F.round(100 * x * x, 2).alias("share"))

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks for each core that ``spread`` deals rows to.
+TASKS_PER_CORE = 4
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
@@ -29,6 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt to several tasks for each core, by their hash, for work that is long for rows so short.
+
+    A small file is one task to Spark, however much work its rows make.
+    """
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: one fixed version of its rows, whoever reads it and how often."""
     path = new_path(df.sparkSession, name)

@@ -35,3 +35,10 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_work_of_small_files_is_dealt_out(spark):
+    # 200 short rows of one file: one task would read them, and make and cut all files
+    files = source_queries._files_of_parts(spark, DATA, ".c", [("int a;", [])])
+    trees = source_queries._files_of_trees(spark, DATA, [("KEY/a.py", "", "true")])
+    assert files.rdd.getNumPartitions() >= 8 and trees.rdd.getNumPartitions() >= 8
