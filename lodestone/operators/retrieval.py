@@ -24,6 +24,8 @@ SCANNED_LITERALS = 512
 HANDED_BYTES, ROW_BYTES = 8 << 20, 64
 #: Characters of the runs that literals go by: the first that isn't longer; still shorter ones go by themselves.
 RUNS = (8, 3)
+#: Imports and chunks that a task sorts in the expansion of imports.
+TASK_ROWS = 500_000
 #: Rows of a similarity ranking that are shown for each query.
 RANKED = 20
 
@@ -191,6 +193,11 @@ def expand_imports(imports: DataFrame, seeds: DataFrame, chunks: DataFrame, per_
     ``chunks`` has (file_path, node_type, start_line, key); a file gives its
     ``per_file`` first by kind (classes, functions, others), then line.
     """
+    # the number of tasks follows the rows, so that what a task sorts doesn't grow with them
+    rows = imports.count() + chunks.count()
+    if rows > TASK_ROWS:
+        tasks = max(-(-rows // TASK_ROWS), imports.sparkSession.sparkContext.defaultParallelism)
+        imports, chunks = imports.repartition(tasks, "target_file"), chunks.repartition(tasks, "file_path")
     edges = forward_imports(imports, seeds)
     # counts and heads of the files that are asked for, not of all
     asked = edges.select("target_file").distinct()

@@ -146,3 +146,16 @@ def test_pruned_neighbours_equal_a_scan(spark, tmp_path, shape):
         assert min(s for k, s in shares if k == 5) < 0.3
     pivots.write_vectors(df.limit(0), str(tmp_path / "none"))
     assert pivots.nearest_pruned(spark, str(tmp_path / "none"), [1.0] * 8, 3)[0].count() == 0
+
+
+def test_tasks_of_the_expansion_follow_the_rows(spark, monkeypatch):
+    imports = spark.range(400).select((F.col("id") % 40).alias("source_file"), (F.col("id") % 23).alias("target_file"), F.lit("m").alias("module"))
+    chunks = spark.range(300).select((F.col("id") % 23).alias("file_path"), F.lit("class").alias("node_type"), F.col("id").alias("start_line"), F.col("id").alias("chunk_id"))
+    seeds = spark.range(5).select(F.col("id").alias("source_file"))
+    found = []
+    for rows in (500_000, 50):
+        monkeypatch.setattr(retrieval, "TASK_ROWS", rows)
+        found.append(retrieval.expand_imports(imports, seeds, chunks, 2, 100))
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) != []
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in found]
+    assert "REPARTITION_BY_NUM" not in plans[0] and ", 14), REPARTITION_BY_NUM" in plans[1]
